@@ -1,0 +1,87 @@
+"""Tunable parameters of the operators, as frozen dataclasses."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class CapturePolicy:
+    max_payload_bytes: int = 524_288
+    max_text_chars: int = 20_000
+    max_alt_chars: int = 10_000
+    max_media: int = 4
+
+
+@dataclass(frozen=True)
+class SignalDefaults:
+    """Inputs of the event and account scores that a post itself does not provide."""
+
+    source_reliability: float = 65.0
+    source_count_score: float = 30.0
+    velocity_score: float = 45.0
+    relevant_score: float = 80.0
+    irrelevant_score: float = 30.0
+    novelty_score: float = 60.0
+    fatigue_score: float = 0.0
+    relevant_account: float = 80.0
+    irrelevant_account: float = 20.0
+    early_signal: float = 40.0
+    quote_present: float = 60.0
+    language_fit: float = 70.0
+    engagement: float = 50.0
+    claim_risk: float = 30.0
+    toxicity: float = 0.0
+
+
+@dataclass(frozen=True)
+class VideoAudioPolicy:
+    max_video_ms: int = 90_000
+    max_audio_ms: int = 60_000
+    max_frames: int = 3
+    min_frame_gap_ms: int = 1_000
+    sample_rate_hz: int = 16_000
+
+
+@dataclass(frozen=True)
+class RetentionPolicy:
+    max_bytes: int
+    min_free_bytes: int = 0
+    protected: tuple[str, ...] = ("original",)
+
+    @property
+    def target_bytes(self) -> int:
+        return max(self.max_bytes - self.min_free_bytes, 0)
+
+
+@dataclass(frozen=True)
+class BacklogPolicy:
+    aging_interval_s: int = 60
+    max_boost: int = 50
+
+
+@dataclass(frozen=True)
+class ThrottlePolicy:
+    capacity: float = 60.0
+    refill_per_s: float = 10.0
+    cost: float = 1.0
+
+    def __post_init__(self) -> None:
+        if self.capacity <= 0 or self.refill_per_s < 0 or self.cost <= 0:
+            raise ValueError("capacity and cost must be positive, refill must not be negative")
+
+
+@dataclass(frozen=True)
+class WeightPolicy:
+    learning_rate: float = 0.05
+    low: float = 0.2
+    high: float = 2.0
+    start: float = 1.0
+
+
+@dataclass(frozen=True)
+class RetryPolicy:
+    max_attempts: int = 5
+    base_s: float = 2.0
+    factor: float = 4.0
+    max_delay_s: float = 300.0
