@@ -148,9 +148,9 @@ def relevance_score(
 ) -> Column:
     """Keyword hits in text, half weight in the quote, double weight per alternative text."""
     alts = F.aggregate(
-        F.coalesce(media, F.array().cast("array<struct<alt_text:string>>")),
+        F.coalesce(media["alt_text"], F.array().cast("array<string>")),
         F.lit(0.0),
-        lambda acc, m: acc + F.lit(2.0) * keyword_hits(m["alt_text"], keywords),
+        lambda acc, alt: acc + F.lit(2.0) * keyword_hits(alt, keywords),
     )
     return keyword_hits(text_or_empty(text), keywords) + F.lit(0.5) * keyword_hits(
         quoted_text, keywords

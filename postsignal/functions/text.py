@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from postsignal import lexicons as lx
 
 # Unicode white space, plus the four separator controls that str.split() also accepts.
-SPACE = r"[\s\x1c-\x1f]"
-NOT_SPACE = r"[^\s\x1c-\x1f]"
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+NOT_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
 # Letters, digits and underscore of any script.
 WORD = r"[\p{L}\p{N}_]"
 
@@ -28,7 +28,7 @@ def text_or_empty(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def first_filled(*cols: Column) -> Column:
@@ -38,14 +38,11 @@ def first_filled(*cols: Column) -> Column:
 
 def words(col: Column) -> Column:
     """White-space separated tokens; no empty tokens."""
-    trimmed = strip(text_or_empty(col))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, rf"(?U){SPACE}+")
-    )
+    return F.regexp_extract_all(text_or_empty(col), F.lit(f"({NOT_SPACE}+)"), F.lit(1))
 
 
 def word_count(col: Column) -> Column:
-    return F.regexp_count(text_or_empty(col), F.lit(rf"(?U){NOT_SPACE}+"))
+    return F.regexp_count(text_or_empty(col), F.lit(rf"{NOT_SPACE}+"))
 
 
 def _terms(terms: Sequence[str]) -> list[str]:
@@ -79,16 +76,16 @@ def contained_terms(low: Column, terms: Sequence[str]) -> Column:
 
 def clean_text(col: Column) -> Column:
     """URLs to ``<url>``, zero-width spaces out, long punctuation runs to two, one-space."""
-    out = F.regexp_replace(text_or_empty(col), rf"(?U)https?://{NOT_SPACE}+", "<url>")
+    out = F.regexp_replace(text_or_empty(col), rf"https?://{NOT_SPACE}+", "<url>")
     out = F.replace(out, F.lit("\u200b"), F.lit(""))
     out = F.regexp_replace(out, r"([!?.])\1{2,}", "$1$1")
-    return F.trim(F.regexp_replace(out, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(out, rf"{SPACE}+", " "))
 
 
 def collapse_text(col: Column) -> Column:
     """The older cleaning rule: ASCII quotes, one-space, punctuation runs to one mark."""
     out = F.translate(text_or_empty(col), "“”‘’", "\"\"''")
-    out = F.regexp_replace(out, rf"(?U){SPACE}+", " ")
+    out = F.regexp_replace(out, rf"{SPACE}+", " ")
     return F.trim(F.regexp_replace(out, r"([!?.])\1+", "$1"))
 
 
@@ -116,8 +113,10 @@ def normalize_handle(col: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     low = F.lower(text_or_empty(text))
-    has_word = F.arrays_overlap(words(low), F.array(*[F.lit(w) for w in lx.TURKISH_WORDS]))
-    return F.when(low.rlike(f"[{lx.TURKISH_LETTERS}]") | has_word, "tr").otherwise("unknown")
+    token = low.rlike(f"(?<!{NOT_SPACE})(?:{'|'.join(lx.TURKISH_WORDS)})(?!{NOT_SPACE})")
+    # the cheap substring test decides for most texts
+    has_word = contains_any(low, lx.TURKISH_WORDS) & token
+    return F.when(contains_any(low, lx.TURKISH_LETTERS) | has_word, "tr").otherwise("unknown")
 
 
 def infer_tone(
@@ -197,21 +196,18 @@ def estimate_sentiment(
     negative: Sequence[str] = tuple(lx.NEGATIVE_WORDS),
 ) -> Column:
     """(positive - negative words) / words, within [-1, 1]; 0 without words."""
-    low = F.lower(text_or_empty(text))
 
-    def whole_words(vocab: Sequence[str]) -> Column:
-        joined = "|".join(sorted(vocab, key=lambda w: (-len(w), w)))
-        return (
-            F.regexp_count(low, F.lit(rf"(?<!{WORD})(?:{joined})(?!{WORD})"))
-            if joined
-            else F.lit(0)
-        )
-
-    total = F.regexp_count(low, F.lit(f"{WORD}+"))
-    score = (whole_words(positive) - whole_words(negative)).cast("double") / total
-    return F.when(total == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
-    )
+    def step(acc: Column, word: Column) -> Column:
+        gain = F.when(word.isin(*positive), 1).otherwise(0) - F.when(word.isin(*negative), 1).otherwise(0)
+        return F.struct((acc["gain"] + gain).alias("gain"), (acc["n"] + 1).alias("n"))
+
+    def finish(acc: Column) -> Column:
+        score = acc["gain"].cast("double") / F.greatest(acc["n"], F.lit(1))
+        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
+
+    start = F.struct(F.lit(0).alias("gain"), F.lit(0).alias("n"))
+    # one pass over the words; they are split only once per text
+    return F.aggregate(word_tokens(text), start, step, finish)
 
 
 def keyword_hits(text: Column, keywords: Sequence[str] = tuple(lx.ACCOUNT_KEYWORDS)) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsignal import lexicons as lx
+from postsignal.operators.rows import exploded
 from postsignal.functions.text import first_filled, quality_issues, quality_score
 
 
@@ -20,12 +21,15 @@ def fill_template(template: str, values: Mapping[str, Column]) -> Column:
 
 
 def first_passing(templates: Sequence[str], values: Mapping[str, Column], fallback: str) -> Column:
-    """First filled template without quality findings; else the fallback."""
+    """First filled template without quality findings, else the fallback: struct (text, issues)."""
+    none = F.array().cast("array<string>")
     tries = []
     for template in templates:
         text = fill_template(template, values)
-        tries.append(F.when(F.size(quality_issues(text)) == 0, text))
-    return F.coalesce(*tries, F.lit(fallback))
+        passed = F.struct(text.alias("text"), none.alias("issues"))
+        tries.append(F.when(F.size(quality_issues(text)) == 0, passed))
+    last = F.lit(fallback)
+    return F.coalesce(*tries, F.struct(last.alias("text"), quality_issues(last).alias("issues")))
 
 
 def with_drafts(
@@ -55,21 +59,21 @@ def with_drafts(
     fallback = templates["neutral_short"][1]
     staged = events
     for i, variant in enumerate(variants):
-        text = first_passing(templates.get(variant, templates["neutral_short"]), values, fallback)
-        staged = staged.withColumn(f"_draft{i}", text)
+        draft = first_passing(templates.get(variant, templates["neutral_short"]), values, fallback)
+        staged = staged.withColumn(f"_draft{i}", draft)
     entries = []
     for i, variant in enumerate(variants):
-        text = F.col(f"_draft{i}")
-        issues = quality_issues(text)
+        draft = F.col(f"_draft{i}")
+        text = draft["text"]
         entry = F.struct(
             text.alias("text"),
             F.lit(variant).alias("variant_label"),
-            quality_score(issues).alias("quality_score"),
-            issues.alias("issues"),
+            quality_score(draft["issues"]).alias("quality_score"),
+            draft["issues"].alias("issues"),
         )
         repeated = F.lit(False)
         for j in range(i):
-            repeated = repeated | (text == F.col(f"_draft{j}"))
+            repeated = repeated | (text == F.col(f"_draft{j}")["text"])
         entries.append(F.when(~repeated, entry))
     blocked = F.array(
         F.struct(
@@ -87,6 +91,5 @@ def with_drafts(
 
 def draft_rows(drafted: DataFrame, *ids: str) -> DataFrame:
     """One row per draft with its position."""
-    return drafted.select(*ids, F.posexplode("drafts").alias("position", "_d")).select(
-        *ids, "position", "_d.*"
-    )
+    rows = exploded(drafted, F.col("drafts"), "_d", *ids, position="position")
+    return rows.select(*ids, "position", "_d.*")

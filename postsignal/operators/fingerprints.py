@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsignal.functions.ids import hamming
+from postsignal.operators.rows import exploded
 from postsignal.runtime import materialize
 
 BITS = 64
@@ -29,9 +30,9 @@ def simhash(docs: DataFrame, doc_id: str, tokens: Column, bits: int = 60) -> Dat
     half of the digests have it set. All tokens of a document come from one row, so the counts
     are complete before the shuffle.
     """
-    exploded = docs.select(F.col(doc_id), F.explode(F.array_distinct(tokens)).alias("_t"))
+    rows = exploded(docs, F.array_distinct(tokens), "_t", doc_id)
     digest = F.conv(F.substring(F.sha2("_t", 256), 1, 15), 16, 10).cast("long")
-    counts = exploded.select(doc_id, digest.alias("_d")).groupBy(doc_id).agg(
+    counts = rows.select(doc_id, digest.alias("_d")).groupBy(doc_id).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(F.getbit("_d", F.lit(b)).cast("int")).alias(f"_b{b}") for b in range(bits)],
     )

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from postsignal import lexicons as lx
 from postsignal.functions.text import word_tokens, words
+from postsignal.operators.rows import exploded
 
 
 def token_counts(posts: DataFrame, text: str = "text", min_chars: int = 3) -> DataFrame:
     """Occurrences of every lower-cased white-space token of at least ``min_chars``."""
-    tokens = posts.select(F.explode(words(F.lower(F.col(text)))).alias("token"))
+    tokens = exploded(posts, words(F.lower(F.col(text))), "token")
     return tokens.filter(F.length("token") >= min_chars).groupBy("token").count()
 
 
@@ -26,7 +27,7 @@ def style_keywords(
     samples: DataFrame, top_k: int = 5, text: str = "text", stopwords: Sequence[str] = tuple(lx.STYLE_STOPWORDS)
 ) -> DataFrame:
     """Most frequent words of sample texts that are no stop words and longer than two letters."""
-    tokens = samples.select(F.explode(word_tokens(F.col(text))).alias("token"))
+    tokens = exploded(samples, word_tokens(F.col(text)), "token")
     kept = tokens.filter((F.length("token") > 2) & ~F.col("token").isin(*stopwords))
     return kept.groupBy("token").count().orderBy(F.desc("count"), "token").limit(max(0, top_k))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postsignal.functions.media import media_key
 from postsignal.functions.text import strip, text_or_empty
+from postsignal.operators.rows import exploded
 
 
 def attach_ocr(posts: DataFrame, ocr: DataFrame, post_id: str = "post_id") -> DataFrame:
@@ -17,10 +18,10 @@ def attach_ocr(posts: DataFrame, ocr: DataFrame, post_id: str = "post_id") -> Da
     Items are exploded, joined and put back in order; a post holds few items, so the regrouping
     is bounded by the post. Posts without media skip the join.
     """
-    exploded = posts.select(post_id, F.posexplode("media").alias("_i", "_m")).withColumn(
+    items = exploded(posts, F.col("media"), "_m", post_id, position="_i").withColumn(
         "media_id", media_key(F.col("_m.id"), F.col("_m.source_url"), F.col("_i"))
     )
-    found = exploded.join(ocr.select("media_id", F.col("ocr_text").alias("_ocr")), "media_id", "left")
+    found = items.join(ocr.select("media_id", F.col("ocr_text").alias("_ocr")), "media_id", "left")
     own = strip(text_or_empty(F.col("_m.ocr_text")))
     text = F.when(own != "", own).otherwise(strip(text_or_empty(F.col("_ocr"))))
     regrouped = (
@@ -72,4 +73,4 @@ def tag_with_terms(posts: DataFrame, lexicon: DataFrame, ids: Sequence[str], tex
     from postsignal.functions.text import classify_text
 
     tags = classify_text(F.col(text), by_category)
-    return posts.select(*ids, F.explode(tags).alias("category"))
+    return exploded(posts, tags, "category", *ids)

@@ -47,3 +47,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    from uuid import uuid4
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"

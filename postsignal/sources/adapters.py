@@ -17,9 +17,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores when its files are too few for that.
+
+    Text work is CPU-bound, and a small table may be a single row group, which is one task. A
+    table of at least as many splits as cores is read as it is, without any shuffle.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    splits = rows.rdd.getNumPartitions() if cores > 1 else cores
+    return rows if splits >= cores else rows.repartition(cores)
+
+
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as posts with zero to two attachments."""
-    docs = table(spark, folder, "documents")
+    docs = text_table(spark, folder, "documents")
     n = F.col("doc_id") % 3
     alt = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("image of "), F.col("source"))).otherwise("")
     items = F.transform(
@@ -49,7 +61,7 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as raw capture payloads (JSON text), using every alias and some broken fields."""
     d = F.col("doc_id")
-    docs = table(spark, folder, "documents")
+    docs = text_table(spark, folder, "documents")
     handle = F.concat(F.lit("@"), F.initcap("source"))
     url = F.concat(
         F.when(d % 17 == 0, "https://example.com/").when(d % 3 == 0, "https://twitter.com/").otherwise("https://x.com/"),
@@ -114,7 +126,7 @@ def media_objects(spark: SparkSession, folder: str) -> DataFrame:
 
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """60-bit SimHash of every document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = text_table(spark, folder, "documents").select("doc_id", "text")
     hashed = simhash(docs, "doc_id", words(F.lower("text")))
     return hashed.select(F.col("doc_id").alias("item"), F.lit("simhash60-v1").alias("algorithm"), "bits")
 
