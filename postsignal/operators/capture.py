@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,9 @@ from postsignal import lexicons as lx
 from postsignal import schemas
 from postsignal.functions.ids import stable_id
 from postsignal.functions.text import contains_any, first_filled, normalize_handle, strip, text_or_empty, without_nulls
+from postsignal.operators.rows import keep_where
 from postsignal.policies import CapturePolicy
+from postsignal.runtime import ship_package
 
 REDACTED = "[redacted]"
 
@@ -48,9 +50,7 @@ def _scrub(value: object) -> object:
 
 
 @F.pandas_udf(T.StringType())
-def redact_json(payload: pd.Series) -> pd.Series:
-    """Replace the values of sensitive keys at any depth of a JSON text (sorted, compact)."""
-
+def _redact_json(payload: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if text is None:
             return None
@@ -63,6 +63,12 @@ def redact_json(payload: pd.Series) -> pd.Series:
     return payload.map(one)
 
 
+def redact_json(payload: Column) -> Column:
+    """Replace the values of sensitive keys at any depth of a JSON text (sorted, compact)."""
+    ship_package(SparkSession.active())
+    return _redact_json(payload)
+
+
 def payload_bytes(json_text: Column) -> Column:
     return F.octet_length(json_text)
 
@@ -308,11 +314,11 @@ def validate(posts: DataFrame, policy: CapturePolicy = CapturePolicy()) -> DataF
 
 
 def accepted(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.size("errors") == 0).drop("errors")
+    return keep_where(validated, F.size("errors") == 0).drop("errors")
 
 
 def rejected(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.size("errors") > 0)
+    return keep_where(validated, F.size("errors") > 0)
 
 
 def normalized_feature(posts: DataFrame, created_at: str = "captured_at") -> DataFrame:

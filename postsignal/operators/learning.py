@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postsignal.functions.scores import feedback_reward, initial_reliability
 from postsignal.operators.ordered import fold_clamped, range_chunks
 from postsignal.policies import ThrottlePolicy, WeightPolicy
-from postsignal.runtime import materialize
+from postsignal.runtime import materialize, ship_package
 
 
 def rewarded_feedback(
@@ -135,6 +135,7 @@ def throttle(
     every chunk started from the state its predecessor ended with. That fixed point is the
     sequential result. Buckets forget their past whenever they fill up, so few rounds are needed.
     """
+    ship_package(events.sparkSession)
     width_cols = [F.col(key).cast("string").alias("_key"), F.col(at_us).alias("_us"), F.col(event_id).alias("_id")]
     chunked = materialize(range_chunks(events.select(*width_cols), ["_key"], ["_us", "_id"]))
 

@@ -18,3 +18,14 @@ def exploded(df: DataFrame, items: Column, name: str, *keep: str, position: str
     else:
         rows = df.select(*keep, F.explode_outer(items).alias(name))
     return rows.filter(F.col(name).isNotNull())
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on a costly computed column without moving the computation.
+
+    A plain filter on a computed column is pushed below the projection that computes it, and
+    the whole expression is evaluated again for every column it reads. A condition on the output
+    of a generator stays where it is.
+    """
+    mark = F.when(condition, F.array(F.lit(True)))
+    return df.select("*", F.explode_outer(mark).alias("_keep")).filter("_keep is not null").drop("_keep")

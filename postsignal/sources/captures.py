@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsignal.operators.capture import parse_payloads, to_posts, validate
+from postsignal.operators.rows import exploded
 
 
 def read_payload_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -14,9 +15,13 @@ def read_payload_documents(spark: SparkSession, path: str) -> DataFrame:
     The document stays text until each payload is cut out as a variant, so unknown fields and the
     JSON type of every value survive. One document is one row: use JSON lines for bulk data.
     """
-    whole = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.try_parse_json("value").alias("doc")
-    )
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return payload_items(whole, "value", "file")
+
+
+def payload_items(documents: DataFrame, text: str, *ids: str) -> DataFrame:
+    """Payloads within each JSON document text: (ids, ordinal, payload)."""
+    docs = documents.select(*ids, F.try_parse_json(text).alias("doc"))
     kind = F.schema_of_variant("doc")
     posts = F.try_variant_get("doc", "$.posts", "array<variant>")
     items = (
@@ -24,9 +29,8 @@ def read_payload_documents(spark: SparkSession, path: str) -> DataFrame:
         .when(posts.isNotNull(), posts)
         .otherwise(F.array("doc"))
     )
-    return whole.select("file", F.posexplode(items).alias("ordinal", "item")).select(
-        "file", "ordinal", F.to_json("item").alias("payload")
-    )
+    rows = exploded(docs.filter(F.col("doc").isNotNull()), items, "item", *ids, position="ordinal")
+    return rows.select(*ids, "ordinal", F.to_json("item").alias("payload"))
 
 
 def load_captures(spark: SparkSession, path: str) -> DataFrame:

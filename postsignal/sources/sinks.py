@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsignal.functions.ids import stable_id
+from postsignal.operators.rows import exploded
 
 
 def audit_rows(rows: DataFrame, action: str, entity_type: str, entity_id: str, details: Column, at: str) -> DataFrame:
@@ -23,9 +24,10 @@ def audit_rows(rows: DataFrame, action: str, entity_type: str, entity_id: str, d
 
 def capture_tables(posts: DataFrame) -> dict[str, DataFrame]:
     """The four tables a set of accepted, deduplicated posts is stored as."""
-    media = posts.select(
-        "post_id", F.posexplode("media").alias("position", "_m"), F.col("captured_at").alias("created_at")
-    ).select(
+    items = exploded(
+        posts.withColumn("created_at", F.col("captured_at")), F.col("media"), "_m", "post_id", "created_at", position="position"
+    )
+    media = items.select(
         stable_id(F.col("post_id"), F.col("position"), F.col("_m.source_url"), length=32).alias("asset_id"),
         "post_id", "position", "_m.kind", "_m.source_url", "_m.alt_text", "_m.local_path",
         F.lit("metadata").alias("storage_policy"), F.lit("remote").alias("availability"), "created_at",

@@ -58,9 +58,11 @@ def store_batch(payloads: DataFrame, batch_id: int, folder: str, policy: Capture
         stored = read_table(spark, folder, "captured_posts", before_batch=batch_id)
         if stored is not None:
             fresh = not_yet_stored(fresh, stored)
-        tables = capture_tables(fresh.drop("payload"))
+        fresh = fresh.drop("payload").persist()
+        tables = capture_tables(fresh)
         tables["quarantine"] = rejected(posts).select("payload", "captured_at", "errors").unionByName(oversized)
         write_batch(tables, folder, batch_id)
+        fresh.unpersist()
     finally:
         posts.unpersist()
 
