@@ -112,7 +112,7 @@ def captures_by_either_key(spark, sf):
     keyed = _posts(spark, sf).withColumn(
         "idempotency_key", F.concat_ws("|", "author_handle", F.col("visible_metrics.likes").cast("string"))
     )
-    return DD.first_captures_by_either_key(keyed.select("platform", "platform_post_id", "idempotency_key", "captured_at", "post_id"))
+    return DD.first_captures_by_either_key(materialize(keyed.select("platform", "platform_post_id", "idempotency_key", "captured_at", "post_id")))
 
 
 def new_captures(spark, sf):
@@ -248,6 +248,13 @@ SQL = {
     "feature_rows": f"""with {_CAP} select substr(sha256('feature|' || post_id || '|normalized_capture|normalize-v1'), 1, 32) as feature_id, post_id as owner_id,
         '{{"author_handle":' || to_json(author) || ',"text_length":' || length(text) || '}}' as value_json, '["' || post_id || '"]' as source_ids_json, captured_at as created_at from val where len(errors) = 0""",
     "deduplicated_captures": f"""with {_CAP} select post_id, platform_post_id, captured_at from dom qualify row_number() over (partition by platform_post_id order by captured_at, post_id) = 1""",
+    "captures_by_either_key": f"""with recursive {_CAP},
+        o as (select row_number() over (order by captured_at, post_id) as i, 'x' as platform, platform_post_id, author || '|' || n_chars as idempotency_key, captured_at, post_id from dom),
+        r as (select 0::bigint as i, []::varchar[] as ks, []::varchar[] as ps, false as ok union all
+          select o.i, case when not (list_contains(r.ks, idempotency_key) or list_contains(r.ps, platform_post_id)) then list_append(r.ks, idempotency_key) else r.ks end,
+            case when not (list_contains(r.ks, idempotency_key) or list_contains(r.ps, platform_post_id)) then list_append(r.ps, platform_post_id) else r.ps end,
+            not (list_contains(r.ks, idempotency_key) or list_contains(r.ps, platform_post_id)) from r join o on o.i = r.i + 1)
+        select platform, platform_post_id, idempotency_key, captured_at, post_id from o join r using (i) where ok""",
     "new_captures": f"""with {_CAP}, stored as (select * from dom join labels using (doc_id))
         select post_id, platform_post_id from dom where idempotency_key not in (select idempotency_key from stored) and platform_post_id not in (select platform_post_id from stored)""",
     "json_documents": f"""select doc_id, 0::bigint as ordinal, doc_id::varchar as platform_post_id, source as author_handle, sha256({b.sql_strip('text')}) as text_sha from documents

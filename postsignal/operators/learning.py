@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postsignal.functions.scores import feedback_reward, initial_reliability
 from postsignal.operators.ordered import fold_clamped, range_chunks
 from postsignal.policies import ThrottlePolicy, WeightPolicy
-from postsignal.runtime import materialize, ship_package
+from postsignal.runtime import materialize
 
 
 def rewarded_feedback(
@@ -22,9 +22,10 @@ def rewarded_feedback(
     With a suggestions table (suggestion_id, variant_label) feedback on unknown suggestions drops
     out; otherwise ``feedback`` carries ``variant_label`` itself.
     """
-    rows = feedback if suggestions is None else feedback.join(
-        suggestions.select("suggestion_id", "variant_label"), "suggestion_id"
-    )
+    rows = feedback
+    if suggestions is not None:
+        known = suggestions.select("suggestion_id", "variant_label")
+        rows = feedback.drop("variant_label").join(known, "suggestion_id")
     return rows.withColumn("key", F.concat(F.lit("tone."), F.col("variant_label"))).withColumn(
         "reward", feedback_reward(F.col("action"), rewards)
     )
@@ -135,7 +136,6 @@ def throttle(
     every chunk started from the state its predecessor ended with. That fixed point is the
     sequential result. Buckets forget their past whenever they fill up, so few rounds are needed.
     """
-    ship_package(events.sparkSession)
     width_cols = [F.col(key).cast("string").alias("_key"), F.col(at_us).alias("_us"), F.col(event_id).alias("_id")]
     chunked = materialize(range_chunks(events.select(*width_cols), ["_key"], ["_us", "_id"]))
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsignal.operators.ordered import with_position
-from postsignal.runtime import ship_package
 
 
 def _ratio(a: str | None, b: str | None) -> float:
@@ -62,7 +61,6 @@ def fatigue(
     without earlier posts. Pairs whose lengths alone keep the ratio below 0.5 cannot change the
     score and skip the comparison; equal pairs are compared once.
     """
-    ship_package(posts.sparkSession)
     pairs = recent_pairs(posts, item, author, order, text, look_back)
     a, b = F.length(F.lower("new_text")), F.length(F.lower("old_text"))
     possible = pairs.filter(4 * F.least(a, b) >= a + b)

@@ -54,27 +54,3 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     from uuid import uuid4
 
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by Python workers (once per context).
-
-    Only the few operators with Python functions need it; installing the package on the cluster
-    makes it redundant but harmless.
-    """
-    import os
-    import zipfile
-
-    context = spark.sparkContext
-    name = "postsignal_workers.zip"
-    if name in context._python_includes:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    with zipfile.ZipFile(target, "w") as archive:
-        for folder, _, files in os.walk(root):
-            for file in files:
-                if file.endswith(".py"):
-                    full = os.path.join(folder, file)
-                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
-    context.addPyFile(target)

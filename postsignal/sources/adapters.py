@@ -29,6 +29,13 @@ def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows if splits >= cores else rows.repartition(cores)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, folder, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(folder)
+
+
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as posts with zero to two attachments."""
     docs = text_table(spark, folder, "documents")
@@ -60,8 +67,11 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as raw capture payloads (JSON text), using every alias and some broken fields."""
+    return as_payloads(text_table(spark, folder, "documents"))
+
+
+def as_payloads(docs: DataFrame) -> DataFrame:
     d = F.col("doc_id")
-    docs = text_table(spark, folder, "documents")
     handle = F.concat(F.lit("@"), F.initcap("source"))
     url = F.concat(
         F.when(d % 17 == 0, "https://example.com/").when(d % 3 == 0, "https://twitter.com/").otherwise("https://x.com/"),
@@ -133,7 +143,10 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def feedback(spark: SparkSession, folder: str) -> DataFrame:
     """Reviewer feedback derived from the event log."""
-    e = table(spark, folder, "events")
+    return as_feedback(table(spark, folder, "events"))
+
+
+def as_feedback(e: DataFrame) -> DataFrame:
     actions = {
         "purchase": "posted_manually", "signup": "approved", "click": "edited", "view": "ignored", "error": "rejected",
     }
@@ -169,7 +182,10 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as work items."""
-    o = table(spark, folder, "orders")
+    return as_jobs(table(spark, folder, "orders"))
+
+
+def as_jobs(o: DataFrame) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "retry").otherwise("dead")
     priority = F.lit(None).cast("int")
     for digit, value in (("1", 100), ("2", 90), ("3", 70), ("4", 40), ("5", 20)):

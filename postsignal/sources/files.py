@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postsignal.runtime import ship_package
 
 DHASH_SIDE = 8
 _PRECISION = 22
@@ -81,7 +80,6 @@ def image_hashes(spark: SparkSession, path: str) -> DataFrame:
 
     Images are decoded by Spark's image source in the JVM; files that are no images drop out.
     """
-    ship_package(spark)
     images = spark.read.format("image").option("dropInvalid", "true").load(path)
     i = F.col("image")
     return images.select(

@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.runtime import ship_package
 
 # Page markers and labels that decide what is extracted.
 SELECTOR_VERSION = "visible_dom_v1"
@@ -187,7 +186,6 @@ def page_payloads(pages: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["page_id", "position", "payload"])
 
-    ship_package(pages.sparkSession)
     # pages without an article never reach Python
     candidates = pages.select("page_id", "url", "html").filter(F.col("html").contains("<article"))
     return candidates.mapInPandas(extract, "page_id long, position int, payload string")

@@ -51,20 +51,24 @@ def store_batch(payloads: DataFrame, batch_id: int, folder: str, policy: Capture
     look-up of stored captures sees only earlier batches.
     """
     spark = payloads.sparkSession
-    fitting, oversized = split_oversized(payloads, policy)
-    posts = validated_posts(fitting, policy=policy).persist()
+    # every table is written by a job of its own: read and parse the batch once for all of them
+    kept = [payloads.persist()]
     try:
+        fitting, oversized = split_oversized(payloads, policy)
+        posts = validated_posts(fitting, policy=policy).persist()
+        kept.append(posts)
         fresh = first_captures(accepted(posts))
         stored = read_table(spark, folder, "captured_posts", before_batch=batch_id)
         if stored is not None:
             fresh = not_yet_stored(fresh, stored)
         fresh = fresh.drop("payload").persist()
+        kept.append(fresh)
         tables = capture_tables(fresh)
         tables["quarantine"] = rejected(posts).select("payload", "captured_at", "errors").unionByName(oversized)
         write_batch(tables, folder, batch_id)
-        fresh.unpersist()
     finally:
-        posts.unpersist()
+        for frame in kept:
+            frame.unpersist()
 
 
 def start_capture(

@@ -10,7 +10,6 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql import types as T
 
 from postsignal.operators.learning import take_tokens
-from postsignal.runtime import ship_package
 from postsignal.policies import RetryPolicy, ThrottlePolicy, WeightPolicy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,7 +45,6 @@ class WeightFold(StatefulProcessor):
 
 def online_weights(rewarded: DataFrame, policy: WeightPolicy = WeightPolicy()) -> DataFrame:
     """Stream of weight updates: (key, value, steps) per key and micro-batch."""
-    ship_package(rewarded.sparkSession)
     return (
         rewarded.select("key", "ts", "event_id", "reward")
         .groupBy("key")
@@ -79,7 +77,6 @@ class TokenBucket(StatefulProcessor):
 
 def throttled(events: DataFrame, policy: ThrottlePolicy = ThrottlePolicy()) -> DataFrame:
     """Stream of (key, event_id, admitted) from events (key string, at_us long, event_id)."""
-    ship_package(events.sparkSession)
     id_type = events.schema["event_id"].dataType
     return (
         events.select("key", "at_us", "event_id")
