@@ -54,6 +54,8 @@ def store_batch(payloads: DataFrame, batch_id: int, folder: str, policy: Capture
     # every table is written by a job of its own: read and parse the batch once for all of them
     kept = [payloads.persist()]
     try:
+        if payloads.isEmpty():  # batches without data only move the watermark
+            return
         fitting, oversized = split_oversized(payloads, policy)
         posts = validated_posts(fitting, policy=policy).persist()
         kept.append(posts)
