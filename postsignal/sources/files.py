@@ -83,7 +83,8 @@ def image_hashes(spark: SparkSession, path: str) -> DataFrame:
     images = spark.read.format("image").option("dropInvalid", "true").load(path)
     i = F.col("image")
     return images.select(
-        i["origin"].alias("path"),
+        # the image source writes local paths as file:///, the binary source as file:/
+        F.regexp_replace(i["origin"], "^file:/+", "file:/").alias("path"),
         pixel_hash(i["data"], i["height"], i["width"], i["nChannels"]).alias("perceptual_hash"),
     )
 
