@@ -122,9 +122,6 @@ def take_tokens(
     return flags, tokens, last
 
 
-_SUMMARY = "chunk int, _key string, tokens double, last_us long"
-
-
 def throttle(
     events: DataFrame, key: str, at_us: str, event_id: str, policy: ThrottlePolicy = ThrottlePolicy()
 ) -> DataFrame:
@@ -132,75 +129,81 @@ def throttle(
 
     A bucket is sequential, but one key may hold most events, so keys are cut into ordered
     chunks. All chunks run in parallel from a guessed state (what the chunk before ended with in
-    the last round; a full bucket at first); chunks whose true start differs run again until
-    every chunk started from the state its predecessor ended with. That fixed point is the
-    sequential result. Buckets forget their past whenever they fill up, so few rounds are needed.
+    the last round; a full bucket at first). Keys of several chunks run again until every chunk
+    started from the state its predecessor ended with, which is the sequential result. Buckets
+    forget their past whenever they fill up, so few rounds are needed.
     """
-    width_cols = [F.col(key).cast("string").alias("_key"), F.col(at_us).alias("_us"), F.col(event_id).alias("_id")]
-    chunked = materialize(range_chunks(events.select(*width_cols), ["_key"], ["_us", "_id"]))
-
+    narrow = events.select(
+        F.col(key).cast("string").alias("_key"), F.col(at_us).alias("_us"), F.col(event_id).alias("_id")
+    )
+    chunked = materialize(range_chunks(narrow, ["_key"], ["_us", "_id"]))
     starts = materialize(_first_starts(chunked, policy))
+    long_keys = starts.filter("start_us is not null").select("_key").distinct()
+    pending = chunked.join(long_keys, "_key", "left_semi")
     while True:
-        joined = chunked.join(starts.drop("round_changed"), ["_key", "chunk"])
-        ends = joined.groupBy("_key", "chunk").applyInPandas(_chunk_end(policy), _SUMMARY)
-        # one row per (key, chunk): at most one per shuffle partition and key
+        ends = _run_chunks(pending, starts, policy, flags=False)
+        # one row per key and chunk: at most one per shuffle partition and key
         before = Window.partitionBy("_key").orderBy("chunk")
-        state = F.struct("tokens", "last_us")
-        proposed = ends.withColumn("_s", F.lag(state).over(before)).select(
-            "_key", "chunk",
-            F.col("_s.tokens").alias("start_tokens"), F.col("_s.last_us").alias("start_us"),
+        last = F.lag(F.struct("tokens", "last_us")).over(before)
+        proposed = ends.withColumn("_s", last).select(
+            "_key", "chunk", F.col("_s.tokens").alias("_t"), F.col("_s.last_us").alias("_u")
         )
-        old = starts.select("_key", "chunk", F.col("start_tokens").alias("_t"), F.col("start_us").alias("_u"))
+        same = F.col("start_tokens").eqNullSafe(F.col("_t")) & F.col("start_us").eqNullSafe(F.col("_u"))
+        known = F.col("_new").isNotNull()
         merged = materialize(
-            proposed.join(old, ["_key", "chunk"]).withColumn(
-                "round_changed",
-                ~(F.col("start_tokens").eqNullSafe(F.col("_t")) & F.col("start_us").eqNullSafe(F.col("_u"))),
-            ).drop("_t", "_u")
+            starts.join(proposed.withColumn("_new", F.lit(True)), ["_key", "chunk"], "left").select(
+                "_key",
+                "chunk",
+                F.when(known, F.col("_t")).otherwise(F.col("start_tokens")).alias("start_tokens"),
+                F.when(known, F.col("_u")).otherwise(F.col("start_us")).alias("start_us"),
+                (known & ~same).alias("changed"),
+            )
         )
-        settled = merged.filter("round_changed").isEmpty()
-        starts = merged
-        if settled:
+        starts = merged.drop("changed")
+        if merged.filter("changed").isEmpty():
             break
-    final = chunked.join(starts.drop("round_changed"), ["_key", "chunk"])
-    flags = final.groupBy("_key", "chunk").applyInPandas(
-        _chunk_flags(policy), f"_id {events.schema[event_id].dataType.simpleString()}, admitted boolean"
-    )
+    flags = _run_chunks(chunked, starts, policy, flags=True)
     return events.join(flags.withColumnRenamed("_id", event_id), event_id)
 
 
 def _first_starts(chunked: DataFrame, policy: ThrottlePolicy) -> DataFrame:
     """First guess: a key's first chunk starts without a bucket, later ones with a full one."""
     ends = chunked.groupBy("_key", "chunk").agg(F.max("_us").alias("_end"))
-    before = Window.partitionBy("_key").orderBy("chunk")
-    previous = F.lag("_end").over(before)
+    previous = F.lag("_end").over(Window.partitionBy("_key").orderBy("chunk"))
     return ends.select(
         "_key", "chunk",
         F.when(previous.isNotNull(), F.lit(float(policy.capacity))).alias("start_tokens"),
         previous.alias("start_us"),
-        F.lit(True).alias("round_changed"),
     )
 
 
-def _start(pdf: pd.DataFrame) -> tuple[float | None, int | None]:
-    tokens, last = pdf["start_tokens"].iloc[0], pdf["start_us"].iloc[0]
-    return (None, None) if pd.isna(tokens) else (float(tokens), int(last))
-
-
-def _chunk_end(policy: ThrottlePolicy):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["_us", "_id"])
-        _, tokens, last = take_tokens(rows["_us"].tolist(), *_start(rows), policy)
-        return pd.DataFrame(
-            {"chunk": [rows["chunk"].iloc[0]], "_key": [rows["_key"].iloc[0]], "tokens": [tokens], "last_us": pd.array([last], dtype="Int64")}
-        )
-
-    return run
+def _run_chunks(chunked: DataFrame, starts: DataFrame, policy: ThrottlePolicy, flags: bool) -> DataFrame:
+    """Run every chunk from its start state: flags per event, or end states per key and chunk.
 
+    A chunk is one range partition, whatever number of keys it holds.
+    """
+    id_type = chunked.schema["_id"].dataType.simpleString()
 
-def _chunk_flags(policy: ThrottlePolicy):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["_us", "_id"])
-        flags, _, _ = take_tokens(rows["_us"].tolist(), *_start(rows), policy)
-        return pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": flags})
-
-    return run
+        rows = pdf.sort_values(["_key", "_us", "_id"])
+        keys, micros = rows["_key"].tolist(), rows["_us"].tolist()
+        tokens, last = rows["start_tokens"].tolist(), rows["start_us"].tolist()
+        admitted, ends, at = [], [], 0
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            fresh = pd.isna(last[at])
+            some, left, updated = take_tokens(
+                micros[at:end], None if fresh else tokens[at], None if fresh else int(last[at]), policy
+            )
+            admitted += some
+            ends.append((keys[at], rows["chunk"].iloc[0], left, updated))
+            at = end
+        if flags:
+            return pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": admitted})
+        out = pd.DataFrame(ends, columns=["_key", "chunk", "tokens", "last_us"])
+        return out.astype({"tokens": "float64", "last_us": "Int64"})
+
+    schema = f"_id {id_type}, admitted boolean" if flags else "_key string, chunk int, tokens double, last_us long"
+    return chunked.join(starts, ["_key", "chunk"]).groupBy("chunk").applyInPandas(run, schema)

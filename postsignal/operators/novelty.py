@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,19 +12,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postsignal.operators.ordered import with_position
+from postsignal.runtime import shuffle_width
 
 
-def _ratio(a: str | None, b: str | None) -> float:
+def _ratio(a: str | None, b: str | None, floor: float = -1.0) -> float:
+    """Matching-blocks ratio of the lower-cased texts; ``floor`` when it cannot exceed that.
+
+    The blocks of a region never exceed its shorter side. With the regions still to be searched
+    that bounds the ratio, and unrelated texts drop below the floor after a few blocks.
+    """
     a, b = (a or "").lower(), (b or "").lower()
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    if a == b:
+        return 1.0
+    total = len(a) + len(b)
+    open_, matched = min(len(a), len(b)), 0
+    if 2.0 * open_ / total <= floor:
+        return floor
+    matcher = SequenceMatcher(None, a, b)
+    regions = [(-open_, 0, len(a), 0, len(b))]
+    while regions:
+        size, alo, ahi, blo, bhi = heappop(regions)
+        open_ += size
+        block = matcher.find_longest_match(alo, ahi, blo, bhi)
+        if block.size:
+            matched += block.size
+            for part in (
+                (alo, block.a, blo, block.b),
+                (block.a + block.size, ahi, block.b + block.size, bhi),
+            ):
+                shorter = min(part[1] - part[0], part[3] - part[2])
+                if shorter:
+                    open_ += shorter
+                    heappush(regions, (-shorter, *part))
+        if 2.0 * (matched + open_) / total <= floor:
+            return floor
+    return 2.0 * matched / total
 
 
 @F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of the lower-cased texts (difflib; no built-in equivalent)."""
+    """Matching-blocks ratio (difflib; there is no built-in equivalent)."""
     return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _similarity_over_half(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same where it exceeds 0.5, else 0.5: lower values do not change a fatigue score."""
+    return pd.Series([_ratio(x, y, 0.5) for x, y in zip(a, b)], dtype="float64")
+
+
 def _score(similarity: Column, threshold: float) -> Column:
     return F.when(similarity >= threshold, 80.0).otherwise(
         F.greatest(F.lit(0.0), (similarity - 0.5) * 100)
@@ -41,10 +78,15 @@ def recent_pairs(
     """
     narrow = posts.select(item, author, *[c for c in order if c != item], text)
     numbered = with_position(narrow, [author], order).withColumn("block", F.floor(F.col("position") / look_back))
-    new = numbered.select(item, author, F.col(text).alias("new_text"), F.col("position").alias("p"), F.explode(
-        F.array(F.col("block"), F.col("block") - 1)
-    ).alias("block"))
-    old = numbered.select(author, "block", F.col(text).alias("old_text"), F.col("position").alias("q"))
+    width = shuffle_width(posts.sparkSession)
+    # a fixed number of partitions: comparing is costly although the rows are few
+    new = numbered.select(
+        item, author, F.col(text).alias("new_text"), F.col("position").alias("p"),
+        F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"),
+    ).repartition(width, author, "block")
+    old = numbered.select(
+        author, "block", F.col(text).alias("old_text"), F.col("position").alias("q")
+    ).repartition(width, author, "block")
     pairs = new.join(old, [author, "block"])
     return pairs.filter((F.col("q") < F.col("p")) & (F.col("q") >= F.col("p") - look_back)).select(
         item, "new_text", "old_text"
@@ -58,13 +100,13 @@ def fatigue(
     """Fatigue score of every post from its most similar recent text.
 
     80 with an issue at or above the threshold; else 100 * (similarity - 0.5), at least 0; 0
-    without earlier posts. Pairs whose lengths alone keep the ratio below 0.5 cannot change the
-    score and skip the comparison; equal pairs are compared once.
+    without earlier posts. Pairs that cannot exceed 0.5 cannot change the score, so a comparison
+    ends as soon as that is certain; where the lengths alone tell, it does not start.
     """
     pairs = recent_pairs(posts, item, author, order, text, look_back)
     a, b = F.length(F.lower("new_text")), F.length(F.lower("old_text"))
     possible = pairs.filter(4 * F.least(a, b) >= a + b)
-    scored = possible.select(item, text_similarity("new_text", "old_text").alias("s"))
+    scored = possible.select(item, _similarity_over_half("new_text", "old_text").alias("s"))
     best = scored.groupBy(item).agg(F.max("s").alias("similarity"))
     similarity = F.coalesce(F.col("similarity"), F.lit(0.0))
     return posts.select(item).join(best, item, "left").select(

@@ -17,6 +17,8 @@ def build_session(app_name: str = "postsignal", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # hash joins instead of sorting both sides, where every partition is measured to be small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128MB",
         **conf,
     }
     for key, value in settings.items():
