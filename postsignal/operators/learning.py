@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -122,88 +123,134 @@ def take_tokens(
     return flags, tokens, last
 
 
+def bucket_response(micros: list[int], last: int, policy: ThrottlePolicy) -> list[tuple[float, float, float]]:
+    """End tokens of a bucket after the given events as a function of its tokens at ``last``.
+
+    The function is piecewise: from each breakpoint on it is ``slope * x + offset`` with slope 1
+    (the start still shows) or 0 (the bucket was full in between). Admitting shifts a piece down
+    by the cost, and neighbours that have been shifted alike become one piece again, so there
+    are only about ``capacity / cost`` pieces however many events there are.
+    """
+    cap, cost = policy.capacity, policy.cost
+    pieces = [(0.0, 1.0, 0.0)]
+    for now in micros:
+        refill = max(0.0, (now - last) / 1_000_000) * policy.refill_per_s
+        last = now
+        changed: list[tuple[float, float, float]] = []
+        for i, (low, slope, offset) in enumerate(pieces):
+            high = pieces[i + 1][0] if i + 1 < len(pieces) else cap + 1.0
+            offset += refill
+            parts = [(low, slope, offset)]
+            if slope == 0.0:
+                parts = [(low, 0.0, min(cap, offset))]
+            elif low + offset >= cap:
+                parts = [(low, 0.0, cap)]
+            elif high + offset > cap:
+                parts = [(low, 1.0, offset), (cap - offset, 0.0, cap)]
+            for j, (lo, k, o) in enumerate(parts):
+                hi = parts[j + 1][0] if j + 1 < len(parts) else high
+                if k * lo + o >= cost:
+                    changed.append((lo, k, o - cost))
+                elif k == 1.0 and hi + o > cost:
+                    changed += [(lo, 1.0, o), (cost - o, 1.0, o - cost)]
+                else:
+                    changed.append((lo, k, o))
+        pieces = changed[:1]
+        for piece in changed[1:]:
+            if piece[1] != pieces[-1][1] or abs(piece[2] - pieces[-1][2]) > 1e-9:
+                pieces.append(piece)
+    return pieces
+
+
 def throttle(
     events: DataFrame, key: str, at_us: str, event_id: str, policy: ThrottlePolicy = ThrottlePolicy()
 ) -> DataFrame:
     """Admit or refuse every event by its key's token bucket: adds ``admitted``.
 
     A bucket is sequential, but one key may hold most events, so keys are cut into ordered
-    chunks. All chunks run in parallel from a guessed state (what the chunk before ended with in
-    the last round; a full bucket at first). Keys of several chunks run again until every chunk
-    started from the state its predecessor ended with, which is the sequential result. Buckets
-    forget their past whenever they fill up, so few rounds are needed.
+    chunks. For keys of several chunks every chunk is first reduced, in parallel, to its end
+    state as a function of its start state; applying these few small functions in order gives
+    the true start of every chunk, and all chunks then run in parallel.
     """
     narrow = events.select(
         F.col(key).cast("string").alias("_key"), F.col(at_us).alias("_us"), F.col(event_id).alias("_id")
     )
     chunked = materialize(range_chunks(narrow, ["_key"], ["_us", "_id"]))
-    starts = materialize(_first_starts(chunked, policy))
+    ends = chunked.groupBy("_key", "chunk").agg(F.max("_us").alias("_end"))
+    # one row per key and chunk: at most one per shuffle partition and key
+    starts = ends.withColumn(
+        "start_us", F.lag("_end").over(Window.partitionBy("_key").orderBy("chunk"))
+    ).drop("_end")
     long_keys = starts.filter("start_us is not null").select("_key").distinct()
-    pending = chunked.join(long_keys, "_key", "left_semi")
-    while True:
-        ends = _run_chunks(pending, starts, policy, flags=False)
-        # one row per key and chunk: at most one per shuffle partition and key
-        before = Window.partitionBy("_key").orderBy("chunk")
-        last = F.lag(F.struct("tokens", "last_us")).over(before)
-        proposed = ends.withColumn("_s", last).select(
-            "_key", "chunk", F.col("_s.tokens").alias("_t"), F.col("_s.last_us").alias("_u")
-        )
-        same = F.col("start_tokens").eqNullSafe(F.col("_t")) & F.col("start_us").eqNullSafe(F.col("_u"))
-        known = F.col("_new").isNotNull()
-        merged = materialize(
-            starts.join(proposed.withColumn("_new", F.lit(True)), ["_key", "chunk"], "left").select(
-                "_key",
-                "chunk",
-                F.when(known, F.col("_t")).otherwise(F.col("start_tokens")).alias("start_tokens"),
-                F.when(known, F.col("_u")).otherwise(F.col("start_us")).alias("start_us"),
-                (known & ~same).alias("changed"),
-            )
-        )
-        starts = merged.drop("changed")
-        if merged.filter("changed").isEmpty():
-            break
-    flags = _run_chunks(chunked, starts, policy, flags=True)
+    pending = chunked.join(long_keys, "_key", "left_semi").join(starts, ["_key", "chunk"])
+    responses = pending.groupBy("chunk").applyInPandas(_responses(policy), _RESPONSE)
+    tokens = responses.groupBy("_key").applyInPandas(_chain, "_key string, chunk int, start_tokens double")
+    started = starts.join(tokens, ["_key", "chunk"], "left")
+    id_type = events.schema[event_id].dataType.simpleString()
+    flags = (
+        chunked.join(started, ["_key", "chunk"])
+        .groupBy("chunk")
+        .applyInPandas(_flags(policy), f"_id {id_type}, admitted boolean")
+    )
     return events.join(flags.withColumnRenamed("_id", event_id), event_id)
 
 
-def _first_starts(chunked: DataFrame, policy: ThrottlePolicy) -> DataFrame:
-    """First guess: a key's first chunk starts without a bucket, later ones with a full one."""
-    ends = chunked.groupBy("_key", "chunk").agg(F.max("_us").alias("_end"))
-    previous = F.lag("_end").over(Window.partitionBy("_key").orderBy("chunk"))
-    return ends.select(
-        "_key", "chunk",
-        F.when(previous.isNotNull(), F.lit(float(policy.capacity))).alias("start_tokens"),
-        previous.alias("start_us"),
-    )
+_RESPONSE = "_key string, chunk int, low array<double>, slope array<double>, offset array<double>"
 
 
-def _run_chunks(chunked: DataFrame, starts: DataFrame, policy: ThrottlePolicy, flags: bool) -> DataFrame:
-    """Run every chunk from its start state: flags per event, or end states per key and chunk.
+def _runs(rows: pd.DataFrame):
+    """(key, first row, event times) of every key in a sorted chunk."""
+    keys, micros = rows["_key"].tolist(), rows["_us"].tolist()
+    at = 0
+    while at < len(keys):
+        end = at + 1
+        while end < len(keys) and keys[end] == keys[at]:
+            end += 1
+        yield keys[at], at, micros[at:end]
+        at = end
 
-    A chunk is one range partition, whatever number of keys it holds.
-    """
-    id_type = chunked.schema["_id"].dataType.simpleString()
 
+def _responses(policy: ThrottlePolicy):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["_key", "_us", "_id"])
-        keys, micros = rows["_key"].tolist(), rows["_us"].tolist()
-        tokens, last = rows["start_tokens"].tolist(), rows["start_us"].tolist()
-        admitted, ends, at = [], [], 0
-        while at < len(keys):
-            end = at + 1
-            while end < len(keys) and keys[end] == keys[at]:
-                end += 1
-            fresh = pd.isna(last[at])
-            some, left, updated = take_tokens(
-                micros[at:end], None if fresh else tokens[at], None if fresh else int(last[at]), policy
+        before = rows["start_us"].tolist()
+        out = []
+        for key, at, micros in _runs(rows):
+            if pd.isna(before[at]):
+                _, tokens, _ = take_tokens(micros, None, None, policy)
+                pieces = [(0.0, 0.0, -1.0 if tokens is None else tokens)]
+            else:
+                pieces = bucket_response(micros, int(before[at]), policy)
+            out.append((key, rows["chunk"].iloc[0], *(list(column) for column in zip(*pieces))))
+        return pd.DataFrame(out, columns=["_key", "chunk", "low", "slope", "offset"])
+
+    return run
+
+
+def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Start tokens of every later chunk of one key from the responses of the chunks before."""
+    rows = pdf.sort_values("chunk")
+    starts, tokens = [], None
+    for low, slope, offset in zip(rows["low"], rows["slope"], rows["offset"]):
+        starts.append(tokens)
+        at = max(bisect_right(list(low), tokens or 0.0) - 1, 0)
+        tokens = slope[at] * (tokens or 0.0) + offset[at]
+    out = pd.DataFrame({"_key": rows["_key"], "chunk": rows["chunk"], "start_tokens": starts})
+    return out.astype({"start_tokens": "float64"})
+
+
+def _flags(policy: ThrottlePolicy):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["_key", "_us", "_id"])
+        tokens, before = rows["start_tokens"].tolist(), rows["start_us"].tolist()
+        admitted = []
+        for _, at, micros in _runs(rows):
+            # without room for one event no bucket ever comes to exist
+            fresh = pd.isna(before[at]) or policy.cost > policy.capacity
+            some, _, _ = take_tokens(
+                micros, None if fresh else tokens[at], None if fresh else int(before[at]), policy
             )
             admitted += some
-            ends.append((keys[at], rows["chunk"].iloc[0], left, updated))
-            at = end
-        if flags:
-            return pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": admitted})
-        out = pd.DataFrame(ends, columns=["_key", "chunk", "tokens", "last_us"])
-        return out.astype({"tokens": "float64", "last_us": "Int64"})
-
-    schema = f"_id {id_type}, admitted boolean" if flags else "_key string, chunk int, tokens double, last_us long"
-    return chunked.join(starts, ["_key", "chunk"]).groupBy("chunk").applyInPandas(run, schema)
+        return pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": admitted})
+
+    return run

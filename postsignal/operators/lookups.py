@@ -60,8 +60,8 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def tag_with_terms(posts: DataFrame, lexicon: DataFrame, ids: Sequence[str], text: str = "text") -> DataFrame:
     """Tags of a lexicon *table* (category, term): one row per post and category with a hit.
 
-    Lexicons are curated lists; the table is collected to literals only up to a fixed size,
-    beyond which the terms are matched by a regular expression per category.
+    Lexicons are curated lists. The table becomes literals of the plan, so the posts are not
+    shuffled; larger tables than the fixed limit are refused.
     """
     limit = 5_000
     rows = lexicon.select("category", "term").distinct().limit(limit + 1).collect()

@@ -66,6 +66,18 @@ def test_throttle_equals_one_bucket_per_key(spark):
         assert got == want
 
 
+def test_bucket_response_stays_small_and_exact():
+    rnd = random.Random(9)
+    for policy in (ThrottlePolicy(3, 0.25, 1), ThrottlePolicy(60, 10, 1), ThrottlePolicy(10, 0.5, 4)):
+        micros = sorted(rnd.randrange(4_000) * 250_000 for _ in range(600))
+        pieces = L.bucket_response(micros, 0, policy)
+        assert len(pieces) <= policy.capacity / policy.cost + 3
+        for start in (0.0, 0.3, 1.0, 2.75, policy.capacity):
+            _, want, _ = L.take_tokens(micros, start, 0, policy)
+            low, slope, offset = [p for p in pieces if p[0] <= start][-1]
+            assert slope * start + offset == pytest.approx(want)
+
+
 def test_throttle_parameters():
     with pytest.raises(ValueError):
         ThrottlePolicy(capacity=0)
