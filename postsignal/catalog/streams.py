@@ -125,7 +125,7 @@ SQL = {
         len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::bigint as links, len(regexp_extract_all(html, '(?i)<p[\s>]'))::bigint as paragraphs from pages""",
     "page_posts": r"""with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as art from pages where contains(html, '<article>')),
         h as (select page_id, regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1) as t from a),
-        d as (select page_id, replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') as t from h)
+        d as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', chr(160), 'g'), '&amp;?', '&', 'g') as t from h)
         select page_id, 'https://x.com/p/status/' || page_id as url, 'Page' || page_id as author_handle, '2024-01-01T00:00:00Z' as timestamp,
           trim(regexp_replace(t, '\s+', ' ', 'g')) as text, '7' as likes from d""",
 }
