@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postsignal.llm.common import table
 from postsignal.llm.exact_dedup import exact_groups
+from postsignal.llm.simhash_dedup import simhash_groups
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_exact_dedup,
+        op2_simhash_dedup,
+    )
+}
 
 SQL = {
     "op1_exact_dedup": """
