@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postsignal.llm.common import table
 from postsignal.llm.exact_dedup import exact_groups
+from postsignal.llm.hash_tree import shard_rows, tree
+from postsignal.llm.host_reputation import Rule, judge_urls
+from postsignal.llm.mixing import mix
 from postsignal.llm.simhash_dedup import simhash_groups
+from postsignal.llm.substring_dedup import remove_repeated_passages
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +22,46 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), tree([1.0] * 16))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+
+
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of a page: the quality label of the document that its url names by number."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/?#]*/[^?#]*?([0-9]{1,18})[^0-9/?#]*/?(?:[?#]|$)", 1)
+    named = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    return judge_urls(pages, named.join(labels, "doc_id"), URL_RULES).drop("bound")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_exact_dedup,
         op2_simhash_dedup,
+        op3_substring_dedup,
+        op4_hash_tree,
+        op5_mixing,
+        op10_host_reputation,
     )
 }
 
@@ -31,3 +71,47 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
   doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))""",
 }
+
+SQL["op5_mixing"] = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as hash
+  from documents
+),
+sources as (
+  select source, sum(size)::bigint as source_size,
+    [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight
+  from sized group by source
+),
+capped as (select *, source_size * 2.0::double as cap from sources),
+levels as (
+  select *, cap / weight as ratio,
+    (sum(source_size) over () * 1.5::double
+      - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0::double))
+      / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from capped
+),
+targets as (
+  select source, source_size,
+    case when level * weight >= cap then cap
+      else arg_min(level, ratio) filter (not level * weight >= cap) over () * weight end as target
+  from levels
+),
+planned as (
+  select *, floor(target / greatest(source_size, 1))::bigint as passes,
+    target - floor(target / greatest(source_size, 1))::bigint * source_size as rest
+  from targets
+),
+running as (
+  select source, hash, sum(size) as tokens, sum(sum(size)) over (partition by source order by hash) as upto
+  from sized where size > 0 group by source, hash
+),
+crossing as (
+  select r.source, min(r.hash) as hash, arg_min(r.tokens, r.hash) as tokens, arg_min(r.upto, r.hash) as upto, any_value(p.rest) as rest
+  from running r join planned p on r.source is not distinct from p.source
+  where p.rest > 0 and r.upto >= p.rest group by r.source
+)
+select s.doc_id, s.size, p.source_size, p.target,
+  (s.size * (p.passes + (s.hash < coalesce(case when (c.rest - (c.upto - c.tokens)) * 2 >= c.tokens then c.hash + 1 else c.hash end, 0))::int))::bigint as taken
+from sized s join planned p on s.source is not distinct from p.source
+left join crossing c on s.source is not distinct from c.source"""
