@@ -75,3 +75,25 @@ def rows_of(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id") -> DataFra
     ids = stored(kept.select(F.struct(F.col("doc_id").alias("id")).alias("_key")).distinct(), "kept-ids")
     keyed = docs.withColumn("_key", F.struct(F.col(doc_id).alias("id")))
     return keyed.join(ids, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
+class Recent(dict):
+    """A bounded cache of computed values, two generations deep.
+
+    When ``most`` entries are held they become the old generation; old entries that are used again
+    move to the new one, and the rest go when the next generation is full.
+    """
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
