@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsignal.llm.common import table
 from postsignal.llm.exact_dedup import exact_groups
+from postsignal.llm.hash_forest import nearest
 from postsignal.llm.hash_tree import shard_rows, tree
 from postsignal.llm.host_reputation import Rule, judge_urls
 from postsignal.llm.mixing import mix
+from postsignal.llm.quality import fit, held_out, score
+from postsignal.llm.sentencepiece_bpe import decode_ids, encode_texts
 from postsignal.llm.simhash_dedup import simhash_groups
 from postsignal.llm.substring_dedup import remove_repeated_passages
+from postsignal.llm.token_counts import count_tokens
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +40,31 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shares = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, shares).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+def op9_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 URL_RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
@@ -61,6 +91,10 @@ QUERIES = {
         op3_substring_dedup,
         op4_hash_tree,
         op5_mixing,
+        op6_sentencepiece,
+        op7_quality,
+        op8_token_counts,
+        op9_hash_forest,
         op10_host_reputation,
     )
 }
