@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postsignal.llm.common import stored, word_count
@@ -91,11 +91,36 @@ def boundary(held: DataFrame, state: DataFrame, low: int) -> DataFrame:
     return held.join(edge, same, "left_semi")
 
 
+def id_hash(doc_id: Column) -> Column:
+    """Hash that decides on a document; null ids are one id."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def mix_plan(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(source, source_size, target, passes, below) from rows with source, size and hash."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = stored(targets(sizes, weights, share, most), "mix-targets")
+    passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
+    planned = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
+    below = thresholds(rows.filter("size > 0"), planned.filter("rest > 0").select("source", "rest"))
+    named = below.withColumnRenamed("source", "_source")
+    return stored(
+        planned.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+            "source", "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")
+        ),
+        "mix-plan",
+    )
+
+
+WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
+
+
 def mix(
     docs: DataFrame,
-    weights: Sequence[float] = (5, 2, 1),
-    share: float = 1.5,
-    most: float = 2.0,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
@@ -103,30 +128,42 @@ def mix(
     """One row per row of ``docs``: doc_id, size, source_size, target, taken.
 
     ``size`` counts the words between ASCII white space (null text: 0); ``taken`` is the number of
-    words the mix takes of the document, in whole passes: at most ``ceil(most)`` of them. The hash is of the id, so repeated rows are taken alike; null ids are one
-    id. A null source is a source of its own, the last. An empty table gives an empty result.
+    words the mix takes of the document, in whole passes: at most ``ceil(most)`` of them. The hash is
+    of the id, so repeated rows are taken alike; null ids are one id. A null source is a source of its
+    own, the last. Other columns are ignored; an empty table gives an empty result.
     """
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
     rows = stored(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
-            F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+            id_hash(F.col(doc_id)).alias("hash"),
         ),
         "sized-documents",
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = stored(targets(sizes, weights, share, most), "mix-targets")
-    passes = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
-    planned = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    below = thresholds(rows.filter("size > 0"), planned.filter("rest > 0").select("source", "rest"))
-    plan = stored(
-        planned.join(below.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select(
-            F.col("source").alias("_source"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")
-        ),
-        "mix-plan",
-    )
+    plan = mix_plan(rows, weights, share, most).withColumnRenamed("source", "_source")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     taken = F.col("size") * (F.col("passes") + (F.col("hash") < F.col("below")).cast("long"))
     return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_rows(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, as often as the mix takes them.
+
+    The texts stay where they are: they meet only the plan, one row per source. Documents without
+    words are taken with the passes of their source.
+    """
+    sized = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(doc_id)).alias("hash"))
+    plan = mix_plan(stored(sized, "sized-documents"), weights, share, most)
+    plan = plan.select(F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.col("below").alias("_below"))
+    joined = docs.join(plan, F.col(source).eqNullSafe(F.col("_source")))
+    times = (F.col("_passes") + (id_hash(F.col(doc_id)) < F.col("_below")).cast("long")).cast("int")
+    return joined.withColumn("_pass", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

@@ -210,13 +210,20 @@ def fit(docs: DataFrame, labels: DataFrame, model: Training = Training(), label:
     return np.frombuffer(rows.mapInArrow(run, "shares binary").first()["shares"], np.float64)
 
 
-def score(docs: DataFrame, shares, model: Training = Training(), threshold: float = 0.7, text: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame,
+    shares,
+    model: Training = Training(),
+    threshold: float = 0.7,
+    text: str = "text",
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
     """``docs`` (all columns) with ``score`` and ``predicted`` (1 if score >= threshold).
 
     Only the text is read for the score. Null texts count as empty; an empty text has the score of
-    the bias alone. Columns of ``docs`` that are already called score or predicted are replaced.
+    the bias alone. Columns of ``docs`` that already have one of the two names give way.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    keep = [c for c in docs.columns if c not in names]
     given = docs.sparkSession.sparkContext.broadcast(shares)  # (buckets + 2) * 8 bytes
     digest = hash(shares.tobytes())
 
@@ -226,10 +233,10 @@ def score(docs: DataFrame, shares, model: Training = Training(), threshold: floa
 
         scorer = worker_state(("quality", digest), lambda: Scorer(given.value, model))
         for batch in batches:
-            texts = text_bytes(batch.column(batch.schema.get_field_index("_text")))
-            found = np.concatenate([scorer.scores(texts[a:b]) for a, b in by_bytes(texts, BATCH_BYTES)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found)], names=[*names, "score"])
+            texts = text_bytes(batch.column(len(keep)))
+            found = np.concatenate([np.zeros(0), *(scorer.scores(texts[a:b]) for a, b in by_bytes(texts, BATCH_BYTES))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, names[0]])
 
-    rows = docs.select(*names, F.col(text).alias("_text"))
-    schema = docs.select(*names).withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    scored = rows.mapInArrow(run, docs.select(*keep).schema.add(names[0], "double"))
+    return scored.withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))

@@ -17,9 +17,11 @@ bounded number of them. Characters without a piece become byte pieces.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from postsignal.llm.common import Recent, by_bytes, text_bytes, worker_state
 
@@ -209,13 +211,14 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: bool = True) -> DataFrame:
-    """(doc_id, ids): the ids of each text, with an end id if ``end``.
+def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: bool = True) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and ``ids``, the ids of each text, with an end id if ``end``.
 
-    One row per row, in any order. Null texts count as empty: no ids but the end id. Other columns
-    are ignored, ids may be null or repeat, an empty table gives an empty result.
+    One row per row, in any order. Null texts count as empty: no ids but the end id. Columns that are
+    not kept are ignored; a kept column called ids gives way. Rows may repeat, an empty table gives an
+    empty result.
     """
-    model = read_model(path)
+    model, keep = read_model(path), [c for c in keep if c != "ids"]
 
     def run(batches):
         import numpy as np
@@ -224,20 +227,24 @@ def encode_texts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         words = _vocabulary(model)
         last = np.array([words.eos], np.int32).tobytes() if end else b""
         for batch in batches:
-            docs, texts = batch.column(0), text_bytes(batch.column(1))
+            texts = text_bytes(batch.column(len(keep)))
             for a, b in by_bytes(texts, BATCH_BYTES):
                 coded = [words.encode(x.decode()) + last for x in texts[a:b]]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in coded)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), ids], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), ids], names=[*keep, "ids"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType()))
+    return rows.mapInArrow(run, schema)
 
 
 def decode_ids(coded: DataFrame, path: str) -> DataFrame:
-    """``coded`` (doc_id, ids) with the text of the ids as ``decoded``; null ids give a null text."""
-    model = read_model(path)
+    """``coded`` (all columns, with ``ids``) and the text of the ids as ``decoded``.
+
+    Null ids give a null text; a column that is already called decoded gives way.
+    """
+    model, keep = read_model(path), [c for c in coded.columns if c not in ("ids", "decoded")]
 
     def run(batches):
         import numpy as np
@@ -245,15 +252,13 @@ def decode_ids(coded: DataFrame, path: str) -> DataFrame:
 
         words = _vocabulary(model)
         for batch in batches:
-            ids = batch.column(1)
+            ids = batch.column(len(keep))
             offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
             valid = ids.is_valid().to_pylist()
             for a, b in by_bytes([range(n) for n in np.diff(offsets).tolist()], BATCH_BYTES // 4):
                 texts = [words.decode(values[offsets[i] : offsets[i + 1]]) if valid[i] else None for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), ids.slice(a, b - a), pa.array(texts, pa.string())],
-                    names=["doc_id", "ids", "decoded"],
-                )
+                held = [batch.column(i).slice(a, b - a) for i in range(len(keep) + 1)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(texts, pa.string())], names=[*keep, "ids", "decoded"])
 
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    rows = coded.select(*keep, "ids")
+    return rows.mapInArrow(run, coded.select(*keep, "ids").schema.add("decoded", "string"))
