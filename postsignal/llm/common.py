@@ -66,14 +66,20 @@ def text_bytes(column) -> list[bytes]:
 
 
 
-def rows_of(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept.doc_id``, each id once, with all columns.
+def text_key(text: Column) -> Column:
+    """Tells the texts under one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    The key is a struct, so null ids are ids like any other. Join and removal of repeated ids use
-    one shuffle, since both are by that key.
+
+def rows_of(docs: DataFrame, kept: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (doc_id, text_key) names, each once, with all columns.
+
+    The key is a struct of id and text key, so null ids are ids like any other, and rows that share an
+    id but not the text are told apart. Join and removal of repeated rows use one shuffle.
     """
-    ids = stored(kept.select(F.struct(F.col("doc_id").alias("id")).alias("_key")).distinct(), "kept-ids")
-    keyed = docs.withColumn("_key", F.struct(F.col(doc_id).alias("id")))
+    named = kept.select(F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("text")).alias("_key"))
+    ids = stored(named.distinct(), "kept-ids")
+    keyed = docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("text")))
     return keyed.join(ids, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 

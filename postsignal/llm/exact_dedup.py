@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import rows_of, stored
+from postsignal.llm.common import rows_of, stored, text_key
 
 #: Values of the hash universe per document: one in so many documents is a suspect by chance.
 SPARE = 256
@@ -129,7 +129,7 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_key.
 
     Texts are equal when their bytes are; a null text counts as empty. The largest id of a group
     stays. Rows repeated with one id and text count in ``group_size`` and all carry ``kept``, as they
@@ -137,7 +137,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     of ``docs`` other than the two named are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    rows = rows.withColumn("_hash", text_key(F.col("_text")))
     bitmaps = duplicate_bitmaps(rows.select("_hash"), docs.count())
     # fixed size, checked by construction: 2^10 rows of 4 KiB
     answer = F.broadcast(stored(bitmaps, "duplicate-bitmaps"))
@@ -154,7 +154,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "equal-texts",
     )
     joined = suspects.join(groups, ["_hash", "_text"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.col("_hash").alias("text_key")
     )
     single = marked.filter("not _suspect").select(
         "doc_id",
@@ -162,11 +162,12 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         F.sha2("_text", 256).alias("text_sha256"),
+        F.col("_hash").alias("text_key"),
     )
     return single.unionByName(joined)
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, each id once, with all columns."""
+    """The rows of ``docs`` that stay, one per text, with all columns."""
     kept = exact_groups(docs, doc_id, text).filter("kept")
-    return rows_of(docs, kept, doc_id)
+    return rows_of(docs, kept, doc_id, text)

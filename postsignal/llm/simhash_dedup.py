@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import rows_of, stored, text_bytes
+from postsignal.llm.common import rows_of, stored, text_bytes, text_key
 from postsignal.llm.graph import smallest_reachable
 
 WORDS = 4
@@ -58,19 +58,19 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, bits) with the fingerprint as a signed long; null texts have fingerprint zero."""
+    """(doc_id, text_key, bits), the fingerprint as a signed long; of null texts it is zero."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.column(0), text_bytes(batch.column(1))
+            texts = text_bytes(batch.column(2))
             found = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found)], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text_key", "bits"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, bits long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, bits long")
 
 
 def posting_lists(values: DataFrame) -> DataFrame:
@@ -172,27 +172,36 @@ def near_links(values: DataFrame) -> DataFrame:
     return together.mapInArrow(link, "x long, y long").distinct()
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id (smallest id reachable).
-
-    Documents link when their fingerprints differ in at most four bits; a component is what links
-    reach. Empty and null texts have fingerprint zero and link like any other; rows repeated with one
-    id are one document. Other columns of ``docs`` are ignored, null ids come back with the component
-    of their fingerprint (null if no other document has it), an empty table gives an empty result.
-    """
+def _members(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_key, bits, root, component_id) of every row; root is a fingerprint."""
     prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
     heads = stored(prints.groupBy("bits").agg(F.min("doc_id").alias("head")), "distinct-fingerprints")
     links = stored(near_links(heads.select("bits")), "fingerprint-links")
     roots = smallest_reachable(links.withColumnsRenamed({"x": "a", "y": "b"})).withColumnsRenamed({"node": "bits"})
     labelled = stored(heads.join(roots, "bits", "left").select("bits", "head", F.coalesce("root", "bits").alias("root")), "labelled-fingerprints")
     least = labelled.groupBy("root").agg(F.min("head").alias("component_id"))
-    components = stored(labelled.join(stored(least, "components"), "root").select("bits", "component_id"), "fingerprint-components")
-    return prints.join(components, "bits").select(
+    components = stored(labelled.join(stored(least, "components"), "root").select("bits", "root", "component_id"), "fingerprint-components")
+    return prints.join(components, "bits")
+
+
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id (smallest id reachable).
+
+    Documents link when their fingerprints differ in at most four bits; a component is what links
+    reach. Empty and null texts have fingerprint zero and link like any other. Rows repeated with one
+    id are one document. Other columns of ``docs`` are ignored, null ids come back with the smallest id
+    of their component (null if it has none), an empty table gives an empty result.
+    """
+    return _members(docs, doc_id, text).select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each component, with all columns."""
-    found = simhash_groups(docs, doc_id, text)
-    return rows_of(docs, found.filter("doc_id <=> component_id"), doc_id)
+    """The rows of ``docs`` that stay, with all columns: the smallest id of each component.
+
+    A component of null ids keeps one row.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = _members(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("first"))
+    return rows_of(docs, first.select("first.doc_id", "first.text_key"), doc_id, text)
