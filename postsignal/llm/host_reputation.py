@@ -82,33 +82,34 @@ def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return text, verdict
 
 
-def _level(children: DataFrame, parents: DataFrame, key: str, parent: str, policy: Policy) -> DataFrame:
-    """Posterior (alpha, beta) of each child from its counts and its parent's rate.
+def _strength(counts: DataFrame, policy: Policy) -> float:
+    """Pseudo-counts of the prior that a level's children share; one number of the whole level.
 
-    ``children`` has key, parent, good, n; ``parents`` has parent, rate. The strength of the prior is
-    fitted once per level: with ``p`` the parent's rate of each child, the variance beyond the
-    binomial one gives rho = (sum (good - n p)^2 - sum n p (1 - p)) / sum n (n - 1) p (1 - p), and the
+    ``counts`` has good and n of each child and ``rate``, its parent's. The variance beyond the
+    binomial one gives rho = (sum (good - n p)^2 - n p (1 - p)) / (sum n (n - 1) p (1 - p)), and the
     strength is 1 / rho - 1, kept within the policy's limits.
     """
-    joined = stored(children.join(parents, parent), f"{key}-counts")
     n, good, p = F.col("n"), F.col("good"), F.col("rate")
-    spread = joined.agg(
+    sums = counts.agg(
         F.sum((good - n * p) * (good - n * p) - n * p * (1 - p)).alias("beyond"),
         F.sum(n * (n - 1) * p * (1 - p)).alias("pairs"),
-    )
+    ).first()
     low, high = policy.strength
-    rho = F.col("beyond") / F.col("pairs")
-    fitted = F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(high))
-    spread = spread.select(F.least(F.greatest(F.coalesce(fitted, F.lit(high)), F.lit(low)), F.lit(high)).alias("strength"))
-    # one row on one side
-    both = joined.join(F.broadcast(spread), F.lit(True))
-    alpha = F.col("strength") * p + good
-    beta = F.col("strength") * (1 - p) + n - good
-    return both.select(key, alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("rate"))
+    rho = sums["beyond"] / sums["pairs"] if sums["pairs"] else 0.0
+    return min(max(1 / rho - 1, low), high) if rho > 0 else high
+
+
+def _posteriors(counts: DataFrame, key: str, policy: Policy) -> DataFrame:
+    """(key, alpha, beta, rate) of each child from its counts and its parent's rate."""
+    counts = stored(counts, f"{key}-counts")
+    strength = _strength(counts, policy)
+    alpha = F.col("rate") * strength + F.col("good")
+    beta = (1 - F.col("rate")) * strength + F.col("n") - F.col("good")
+    return stored(counts.select(key, alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("rate")), f"{key}-reputation")
 
 
-def reputations(outcomes: DataFrame, policy: Policy = Policy()) -> dict[str, DataFrame]:
-    """Posteriors of hosts, domains, suffixes and of the table: (key, alpha, beta, rate) each.
+def reputations(outcomes: DataFrame, policy: Policy = Policy()) -> tuple[dict[str, DataFrame], tuple[float, float]]:
+    """Posteriors (key, alpha, beta, rate) of hosts, domains and suffixes, and (alpha, beta) of all.
 
     ``outcomes`` has host and good (0 or 1); rows with a null in either are no outcome.
     """
@@ -118,16 +119,15 @@ def reputations(outcomes: DataFrame, policy: Policy = Policy()) -> dict[str, Dat
         ).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))),
         "host-outcomes",
     )
-    a, b = policy.first
-    top = hosts.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + a).alias("alpha"), (F.coalesce(F.sum(F.col("n") - F.col("good")), F.lit(0.0)) + b).alias("beta"))
-    top = stored(top.select(F.lit("").alias("all"), "alpha", "beta", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("rate")), "all-reputation")
-    levels, parents, parent = {"all": top}, top, "all"
-    for key in ("suffix", "domain", "host"):
-        up = F.lit("").alias("all") if parent == "all" else F.first(parent).alias(parent)
-        counts = hosts.groupBy(key).agg(up, F.sum("good").alias("good"), F.sum("n").alias("n")) if key != "host" else hosts.select("host", "domain", "good", "n")
-        levels[key] = stored(_level(counts, parents.select(parent, "rate"), key, parent, policy), f"{key}-reputation")
-        parents, parent = levels[key], key
-    return levels
+    total = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
+    alpha, beta = policy.first[0] + total["good"], policy.first[1] + total["n"] - total["good"]
+    sums = (F.sum("good").alias("good"), F.sum("n").alias("n"))
+    levels = {}
+    levels["suffix"] = _posteriors(hosts.groupBy("suffix").agg(*sums).withColumn("rate", F.lit(alpha / (alpha + beta))), "suffix", policy)
+    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(levels["suffix"].select("suffix", "rate"), "suffix")
+    levels["domain"] = _posteriors(domains, "domain", policy)
+    levels["host"] = _posteriors(hosts.join(levels["domain"].select("domain", "rate"), "domain"), "host", policy)
+    return levels, (alpha, beta)
 
 
 def lower_bound(alpha: Column, beta: Column, z: float) -> Column:
@@ -148,17 +148,16 @@ def judge_urls(
     result, and no outcomes at all leave the prior of the policy.
     """
     label_host, _ = host_and_path(F.col("url"))
-    levels = reputations(outcomes.select(label_host.alias("host"), "good"), policy)
+    levels, (alpha, beta) = reputations(outcomes.select(label_host.alias("host"), "good"), policy)
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))).withColumn("all", F.lit(""))
     # posteriors are joined per distinct host, pages once
-    hosts = rows.select("host", "domain", "suffix", "all").distinct()
-    bounds = []
-    for key in ("host", "domain", "suffix", "all"):
-        hosts = hosts.join(levels[key].select(key, lower_bound(F.col("alpha"), F.col("beta"), policy.z).alias(f"_{key}")), key, "left")
-        bounds.append(f"_{key}")
-    known = stored(hosts.select("host", F.coalesce(*bounds).alias("bound")), "host-bounds")
+    hosts = rows.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    for key in ("host", "domain", "suffix"):
+        bound = lower_bound(F.col("alpha"), F.col("beta"), policy.z)
+        hosts = hosts.join(levels[key].select(key, bound.alias(f"_{key}")), key, "left")
+    of_all = lower_bound(F.lit(alpha), F.lit(beta), policy.z)
+    known = stored(hosts.select("host", F.coalesce("_host", "_domain", "_suffix", of_all).alias("bound")), "host-bounds")
     text, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     decided = F.when(F.col("bound") >= policy.limit, "allow").otherwise("block")
     return rows.join(known, "host").select(

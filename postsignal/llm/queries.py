@@ -149,3 +149,57 @@ select s.doc_id, s.size, p.source_size, p.target,
   (s.size * (p.passes + (s.hash < coalesce(case when (c.rest - (c.upto - c.tokens)) * 2 >= c.tokens then c.hash + 1 else c.hash end, 0))::int))::bigint as taken
 from sized s join planned p on s.source is not distinct from p.source
 left join crossing c on s.source is not distinct from c.source"""
+
+_POSTERIORS = """
+{key}_strength as (
+  select case when coalesce(sum((good - n * rate) * (good - n * rate) - n * rate * (1 - rate)) / nullif(sum(n * (n - 1) * rate * (1 - rate)), 0), 0) > 0
+    then least(greatest(sum(n * (n - 1) * rate * (1 - rate)) / sum((good - n * rate) * (good - n * rate) - n * rate * (1 - rate)) - 1, 1.0), 1000.0)
+    else 1000.0 end as strength
+  from {key}_counts
+),
+{key}_posterior as (
+  select {key}, rate * strength + good as alpha, (1 - rate) * strength + n - good as beta,
+    (rate * strength + good) / (strength + n) as rate
+  from {key}_counts, {key}_strength
+)"""
+
+SQL["op10_host_reputation"] = rf"""
+with split as (
+  select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*/[^?#]*?([0-9]{{1,18}})[^0-9/?#]*/?(?:[?#]|$)', 1) as number
+  from pages
+),
+parts as (
+  select page_id, number, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from split
+),
+host_sums as (
+  select host, regexp_extract(host, '[^.]*\.?[^.]*$') as domain, regexp_extract(host, '[^.]*$') as suffix,
+    sum(l.quality)::double as good, count(*)::double as n
+  from parts p join labels l on l.doc_id = try_cast(nullif(p.number, '') as bigint) where l.quality is not null group by host
+),
+suffix_counts as (
+  select suffix, sum(good) as good, sum(n) as n,
+    (select (1.0::double + coalesce(sum(good), 0)) / (2.0::double + coalesce(sum(n), 0)) from host_sums) as rate
+  from host_sums group by suffix
+), {_POSTERIORS.format(key="suffix")},
+domain_counts as (
+  select domain, sum(good) as good, sum(n) as n, any_value(p.rate) as rate from host_sums join suffix_posterior p using (suffix) group by domain
+), {_POSTERIORS.format(key="domain")},
+host_counts as (select host, good, n, p.rate from host_sums join domain_posterior p using (domain)), {_POSTERIORS.format(key="host")},
+judged as (
+  select p.*, coalesce(h.alpha, d.alpha, s.alpha, (select 1.0 + coalesce(sum(good), 0) from host_sums)) as alpha,
+    coalesce(h.beta, d.beta, s.beta, (select 1.0 + coalesce(sum(n - good), 0) from host_sums)) as beta,
+    case {" ".join(
+        f"when (host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}') then '{r.text}'"
+        for r in sorted(URL_RULES, key=lambda r: (-len(r.text), r.text))
+    )} end as rule
+  from parts p left join host_posterior h using (host)
+  left join domain_posterior d on d.domain = regexp_extract(p.host, '[^.]*\.?[^.]*$')
+  left join suffix_posterior s on s.suffix = regexp_extract(p.host, '[^.]*$')
+)
+select page_id, host, path, rule, case {" ".join(f"when rule = '{r.text}' then '{r.verdict}'" for r in URL_RULES)}
+  when alpha / (alpha + beta) - sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) >= 0.7 then 'allow'
+  else 'block' end as verdict
+from judged"""

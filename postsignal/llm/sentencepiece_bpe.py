@@ -9,14 +9,15 @@ when none fits the last piece is taken back. The pieces before a position are de
 position alone, so a position that failed once is marked in a bitfield and never tried again: time is
 linear in the text.
 
-Texts are cut where no piece of the vocabulary reaches across: before a space mark that follows another
-character, and around characters that occur in no longer piece. Parts repeat, so each worker keeps a
-bounded number of them. Characters without a piece become byte pieces.
+Texts are cut between characters that no piece of the vocabulary holds side by side: before a space
+mark that follows another character, around line ends, before most punctuation. Parts repeat, so each
+worker keeps a bounded number of them. Characters without a piece become byte pieces.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -26,15 +27,14 @@ from pyspark.sql.types import ArrayType, IntegerType
 from postsignal.llm.common import Recent, by_bytes, text_bytes, worker_state
 
 MARK = "▁"
-#: Parts whose ids a worker keeps, and bytes of text per result batch.
-KEPT, BATCH_BYTES = 250_000, 1 << 22
+#: Parts and pairs that a worker keeps (parts twice as many), and bytes of text per result batch.
+KEPT, BATCH_BYTES = 120_000, 1 << 21
 
 
 class Vocabulary:
     """Pieces, scores and special ids of a model, and the encoder and decoder over them."""
 
     def __init__(self, model: bytes):
-        import ahocorasick
         import numpy as np
         import sentencepiece
 
@@ -48,15 +48,13 @@ class Vocabulary:
         plain = [i for i in range(size) if i not in special and not processor.is_byte(i)]
         self.ids = {processor.id_to_piece(i): i for i in plain}
         self.scores = {piece: processor.get_score(i) for piece, i in self.ids.items()}
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
-        self.automaton.make_automaton()
+        self.found_in, self.together = None, {}
         longer = [p for p in self.ids if len(p) > 1]
-        self.cuts_at_marks = not any(re.search(f"[^{MARK}]{MARK}", p) for p in longer)
-        self.line_cuts = not any("\n" in p for p in longer)
-        self.alone, self.together = {}, {}
-        self.spaced = Recent(lambda word: self.packed(MARK + word), KEPT)
+        # neighbouring characters that some piece holds together
+        self.inside = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
+        self.cuts_at_marks = not any(pair[1] == MARK and pair[0] != MARK for pair in self.inside)
+        self.line_cuts = not any("\n" in pair for pair in self.inside)
+        self.spaced = Recent(lambda word: self.joined(MARK + word), KEPT)
         self.bare = Recent(self.packed, KEPT)
         # ASCII bytes are characters of their own; other bytes are put together when decoding
         self.shown = [""] * size
@@ -82,48 +80,61 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stands_alone(self, piece: str) -> bool:
-        known = self.alone.get(piece)
-        if known is None:
-            known = self.alone[piece] = len(self.merged(piece)) == 1
-        return known
+    def matches(self):
+        """Finds the pieces of two characters or more that come back when merged anew."""
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for piece in self.ids:
+            if len(piece) > 1 and len(self.merged(piece)) == 1:
+                automaton.add_word(piece, piece)
+        automaton.make_automaton()
+        return automaton.iter
 
     def fits(self, left: str, right: str) -> bool:
-        known = self.together.get((left, right))
-        if known is None:
-            if len(self.together) > 4 * KEPT:
-                self.together.clear()
-            known = self.together[left, right] = self.merged(left + right) == [left, right]
+        """Whether two neighbours come back when their text is merged anew."""
+        if len(self.together) > KEPT:
+            self.together.clear()
+        known = self.together[left, right] = self.merged(left + right) == [left, right]
         return known
 
     def pieces(self, text: str) -> list[str]:
         """The encoding of a part, by backtracking."""
-        n = len(text)
-        # single characters first, so that they are the last resort
-        found = [[c] for c in text]
-        for end, piece in self.automaton.iter(text):
-            if len(piece) > 1:
-                found[end - len(piece) + 1].append(piece)
-        found.append([])
+        n, starts, together = len(text), {}, self.together
+        self.found_in = self.found_in or self.matches()
+        for end, piece in self.found_in(text):
+            # ends rise, so the longest piece of a start is the last of its list
+            starts.setdefault(end + 1 - len(piece), []).append(piece)
         failed = bytearray(n + 1)
-        taken, tried, at = [], [], 0
-        turn = len(found[0]) - 1
+        taken, tried = [], []
+        at, last = 0, None
+        options = starts.get(0, ())
+        turn = len(options) - 1
         while at < n:
-            while turn >= 0:
-                piece = found[at][turn]
+            while turn >= -1:  # -1: the single character, the last resort
+                piece = options[turn] if turn >= 0 else text[at]
                 end = at + len(piece)
-                if not failed[end] and self.stands_alone(piece) and (not taken or self.fits(taken[-1], piece)):
-                    break
+                if not failed[end]:
+                    if last is None:
+                        break
+                    known = together.get((last, piece))
+                    if known is None:
+                        known = self.fits(last, piece)
+                    if known:
+                        break
                 turn -= 1
-            if turn >= 0:
+            if turn >= -1:
                 taken.append(piece)
                 tried.append(turn)
-                at = end
-                turn = len(found[at]) - 1
+                at, last = end, piece
+                options = starts.get(at, ())
+                turn = len(options) - 1
             else:
                 failed[at] = 1
                 at -= len(taken.pop())
                 turn = tried.pop() - 1
+                last = taken[-1] if taken else None
+                options = starts.get(at, ())
         return taken
 
     def packed(self, text: str) -> bytes:
@@ -132,7 +143,18 @@ class Vocabulary:
         for piece in self.pieces(text):
             known = self.ids.get(piece)
             ids += [known] if known is not None else [self.bytes_at + b for b in piece.encode()]
-        return self.np.array(ids, self.np.int32).tobytes()
+        return array("i", ids).tobytes()
+
+    def joined(self, text: str) -> bytes:
+        """Ids of a word, cut where no piece reaches across."""
+        inside, parts, at = self.inside, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                parts.append(text[at:i])
+                at = i
+        if not at:
+            return self.packed(text)
+        return b"".join(map(self.bare.__getitem__, [*parts, text[at:]]))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers, without an end id."""
