@@ -54,8 +54,11 @@ def strings(vectors, forest: Forest):
     return out
 
 
-def candidates(index, queries, forest: Forest):
-    """Positions in ``index`` that the forest finds for each of ``queries`` (unit vectors)."""
+def candidates(index, queries, forest: Forest, least: int = 0):
+    """Positions in ``index`` that the forest finds for each of ``queries`` (unit vectors).
+
+    All trees ascend until they hold ``enough`` and, on average, ``least`` vectors each.
+    """
     import numpy as np
 
     arrays = strings(index, forest)
@@ -74,7 +77,7 @@ def candidates(index, queries, forest: Forest):
             low[t, climbing] = np.searchsorted(arrays[t], prefix)
             high[t, climbing] = np.searchsorted(arrays[t], prefix + (np.uint64(1) << shift))
         found = (high[:, climbing] - low[:, climbing]).sum(axis=0)
-        climbing = climbing[found < forest.enough * len(index)]
+        climbing = climbing[found < forest.enough * len(index) + forest.trees * least]
     for q in range(len(queries)):
         seen = np.zeros(len(index), bool)
         for t in range(forest.trees):
@@ -83,12 +86,16 @@ def candidates(index, queries, forest: Forest):
 
 
 def search_block(ids, vectors, query_ids, queries, k: int, forest: Forest):
-    """(query, id, score) rows: the ``k`` nearest candidates of a block for each query."""
+    """(query, id, score) rows: the ``k`` nearest candidates of a block for each query.
+
+    A query may meet itself and ``k`` copies in every tree; twice that many are asked for, so ``k``
+    others are found wherever there are so many.
+    """
     import numpy as np
 
     norms, own = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
     units, asked = vectors / norms[:, None], queries / own[:, None]
-    for q, places in enumerate(candidates(units, asked, forest)):
+    for q, places in enumerate(candidates(units, asked, forest, 2 * (k + 1))):
         places = places[ids[places] != query_ids[q]]
         near = units[places] @ asked[q]
         if len(places) > k:

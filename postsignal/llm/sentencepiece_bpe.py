@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from postsignal.llm.common import Recent, by_bytes, text_bytes, worker_state
 
 MARK = "▁"
-#: Parts and pairs that a worker keeps (parts twice as many), and bytes of text per result batch.
-KEPT, BATCH_BYTES = 120_000, 1 << 21
+#: Parts (twice as many) and pairs that a worker keeps, and bytes of text per result batch.
+KEPT, PAIRS, BATCH_BYTES = 120_000, 300_000, 1 << 21
 
 
 class Vocabulary:
@@ -93,7 +93,7 @@ class Vocabulary:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether two neighbours come back when their text is merged anew."""
-        if len(self.together) > KEPT:
+        if len(self.together) > PAIRS:
             self.together.clear()
         known = self.together[left, right] = self.merged(left + right) == [left, right]
         return known
