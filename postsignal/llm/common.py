@@ -37,11 +37,14 @@ def word_count(text: Column) -> Column:
 def worker_state(key: tuple, make: Callable[[], object]) -> object:
     """An object kept by a Python worker across its tasks (a model, a bounded cache).
 
-    Functions travel to the workers by value, so their own globals start afresh in each task.
+    Functions travel to the workers by value, so their own globals start afresh in each task. ``key``
+    begins with the name of an operator; what another operator has left in a reused worker goes.
     """
     kept = sys.modules.setdefault("_postsignal_worker_state", types.ModuleType("_postsignal_worker_state"))
     states = kept.__dict__.setdefault("states", {})
     if key not in states:
+        for other in [k for k in states if k[0] != key[0]]:
+            del states[other]
         states[key] = make()
     return states[key]
 

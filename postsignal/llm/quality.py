@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from postsignal.llm.common import by_bytes, stored, text_bytes, worker_state
 
-#: Bytes of text worked on together, and words whose shares a worker keeps.
-BATCH_BYTES, KEPT = 1 << 22, 300_000
+#: Bytes of text worked on together, words whose shares a worker keeps, words whose features are made at once.
+BATCH_BYTES, KEPT, SLICE = 1 << 20, 200_000, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def train(texts: list[bytes], labels: list[int], model: Training):
     bags = []
     for text in texts:
         keys, counts = bag(text, model)
-        bags.append((keys, counts / max(1.0, counts.sum())))
+        bags.append((keys.astype(np.int32), (counts / max(1.0, counts.sum())).astype(np.float32)))
     labels = np.asarray(labels)
     share = np.clip(np.bincount(labels, minlength=2) / len(labels), 1e-9, 1)
     weight = (0.5 / share) ** model.balance
@@ -165,10 +165,13 @@ class Scorer:
             self.forget()
         new = list(set().union(*parts).difference(self.index))
         if new:
-            flat, offsets = word_features(new, self.model)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.sums = np.concatenate([self.sums, np.add.reduceat(self.shares[flat], offsets[:-1])])
-            self.sizes = np.concatenate([self.sizes, np.diff(offsets)])
+            sums, sizes = [self.sums], [self.sizes]
+            for a in range(0, len(new), SLICE):
+                flat, offsets = word_features(new[a : a + SLICE], self.model)
+                sums.append(np.add.reduceat(self.shares[flat], offsets[:-1]))
+                sizes.append(np.diff(offsets))
+            self.sums, self.sizes = np.concatenate(sums), np.concatenate(sizes)
         out = np.zeros(len(texts))
         for i, words in enumerate(parts):
             rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))

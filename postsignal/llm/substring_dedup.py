@@ -36,7 +36,7 @@ PHRASE = 12
 #: Words of a text that are worked on at once.
 PIECE = 1 << 18
 #: Words whose hashes a worker keeps.
-KEPT = 400_000
+KEPT = 200_000
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -52,7 +52,7 @@ def _word_hashes(words: list[bytes]):
             value = self[word] = xxh64_intdigest(word, 7)
             return value
 
-    known = worker_state(("word hashes",), Hashes)
+    known = worker_state(("substring", "hashes"), Hashes)
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
@@ -63,7 +63,7 @@ def _powers(n: int):
     def make():
         return {"n": 0}
 
-    held = worker_state(("powers",), make)
+    held = worker_state(("substring", "powers"), make)
     if held["n"] < n:
         with np.errstate(over="ignore"):
             for name, base in (("a", BASE), ("b", BASE2)):

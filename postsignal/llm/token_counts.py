@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from postsignal.llm.common import by_bytes, text_bytes, worker_state
 
 #: Bytes of text worked on together, bytes per call of the encoder, parts that a worker keeps.
-BATCH_BYTES, GROUP_BYTES, KEPT = 1 << 22, 1 << 18, 250_000
+BATCH_BYTES, GROUP_BYTES, KEPT = 1 << 21, 1 << 18, 150_000
 #: Split patterns that keep white space out of all tokens (fixed values).
 SPACE_FREE = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 #: Normalizers that act within a part.
