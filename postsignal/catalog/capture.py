@@ -15,6 +15,7 @@ from postsignal.runtime import materialize
 from postsignal.sources import adapters as A
 from postsignal.sources import captures as SC
 from postsignal.sources import sinks as SK
+from postsignal.streaming import capture as ST
 
 
 def _captures(spark, sf):
@@ -145,7 +146,8 @@ def archived_posts(spark, sf):
 
 def _stored(spark, sf):
     # read four times: computed once
-    return SK.capture_tables(materialize(DD.first_captures(CP.accepted(_validated(spark, sf)))))
+    posts = CP.validate(CP.to_posts(CP.parse_payloads(A.payloads(spark, sf))))
+    return SK.capture_tables(materialize(DD.first_captures(CP.accepted(posts))))
 
 
 def stored_media(spark, sf):
@@ -158,6 +160,30 @@ def stored_audit(spark, sf):
     return _stored(spark, sf)["audit_log"].select("audit_id", "action", "entity_type", "entity_id", "details_json")
 
 
+def stored_inbox(spark, sf):
+    return _stored(spark, sf)["capture_inbox"].select("inbox_id", "post_id", "raw_payload_hash", "status", "correlation_id")
+
+
+def stored_payloads(spark, sf):
+    """What is kept of the payloads of stored captures."""
+    rows = _stored(spark, sf)["captured_posts"]
+    return rows.select("post_id", *_kept_secrets(F.col("raw_payload")))
+
+
+def quarantined_payloads(spark, sf):
+    """What is kept of the payloads of rejected captures."""
+    posts = CP.validate(CP.to_posts(CP.parse_payloads(A.payloads(spark, sf))))
+    rows = ST.quarantined(CP.rejected(posts))
+    return rows.select(F.array_join("errors", ",").alias("errors"), *_kept_secrets(F.col("payload")))
+
+
+def _kept_secrets(raw):
+    return [
+        F.get_json_object(raw, "$.authorization").alias("auth"), F.get_json_object(raw, "$.nested.csrf_token").alias("csrf"),
+        F.get_json_object(raw, "$.nested.lang").alias("lang"), F.contains(raw, F.lit("Bearer")).alias("leaks"),
+    ]
+
+
 def stored_tables(spark, sf):
     """Rows per table a capture batch is stored as."""
     out = None
@@ -202,6 +228,9 @@ QUERIES = {
     "archived_posts": archived_posts,
     "stored_media": stored_media,
     "stored_audit": stored_audit,
+    "stored_inbox": stored_inbox,
+    "stored_payloads": stored_payloads,
+    "quarantined_payloads": quarantined_payloads,
     "stored_tables": stored_tables,
     "capture_quality": capture_quality,
     "parse_quality": parse_quality,
@@ -262,8 +291,13 @@ SQL = {
     "archived_posts": f"with {_CAP} select post_id, 'manual_json' as capture_source, url as canonical_url, idempotency_key from kept",
     "stored_media": f"""with {_CAP} select substr(sha256(post_id || '|0|' || media_url), 1, 32) as asset_id, post_id, 0::bigint as position,
         case when doc_id % 4 = 0 then 'unknown' else 'image' end as kind, media_url as source_url, 'shown in ' || lang as alt_text, 'remote' as availability from kept where media_url <> ''""",
-    "stored_audit": f"""with {_CAP}, d as (select post_id, '{{"capture_source":"extension","raw_payload_hash":"' || idempotency_key || '"}}' as details_json from kept)
+    "stored_audit": f"""with {_CAP}, d as (select post_id, '{{"capture_source":"extension","raw_payload_hash":"' || idempotency_key || '","raw_payload_present":true}}' as details_json from kept)
         select substr(sha256('capture.accepted|' || post_id || '|' || details_json), 1, 32) as audit_id, 'capture.accepted' as action, 'captured_post' as entity_type, post_id as entity_id, details_json from d""",
+    "stored_inbox": f"""with {_CAP} select substr(sha256('inbox|' || post_id), 1, 32) as inbox_id, post_id, idempotency_key as raw_payload_hash, 'accepted' as status,
+        substr(sha256('correlation|' || idempotency_key), 1, 32) as correlation_id from kept""",
+    "stored_payloads": f"with {_CAP} select post_id, '[redacted]' as auth, '[redacted]' as csrf, lang, contains(text, 'Bearer') as leaks from kept",
+    "quarantined_payloads": f"""with {_CAP} select array_to_string(errors, ',') as errors, '[redacted]' as auth, '[redacted]' as csrf, lang, contains(text, 'Bearer') as leaks
+        from val where len(errors) > 0""",
     "stored_tables": f"""with {_CAP}, c as (select count(*) as n, count(*) filter (media_url <> '') as m from kept)
         select unnest(['captured_posts', 'media_assets', 'capture_inbox', 'audit_log']) as table_name, unnest([n, m, n, n]) as n, unnest([n, m, n, n]) as ids from c""",
     "capture_quality": f"""with {_CAP}, o as (select author_handle, author, unnest(case when len(errors) > 0 then errors when post_id in (select post_id from kept) then ['accepted'] else ['duplicate'] end) as outcome from val)

@@ -17,6 +17,7 @@ from postsignal.operators.capture import parse_payloads
 from postsignal.runtime import scratch_folder
 from postsignal.sources import adapters as A
 from postsignal.sources import pages as PG
+from postsignal.sources.sinks import latest_version
 from postsignal.streaming import capture as SC
 from postsignal.streaming import state as SS
 
@@ -52,19 +53,15 @@ def streamed_repeats(spark, sf):
     folder = scratch_folder(spark, "repeats")
     docs = A.table_stream(spark, sf, "documents")
     payloads = A.as_payloads(docs).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("post_id", "copy")
-    return _append(SC.drop_repeats(payloads, "30 days"), folder).select("captured_at")
+    once = parse_payloads(_append(SC.drop_repeats(payloads), folder))
+    return once.select("captured_at", "url", "author_handle", F.sha2("text", 256).alias("text_sha"), "quoted_text", F.size("media").cast("long").alias("media"))
 
 
 def streamed_weights(spark, sf):
-    SS.use_rocksdb(spark)
     folder = scratch_folder(spark, "weights")
-    updates = SS.online_weights(L.rewarded_feedback(A.as_feedback(A.table_stream(spark, sf, "events"))))
-    writer = updates.writeStream.outputMode("update").foreachBatch(
-        lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
-    )
-    _run(writer, folder)
-    rows = spark.read.parquet(f"{folder}/rows")
-    return rows.groupBy("key").agg(F.round(F.max_by("value", "steps"), 6).alias("value"), F.max("steps").alias("steps"))
+    rewarded = L.rewarded_feedback(A.as_feedback(A.table_stream(spark, sf, "events")))
+    SS.start_weights(rewarded, folder, f"{folder}/_checkpoint").awaitTermination()
+    return latest_version(spark, folder, "weights").select("key", F.round("value", 6).alias("value"), "steps")
 
 
 def streamed_throttle(spark, sf):
@@ -117,7 +114,8 @@ QUERIES = {
 SQL = {
     "streamed_captures": f"with {CC._CAP} select platform_post_id, url as canonical_url, idempotency_key from kept",
     "streamed_quarantine": f"with {CC._CAP} select array_to_string(errors, ',') as errors, count(*) as n from val where len(errors) > 0 group by 1",
-    "streamed_repeats": "select to_timestamp(1704067200 + doc_id)::timestamp as captured_at from documents",
+    "streamed_repeats": f"""with {CC._CAP} select captured_at, url, author_handle, sha256(text) as text_sha, quoted_text,
+        (media_url <> '')::bigint as media from cap""",
     "streamed_weights": f"with {_FEEDBACK} select key, round({RK._FOLD.format(start='1.0::double')}, 6) as value, count(*) as steps from rewarded group by key",
     "streamed_throttle": RK.SQL["throttled_events"],
     "streamed_failures": f"select job_id, error_code, outcome from ({RK.SQL['routed_failures']})",

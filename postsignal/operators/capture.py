@@ -64,6 +64,24 @@ def redact_json(payload: pd.Series) -> pd.Series:
     return payload.map(one)
 
 
+def redacted_payload(payload: Column) -> Column:
+    """A payload without secrets: as it is if no sensitive word occurs, else redacted; null if no JSON.
+
+    Only payloads that may hold a sensitive key are sent to Python.
+    """
+    marks = [m for part in lx.SENSITIVE_KEY_PARTS for m in {part, part.replace("_", "-")}]
+    # keys may be written with escapes, which only a parser reads
+    suspect = contains_any(F.lower(payload), marks) | F.contains(payload, F.lit("\\u"))
+    parsed = F.try_parse_json(payload)
+    return F.when(suspect, redact_json(F.when(suspect, payload))).when(parsed.isNotNull(), payload)
+
+
+def correlation_id(payload: Column, digest: Column) -> Column:
+    """The client's id of the request, or one derived from a digest of what it sent."""
+    given = F.nullif(strip(text_or_empty(F.get_json_object(payload, "$.correlation_id"))), F.lit(""))
+    return F.coalesce(given, stable_id(F.lit("correlation"), digest, length=32))
+
+
 def payload_bytes(json_text: Column) -> Column:
     return F.octet_length(json_text)
 
@@ -187,8 +205,15 @@ def parse_payloads(raw: DataFrame, json_col: str = "payload") -> DataFrame:
             )
         ).alias("selector_version"),
     )
+
+    def given(name: str) -> Column:
+        """An id as text; the number zero is no id, the text "0" is one."""
+        value = F.try_variant_get(F.try_parse_json(json_col), f"$.{name}", "variant")
+        zero = (F.col(f"_p.{name}") == "0") & (F.schema_of_variant(value) != "STRING")
+        return F.when(~F.coalesce(zero, F.lit(False)), F.col(f"_p.{name}"))
+
     platform_id = F.coalesce(
-        first_filled(p["platform_post_id"], p["id"]),
+        first_filled(given("platform_post_id"), given("id")),
         stable_id(F.col("url"), F.col("author_handle"), F.col("text")),
     )
     return (

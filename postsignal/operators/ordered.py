@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 from postsignal.runtime import materialize, shuffle_width
 
 
-def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: str = "chunk") -> DataFrame:
+#: Rows of a chunk, and functions composed in one list.
+CHUNK_ROWS, FOLDED = 1_000_000, 2_048
+
+
+def range_chunks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: str = "chunk", rows: int = 0
+) -> DataFrame:
     """Add the number of the ordered range partition each row falls into.
 
     (keys, order) must be a total order. Chunks hold about the same number of rows whatever the
-    distribution of the keys; within a key, a lower chunk number means earlier rows.
+    distribution of the keys; within a key, a lower chunk number means earlier rows. ``rows``, where
+    it is known, sets the least number of chunks.
     """
-    width = shuffle_width(df.sparkSession)
+    width = max(shuffle_width(df.sparkSession), -(-rows // CHUNK_ROWS))
     ranged = df.repartitionByRange(width, *[F.col(c) for c in (*keys, *order)])
     return ranged.withColumn(chunk, F.spark_partition_id())
 
@@ -43,7 +50,7 @@ def with_running_sum(
 ) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows (excluding the row itself)."""
     # Both the offsets and the rows must see the same chunk bounds: fix them first.
-    chunked = materialize(range_chunks(df, keys, order))
+    chunked = materialize(range_chunks(df, keys, order, rows=df.count()))
     offsets = _chunk_offsets(chunked, keys, {"_offset": F.sum(value)})
     inside = (
         Window.partitionBy("chunk", *keys)
@@ -78,56 +85,49 @@ def fold_clamped(
     """Apply ``x -> clamp(scale * x + shift, low, high)`` for every row of a key, in order.
 
     ``scale`` must be positive. Each step is a function ``min(hi, max(lo, a*x + b))``, and such
-    functions compose into one of the same form, so every chunk of a key folds in parallel into
-    one (a, b, lo, hi) and only these are applied in sequence, one per (key, chunk).
+    functions compose into one of the same form, so runs of rows fold in parallel into one
+    (a, b, lo, hi) each, these again by chunk and by groups of chunks, and the last ones by key. The
+    number of chunks follows the number of rows, and no list is longer than ``FOLDED``.
     ``seed`` may give start values as (key, seed); other keys start at ``seed_value``.
     """
     steps = df.select(key, *order, scale.cast("double").alias("_a"), shift.cast("double").alias("_b"))
-    chunked = range_chunks(steps, [key], order)
-    # Rows of one (key, chunk) sit in one task already: collecting them is bounded by the size of
-    # a range partition, and grouping by chunk and key afterwards moves each list once.
-    lists = chunked.groupBy(key, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "_a", "_b"))).alias("_steps")
-    )
+    chunked = range_chunks(steps, [key], order, rows=steps.count())
+    # within a chunk, runs of at most FOLDED rows: the window streams over sorted rows
+    inside = Window.partitionBy(key, "chunk").orderBy(*order)
+    numbered = chunked.withColumn("_run", F.floor((F.row_number().over(inside) - 1) / FOLDED))
     lo, hi = F.lit(float(low)), F.lit(float(high))
     inf = F.lit(float("inf"))
 
-    def compose(acc: Column, a: Column, b: Column, lo2: Column, hi2: Column) -> Column:
+    def compose(acc: Column, f: Column) -> Column:
         def bound(x: Column) -> Column:
-            return F.least(hi2, F.greatest(lo2, a * x + b))
+            return F.least(f["hi"], F.greatest(f["lo"], f["a"] * x + f["b"]))
 
         return F.struct(
-            (a * acc["a"]).alias("a"),
-            (a * acc["b"] + b).alias("b"),
+            (f["a"] * acc["a"]).alias("a"),
+            (f["a"] * acc["b"] + f["b"]).alias("b"),
             bound(acc["lo"]).alias("lo"),
             bound(acc["hi"]).alias("hi"),
         )
 
-    identity = F.struct(
-        F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (-inf).alias("lo"), inf.alias("hi")
-    )
-    summaries = lists.select(
-        key,
-        "chunk",
-        F.aggregate(
-            "_steps", identity, lambda acc, s: compose(acc, s["_a"], s["_b"], lo, hi)
-        ).alias("_f"),
-        F.size("_steps").cast("long").alias("_n"),
-    )
-    per_key = summaries.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "_f"))).alias("_chunks"),
-        F.sum("_n").alias("steps"),
-    )
+    identity = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), (-inf).alias("lo"), inf.alias("hi"))
+
+    def folded(rows: DataFrame, keys: Sequence[str], at: Sequence[str], item: Column) -> DataFrame:
+        """Functions of each group composed in the order of ``at``; groups hold few functions."""
+        lists = rows.groupBy(*keys).agg(
+            F.array_sort(F.collect_list(F.struct(*at, item.alias("_f")))).alias("_l"), F.sum("_n").alias("_n")
+        )
+        return lists.select(*keys, F.aggregate("_l", identity, lambda acc, s: compose(acc, s["_f"])).alias("_f"), "_n")
+
+    single = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), lo.alias("lo"), hi.alias("hi"))
+    level = folded(numbered.withColumn("_n", F.lit(1).cast("long")), [key, "chunk", "_run"], order, single)
+    level = folded(level, [key, "chunk"], ["_run"], F.col("_f"))
+    level = folded(level.withColumn("_group", F.floor(F.col("chunk") / FOLDED)), [key, "_group"], ["chunk"], F.col("_f"))
+    per_key = folded(level, [key], ["_group"], F.col("_f")).withColumnRenamed("_n", "steps")
     if seed is not None:
         per_key = per_key.join(seed, key, "left")
         start = F.coalesce(F.col("seed").cast("double"), F.lit(float(seed_value)))
     else:
         start = F.lit(float(seed_value))
-    result = F.aggregate(
-        "_chunks",
-        start,
-        lambda x, c: F.least(
-            c["_f"]["hi"], F.greatest(c["_f"]["lo"], c["_f"]["a"] * x + c["_f"]["b"])
-        ),
-    )
+    f = F.col("_f")
+    result = F.least(f["hi"], F.greatest(f["lo"], f["a"] * start + f["b"]))
     return per_key.select(key, result.alias(out), "steps")

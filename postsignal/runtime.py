@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +29,31 @@ def build_session(app_name: str = "postsignal", master: str | None = None, **con
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is named."""
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks run on this machine, may do without one and gets a temporary
+    folder. On a cluster that would leave each executor with files of its own, so it is refused.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
+    folder = context.getCheckpointDir()
+    # scratch tables and checkpoints of this application go with it
+    atexit.register(_remove_folder, context, folder)
+    return folder
+
+
+def _remove_folder(context, folder: str) -> None:
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended before; its folder stays for the next cleaning
+        return
 
 
 def materialize(df: DataFrame) -> DataFrame:

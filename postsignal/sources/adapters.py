@@ -29,11 +29,18 @@ def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return rows if splits >= cores else rows.repartition(cores)
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The same table as a file stream."""
-    schema = table(spark, folder, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(folder)
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1_000) -> DataFrame:
+    """The same table as a file stream, at most ``files_per_trigger`` files in a micro-batch.
+
+    A table is usually a folder of part files. A file stream must name a folder, so a table that is
+    one file is picked out of the folder around it.
+    """
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, folder, name).schema).option("maxFilesPerTrigger", files_per_trigger)
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if location.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(location).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:

@@ -186,6 +186,6 @@ def page_payloads(pages: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["page_id", "position", "payload"])
 
-    # pages without an article never reach Python
-    candidates = pages.select("page_id", "url", "html").filter(F.col("html").contains("<article"))
+    # pages without an article never reach Python; tag names may be written in any case
+    candidates = pages.select("page_id", "url", "html").filter(F.col("html").rlike("(?i)<article"))
     return candidates.mapInPandas(extract, "page_id long, position int, payload string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postsignal.functions.ids import stable_id
+from postsignal.operators.capture import correlation_id, redacted_payload
 from postsignal.operators.rows import exploded
 
 
@@ -23,7 +24,13 @@ def audit_rows(rows: DataFrame, action: str, entity_type: str, entity_id: str, d
 
 
 def capture_tables(posts: DataFrame) -> dict[str, DataFrame]:
-    """The four tables a set of accepted, deduplicated posts is stored as."""
+    """The four tables a set of accepted, deduplicated posts is stored as.
+
+    A ``payload`` column is stored as ``raw_payload`` with the values of sensitive keys replaced.
+    """
+    raw = F.col("payload") if "payload" in posts.columns else F.lit(None).cast("string")
+    digest = F.col("idempotency_key")
+    posts = posts.withColumn("correlation_id", correlation_id(raw, digest)).withColumn("raw_payload", redacted_payload(raw)).drop("payload")
     items = exploded(
         posts.withColumn("created_at", F.col("captured_at")), F.col("media"), "_m", "post_id", "created_at", position="position"
     )
@@ -37,13 +44,17 @@ def capture_tables(posts: DataFrame) -> dict[str, DataFrame]:
         "post_id",
         F.col("idempotency_key").alias("raw_payload_hash"),
         F.lit("accepted").alias("status"),
+        "correlation_id",
         F.col("captured_at").alias("received_at"),
     )
     audit = audit_rows(
         posts, "capture.accepted", "captured_post", "post_id",
-        F.struct("capture_source", F.col("idempotency_key").alias("raw_payload_hash")), "captured_at",
+        F.struct(
+            "capture_source", F.col("idempotency_key").alias("raw_payload_hash"), F.col("raw_payload").isNotNull().alias("raw_payload_present")
+        ),
+        "captured_at",
     )
-    stored = posts.withColumn("data_class", F.lit("visible_content")).withColumn("schema_version", F.lit(1))
+    stored = posts.drop("correlation_id").withColumn("data_class", F.lit("visible_content")).withColumn("schema_version", F.lit(1))
     return {"captured_posts": stored, "media_assets": media, "capture_inbox": inbox, "audit_log": audit}
 
 
@@ -72,6 +83,18 @@ def write_results(results: DataFrame, path: str) -> None:
     results.select("id", "url", "content", "summary", "translated").write.mode("overwrite").json(path)
 
 
+def latest_version(spark: SparkSession, folder: str, name: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table (of those before a number); None while there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{folder}/{name}/version={max(numbers)}") if numbers else None
+
+
 def replace_table(rows: DataFrame, folder: str, name: str, version: int) -> str:
     """Store a merged table under a new version folder and return its path.
 

@@ -7,19 +7,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from postsignal.functions.ids import outbox_key, stable_id
-from postsignal.operators.capture import accepted, parse_payloads, payload_too_large, rejected, to_posts, validate
-from postsignal.operators.dedup import first_captures, not_yet_stored
+from postsignal.operators.capture import (
+    accepted,
+    correlation_id,
+    parse_payloads,
+    payload_too_large,
+    redacted_payload,
+    rejected,
+    to_posts,
+    validate,
+)
+from postsignal.operators.dedup import first_captures
 from postsignal.policies import CapturePolicy
 from postsignal.sources.sinks import capture_tables, read_table, write_batch
 
+#: Folders that the stored keys are dealt to.
+KEY_BUCKETS = 64
+
 
 def split_oversized(payloads: DataFrame, policy: CapturePolicy = CapturePolicy()) -> tuple[DataFrame, DataFrame]:
     """(payloads within the size limit, quarantine rows of those beyond)."""
     big = payload_too_large(F.col("payload"), policy)
-    over = payloads.filter(big).select(
-        "payload", "captured_at", F.array(F.lit("payload_too_large")).alias("errors")
+    over = payloads.filter(big).withColumn("errors", F.array(F.lit("payload_too_large")))
+    return payloads.filter(~big), quarantined(over)
+
+
+def quarantined(rows: DataFrame) -> DataFrame:
+    """Rejected payloads as they may be stored: values of sensitive keys replaced.
+
+    A text that is no JSON cannot be searched for keys; of it only the digest is kept.
+    """
+    raw = F.col("payload")
+    return rows.select(
+        redacted_payload(raw).alias("payload"),
+        F.sha2(raw, 256).alias("payload_sha"),
+        correlation_id(raw, F.sha2(raw, 256)).alias("correlation_id"),
+        "captured_at",
+        "errors",
     )
-    return payloads.filter(~big), over
 
 
 def validated_posts(payloads: DataFrame, source: str = "extension", policy: CapturePolicy = CapturePolicy()) -> DataFrame:
@@ -30,8 +55,12 @@ def validated_posts(payloads: DataFrame, source: str = "extension", policy: Capt
     )
 
 
-def drop_repeats(payloads: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """Drop payloads a client sent again within the horizon (works on streams and batches)."""
+def drop_repeats(payloads: DataFrame) -> DataFrame:
+    """Drop payloads a client sent again, however late (works on streams and batches).
+
+    On a stream every key seen is state: the key decides, not the age of the payload. Long-running
+    streams look keys up in the stored ones instead (``store_batch``).
+    """
     parsed = parse_payloads(payloads)
     keyed = parsed.withColumn(
         "outbox_key",
@@ -41,7 +70,28 @@ def drop_repeats(payloads: DataFrame, horizon: str = "1 hour") -> DataFrame:
         from postsignal.operators.dedup import first_per_key
 
         return first_per_key(keyed, ["outbox_key"], ["captured_at", "payload"]).drop("outbox_key")
-    return keyed.withWatermark("captured_at", horizon).dropDuplicatesWithinWatermark(["outbox_key"]).drop("outbox_key")
+    return keyed.dropDuplicates(["outbox_key"]).drop("outbox_key")
+
+
+def _keys(posts: DataFrame) -> DataFrame:
+    """The keys of captures, one row per kind of key, with the bucket they are stored in."""
+    pid = F.nullif(F.col("platform_post_id"), F.lit(""))
+    kinds = F.array(F.concat(F.lit("k:"), "idempotency_key"), F.concat(F.lit("p:"), "platform", F.lit("|"), pid))
+    rows = posts.select("post_id", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("key"))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).cast("int"))
+
+
+def _unknown(fresh: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """Captures none of whose keys is stored; only the buckets of their own keys are read."""
+    spark = fresh.sparkSession
+    stored = read_table(spark, folder, "captured_keys", before_batch=batch_id)
+    if stored is None:
+        return fresh
+    arrived = _keys(fresh)
+    buckets = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]  # at most KEY_BUCKETS numbers
+    known = stored.filter(F.col("bucket").isin(buckets)).select("key")
+    seen = arrived.join(known, "key", "left_semi").select("post_id").distinct()
+    return fresh.join(seen, "post_id", "left_anti")
 
 
 def store_batch(payloads: DataFrame, batch_id: int, folder: str, policy: CapturePolicy = CapturePolicy()) -> None:
@@ -50,7 +100,6 @@ def store_batch(payloads: DataFrame, batch_id: int, folder: str, policy: Capture
     Repeating a batch writes the same partitions with the same rows: ids are derived, and the
     look-up of stored captures sees only earlier batches.
     """
-    spark = payloads.sparkSession
     # every table is written by a job of its own: read and parse the batch once for all of them
     kept = [payloads.persist()]
     try:
@@ -60,27 +109,29 @@ def store_batch(payloads: DataFrame, batch_id: int, folder: str, policy: Capture
         posts = validated_posts(fitting, policy=policy).persist()
         kept.append(posts)
         fresh = first_captures(accepted(posts))
-        stored = read_table(spark, folder, "captured_posts", before_batch=batch_id)
-        if stored is not None:
-            fresh = not_yet_stored(fresh, stored)
-        fresh = fresh.drop("payload").persist()
+        fresh = _unknown(fresh, folder, batch_id).persist()
         kept.append(fresh)
         tables = capture_tables(fresh)
-        tables["quarantine"] = rejected(posts).select("payload", "captured_at", "errors").unionByName(oversized)
+        tables["quarantine"] = quarantined(rejected(posts)).unionByName(oversized)
         write_batch(tables, folder, batch_id)
+        # last, so that a batch that is repeated after a failure still finds its captures new
+        keys = _keys(fresh).select("key", "bucket").repartition("bucket")
+        keys.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/captured_keys/batch_id={batch_id}")
     finally:
         for frame in kept:
             frame.unpersist()
 
 
 def start_capture(
-    payloads: DataFrame, folder: str, checkpoint: str, horizon: str = "1 hour",
-    policy: CapturePolicy = CapturePolicy(), available_now: bool = True,
+    payloads: DataFrame, folder: str, checkpoint: str, policy: CapturePolicy = CapturePolicy(), available_now: bool = True,
 ) -> StreamingQuery:
-    """Run the capture stream into ``folder``. At-least-once input gives each capture once."""
+    """Run the capture stream into ``folder``. At-least-once input gives each capture once.
+
+    There is no watermark: a capture that arrives late is stored like any other, unless one of its
+    keys is stored already.
+    """
     writer = (
-        drop_repeats(payloads, horizon)
-        .writeStream.option("checkpointLocation", checkpoint)
+        payloads.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(lambda df, batch_id: store_batch(df, batch_id, folder, policy))
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql import types as T
 
@@ -20,38 +22,32 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-class WeightFold(StatefulProcessor):
-    """Clamped weight per key, updated by every reward in (ts, event_id) order."""
-
-    def __init__(self, policy: WeightPolicy = WeightPolicy()):
-        self.policy = policy
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.weight = handle.getValueState("weight", "value double, steps long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        value, steps = self.weight.get() if self.weight.exists() else (self.policy.start, 0)
-        # rewards of one micro-batch, two narrow columns per event
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        for reward in batch["reward"]:
-            value = max(self.policy.low, min(self.policy.high, value + self.policy.learning_rate * reward))
-        steps += len(batch)
-        self.weight.update((value, steps))
-        yield pd.DataFrame({"key": [key[0]], "value": [value], "steps": [steps]})
-
-    def close(self) -> None:
-        pass
+def store_weights(rewarded: DataFrame, batch_id: int, folder: str, policy: WeightPolicy = WeightPolicy()) -> None:
+    """Micro-batch step: the weights after a batch of rewards, as a new version of the table.
+
+    The rewards of the batch are folded to one function per key first (``folded_weights``), in
+    parallel even for a single key, and only then applied to the weights of the version before.
+    Repeating a batch writes the same version. Rewards are applied in (ts, event_id) order inside a
+    batch, batches in the order they arrive.
+    """
+    from postsignal.operators.learning import folded_weights
+    from postsignal.sources.sinks import latest_version, replace_table
+
+    before = latest_version(rewarded.sparkSession, folder, "weights", before=batch_id)
+    seeds = None if before is None else before.select("key", F.col("value").alias("seed"))
+    folded = folded_weights(rewarded, start=seeds, policy=policy)
+    if before is not None:
+        old = before.select("key", F.col("value").alias("_value"), F.col("steps").alias("_steps"))
+        folded = folded.join(old, "key", "full").select(
+            "key", F.coalesce("value", "_value").alias("value"), (F.coalesce("steps", F.lit(0)) + F.coalesce("_steps", F.lit(0))).alias("steps")
+        )
+    replace_table(folded, folder, "weights", batch_id)
 
 
-def online_weights(rewarded: DataFrame, policy: WeightPolicy = WeightPolicy()) -> DataFrame:
-    """Stream of weight updates: (key, value, steps) per key and micro-batch."""
-    return (
-        rewarded.select("key", "ts", "event_id", "reward")
-        .groupBy("key")
-        .transformWithStateInPandas(
-            WeightFold(policy), "key string, value double, steps long", "Update", "None"
-        )
-    )
+def start_weights(rewarded: DataFrame, folder: str, checkpoint: str, policy: WeightPolicy = WeightPolicy()) -> StreamingQuery:
+    """Keep the table ``weights`` of ``folder`` up to date with a stream of rewards."""
+    writer = rewarded.select("key", "ts", "event_id", "reward").writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(lambda df, batch: store_weights(df, batch, folder, policy)).trigger(availableNow=True).start()
 
 
 class TokenBucket(StatefulProcessor):

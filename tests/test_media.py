@@ -24,15 +24,15 @@ def evidence(spark, text, media, quote=""):
 
 
 def test_visual_context_for_ambiguous_text(spark):
-    e = evidence(spark, "Bunu kimse beklemiyordu", [item("Skor tabelası ve tribünler")])
-    assert e["language"] == "tr" and "skor" in e["topics"]
+    e = evidence(spark, "Şu ışığa bakın", [item("kale önünde forma değişimi")])
+    assert e["language"] == "tr" and {"kale", "forma"} <= set(e["topics"])
     assert e["relationship"] == "visual_supplies_context"
     assert e["media_missing_is_not_negative"] is False
     assert e["visual_evidence"]["confidence"] == 0.8
 
 
 def test_missing_media_is_not_negative(spark):
-    e = evidence(spark, "Maç sonu bu karar çok konuşulur", [])
+    e = evidence(spark, "Haftaya maç yok", [])
     assert e["topics"] == ["maç"] and e["relationship"] == "text_only_context"
     assert e["visual_evidence"]["missing_reason"] == "missing_media"
     assert e["missing_modalities"] == ["quote", "visual", "audio_video"]
@@ -41,12 +41,12 @@ def test_missing_media_is_not_negative(spark):
 
 def test_ocr_table_and_video(spark):
     df = spark.createDataFrame([("p", [item(id="video-1", kind="video"), item("alt", id="x")]), ("q", [])], f"post_id string, media {MEDIA}")
-    ocr = spark.createDataFrame([("video-1", " Saha içinde penaltı anı ")], "media_id string, ocr_text string")
+    ocr = spark.createDataFrame([("video-1", "\tasist sonrası kart \n")], "media_id string, ocr_text string")
     got = {r["post_id"]: r["media"] for r in J.attach_ocr(df, ocr).collect()}
-    assert [m["ocr_text"] for m in got["p"]] == ["Saha içinde penaltı anı", ""]
+    assert [m["ocr_text"] for m in got["p"]] == ["asist sonrası kart", ""]
     assert got["q"] == []
-    e = evidence(spark, "Bu kare yeter", [tuple(m) for m in got["p"]])
-    assert "penaltı" in e["topics"] and e["audio_video_evidence"]["present"]
+    e = evidence(spark, "bkz.", [tuple(m) for m in got["p"]])
+    assert {"asist", "kart"} <= set(e["topics"]) and e["audio_video_evidence"]["present"]
     assert e["info"]["ocr_statuses"] == ["ocr_supplied", "alt_text_fallback"]
     assert evidence(spark, "", [])["relationship"] == "insufficient_topic_evidence"
     assert evidence(spark, "gol", [item()])["relationship"] == "media_unclear_not_penalized"

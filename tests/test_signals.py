@@ -12,37 +12,28 @@ MEDIA = "array<struct<media_type string, source_url string, alt_text string, ocr
 
 
 def posts(spark):
-    rows = [
-        ("p1", "sporcu1", "Bu pozisyon daha çok konuşulur. Galatasaray maçında penaltı tartışması.", "Hakem kararları yine gündem.", "Futbol sahasında penaltı pozisyonu"),
-        ("p2", "b_like", "Dakika 70, senaryo yine aynı 😂", "Fenerbahçe maçında tartışmalı karar", "Stadyumda hakem ve oyuncular"),
-        ("p3", "officialclub", "Takımımızın maç kadrosu açıklandı.", "", None),
-        ("p4", "transferci", "Transfer iddiası: genç oyuncu için görüşmeler başladı.", "", None),
-        ("p5", "stats", "Derbide ilk 30 dakikada şut dengesi değişti.", "", None),
-        ("p6", "fanvoice", "Bunu maçtan sonra tekrar açarlar.", "", None),
-        ("p7", "memeacc", "Bir futbol akşamı daha sakin geçmedi.", "", "Taraftar reaksiyon görseli"),
-        ("p8", "journalist", "Sakatlık iddiası doğrulanmadı, kulüp açıklaması bekleniyor.", "", None),
-        ("p9", "globalball", "Champions League finalinde kırmızı kart sonrası oyun değişti.", "", None),
-        ("p10", "futbolmizah", "Bu görüntü tek başına gündem olur.", "", "Futbolcu şaşkın reaksiyon"),
-    ]
+    """Invented posts: (id, text, quote, media text, what must come of it).
+
+    An event type is the first rule with a keyword in the text. One image with a description gives
+    media context 50. A word of doubt adds risk; so does media of unknown origin.
+    """
     data = [
-        (pid, author, text, quote, [("image", "u", alt, "", "")] if alt else [], i)
-        for i, (pid, author, text, quote, alt) in enumerate(rows)
+        (pid, f"writer{i}", text, quote, [("image", "u", alt, "", "")] if alt else [], i)
+        for i, (pid, text, quote, alt, *_) in enumerate(POSTS)
     ]
     return spark.createDataFrame(data, f"post_id string, author_handle string, text string, quoted_text string, media {MEDIA}, ordinal int")
 
 
-EXPECTED = {
-    "p1": ("match_moment", 50, 19.25, "", 48.15, "watch", 56.5),
-    "p2": ("match_moment", 50, 19.25, "", 48.15, "watch", 56.5),
-    "p3": ("match_moment", 0, 0, "", 47.0, "watch", 40.0),
-    "p4": ("transfer", 0, 18, "misinformation", 43.4, "watch", 34.0),
-    "p5": ("global_football", 0, 0, "", 47.0, "watch", 40.0),
-    "p6": ("match_moment", 0, 0, "", 47.0, "watch", 40.0),
-    "p7": ("global_football", 50, 19.25, "", 48.15, "watch", 47.5),
-    "p8": ("injury", 0, 18, "misinformation", 43.4, "watch", 34.0),
-    "p9": ("other", 0, 0, "", 39.5, "archive", 25.0),
-    "p10": ("global_football", 50, 19.25, "", 48.15, "watch", 47.5),
-}
+POSTS = [
+    ("a", "Uzatmada gol sesi duyuldu.", "Kimse inanmadı", "kalabalık tribün", "match_moment", 50, 19.25, "", 48.15, "watch", 56.5),
+    ("b", "Yarınki maç öne alındı.", "", None, "match_moment", 0, 0, "", 47.0, "watch", 40.0),
+    ("c", "Transfer için iddia büyük.", "", None, "transfer", 0, 18, "misinformation", 43.4, "watch", 34.0),
+    ("d", "Derbi bileti kalmadı.", "", None, "global_football", 0, 0, "", 47.0, "watch", 40.0),
+    ("e", "Sakat listesi kulis konusu.", "", None, "injury", 0, 18, "misinformation", 43.4, "watch", 40.0),  # no claim: candidate as for "b"
+    ("f", "Sabah koşusu güzeldi.", "", None, "other", 0, 0, "", 39.5, "archive", 25.0),
+    ("g", "Sokakta futbol vardı.", "", "çamurlu ayakkabılar", "global_football", 50, 19.25, "", 48.15, "watch", 47.5),
+]
+EXPECTED = {pid: want for pid, _, _, _, *want in POSTS}
 
 
 def test_sample_posts(spark):
@@ -60,17 +51,17 @@ def test_account_verdict_is_that_of_the_last_post(spark):
     row = AC.account_candidates(s).first()
     assert row["candidate_score"] == pytest.approx(47.5)
     assert row["action"] == "watch_one_week"
-    assert row["example_post"].startswith("Bu görüntü")
+    assert row["example_post"].startswith("Sokakta")
 
 
 def test_drafts(spark):
-    events = spark.createDataFrame([(1, 0.0, "Galatasaray"), (2, 61.0, "x"), (3, 0.0, "özetle " * 60)], "id int, risk_score double, topic string")
+    events = spark.createDataFrame([(1, 0.0, "Rize"), (2, 61.0, "x"), (3, 0.0, "özetle " * 60)], "id int, risk_score double, topic string")
     rows = {}
     for r in D.draft_rows(D.with_drafts(events), "id").collect():
         rows.setdefault(r["id"], []).append(r)
     assert [r["variant_label"] for r in rows[1]] == ["reaction", "dry_humor", "neutral_short"]
     assert rows[1][1]["text"] == "Dakika 70, senaryo yine aynı."
-    assert rows[1][2]["text"] == "Galatasaray cephesinde gündem bu pozisyona döndü."
+    assert rows[1][2]["text"] == "Rize cephesinde gündem bu pozisyona döndü."
     assert [r["variant_label"] for r in rows[2]] == ["do_not_post"]
     # an unusable topic falls through to the next template
     assert rows[3][2]["text"] == "Bu olay kısa sürede konuşulur."
