@@ -65,6 +65,12 @@ def multimodal_evidence(spark, sf):
         "relationship", "relationship_confidence", F.array_join("missing_modalities", ",").alias("missing"),
         F.col("visual_evidence.missing_reason").alias("visual_missing"), "media_missing_is_not_negative",
         F.array_join(info["ocr_statuses"], ",").alias("ocr_statuses"),
+        F.col("text_evidence.signals.char_count").cast("long").alias("text_chars"),
+        F.col("quote_evidence.signals.char_count").cast("long").alias("quote_chars"),
+        F.col("visual_evidence.signals.alt_text_count").cast("long").alias("alt_texts"),
+        F.col("visual_evidence.signals.ocr_text_count").cast("long").alias("ocr_texts"),
+        F.col("relationship_evidence.present").alias("related"),
+        F.array_join("relationship_evidence.signals.visual_terms", ",").alias("visual_terms"),
     )
 
 
@@ -170,7 +176,9 @@ SQL = {
         case when topical and visual then 0.75 when visual then 0.65 when topical and has_media then 0.45 when topical then 0.55 else 0.20 end::double as relationship_confidence,
         array_to_string(list_filter([case when t = '' then 'text' end, case when q = '' then 'quote' end, case when not has_media then 'visual' end, case when not has_av then 'audio_video' end], lambda x: x is not null), ',') as missing,
         case when not has_media then 'missing_media' end as visual_missing, not has_media as media_missing_is_not_negative,
-        case n_media when 0 then '' when 1 then 'ocr_supplied' else 'ocr_supplied,' || case when alt <> '' then 'alt_text_fallback' else 'missing_visual_text' end end as ocr_statuses from e3""",
+        case n_media when 0 then '' when 1 then 'ocr_supplied' else 'ocr_supplied,' || case when alt <> '' then 'alt_text_fallback' else 'missing_visual_text' end end as ocr_statuses,
+        length(t) as text_chars, length(q) as quote_chars, (case when alt <> '' then n_media else 0 end)::bigint as alt_texts, (case when n_media > 0 then 1 else 0 end)::bigint as ocr_texts,
+        topical or visual as related, array_to_string(vt, ',') as visual_terms from e3""",
     "frame_offsets": f"with {_CLIPS} select event_id, array_to_string(offsets, ',') as offsets from off",
     "video_audio_plans": f"""with {_CLIPS}, g as (select *, kind in ('video', 'gif') as vis, kind = 'audio' as aud, case when kind = 'audio' then 6000 else 9000 end as lim from off),
         h as (select *, (vis or aud) and d is not null and d <= lim as ok from g)

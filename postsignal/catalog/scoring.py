@@ -24,7 +24,26 @@ def decisions(spark, sf):
 
 
 def signals(spark, sf):
-    return _signals(spark, sf).select(
+    return _signal_columns(_signals(spark, sf))
+
+
+def quoted_signals(spark, sf):
+    """Conversation turns as posts that quote the turn before."""
+    turns = A.quoted_turns(spark, sf)
+    media = F.array().cast("array<struct<media_type: string, source_url: string, alt_text: string, ocr_text: string, copyright_status: string>>")
+    posts = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("post_id"), F.col("role").alias("author_handle"), "text", "quoted_text", media.alias("media"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"),
+    )
+    return _signal_columns(post_signals(posts, b.LEXICON))
+
+
+def quoted_decisions(spark, sf):
+    return quoted_signals(spark, sf).groupBy("decision", "event_type").agg(F.count(F.lit(1)).alias("posts"))
+
+
+def _signal_columns(signals):
+    return signals.select(
         "post_id", "event_type", "media_context", "media_risk", "quote_risk",
         F.array_join("risk_issues", ",").alias("risk_issues"),
         F.round("risk_score", 6).alias("risk_score"),
@@ -135,6 +154,8 @@ def drafts(spark, sf):
 QUERIES = {
     "decisions": decisions,
     "signals": signals,
+    "quoted_signals": quoted_signals,
+    "quoted_decisions": quoted_decisions,
     "tiered_decisions": tiered_decisions,
     "source_candidates": source_candidates,
     "score_formulas": score_formulas,
@@ -207,7 +228,22 @@ def _sql_drafts() -> str:
         select post_id, 0::bigint, {b.lit(lx.DO_NOT_POST_TEXT)}, 'do_not_post', 100.0::double, 'risk_review_required' from sig where risk_score >= 61"""
 
 
+_QUOTED = f"""turns as (select conv_id || '-' || turn as post_id, text, coalesce(lag(coalesce(text, '')) over (partition by conv_id order by turn), '') as quoted_text from conversations),
+  ctx as (select *, {b.sql_clean("concat_ws(' ', nullif(text, ''), nullif(quoted_text, ''))")} as context from turns),
+  ev as (select *, {b.sql_event('lower(context)')} as event_type, lower(substr(context, 1, 240)) as low from ctx),
+  rk as (select *, least(100.0, 20.0 * {b.sql_count('lower(quoted_text)', b.QUOTE_RISK)})::double as quote_risk, {b.sql_tags('low', b.RISK)} as issues, {b.sql_any('low', b.CLAIMS)} as claim from ev),
+  rs as (select *, least(100.0::double, 18.0::double * len(issues) + 0.25::double * quote_risk) as risk_score from rk),
+  sc as (select *,
+    {b.sql_clamp("0.25::double * 65.0 + 0.20::double * 30.0 + 0.15::double * 45.0 + 0.15::double * (case when event_type <> 'other' then 80.0 else 30.0 end)::double + 0.10::double * 60.0 - 0.20::double * risk_score")} as event_score,
+    {b.sql_clamp("0.25::double * (case when event_type <> 'other' then 80 else 20 end) + 0.20::double * 40 + 0.15::double * (case when quoted_text <> '' then 60 else 0 end) + 0.10::double * 70 + 0.10::double * 50 - 0.20::double * (case when claim then 30 else 0 end)")} as candidate_score
+    from rs),
+  sig as (select *, case when risk_score >= 81 then 'block' when risk_score >= 61 then 'human_review' when event_score >= 75 then 'high_priority_suggestion'
+    when event_score >= 60 then 'normal_suggestion' when event_score >= 40 then 'watch' else 'archive' end as decision from sc)"""
+
 SQL = {
+    "quoted_signals": f"""with {_QUOTED} select post_id, event_type, 0.0::double as media_context, 0.0::double as media_risk, quote_risk, array_to_string(issues, ',') as risk_issues,
+        round(risk_score, 6) as risk_score, round(event_score, 6) as event_score, round(candidate_score, 6) as candidate_score, decision from sig""",
+    "quoted_decisions": f"with {_QUOTED} select decision, event_type, count(*) as posts from sig group by all",
     "decisions": f"with {_sql_signals()} select decision, event_type, count(*) as posts from sig group by all",
     "signals": f"""with {_sql_signals()} select post_id, event_type, media_context, media_risk, quote_risk, array_to_string(issues, ',') as risk_issues,
         round(risk_score, 6) as risk_score, round(event_score, 6) as event_score, round(candidate_score, 6) as candidate_score, decision from sig""",

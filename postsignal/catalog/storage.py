@@ -142,6 +142,18 @@ def retention_totals(spark, sf):
     return RT.retention_totals(objects, RT.retention_plan(objects, 300, POLICY), POLICY)
 
 
+def retained_objects(spark, sf):
+    objects = materialize(_retained(spark, sf))
+    return RT.retained_objects(objects, RT.retention_plan(objects, 300, POLICY), 300)
+
+
+def expiry_times(spark, sf):
+    """Documents stored at their id, some with a time to live, some with a negative one."""
+    docs = A.table(spark, sf, "documents")
+    ttl = F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") - 500)
+    return docs.select("doc_id", RT.expiry(F.col("doc_id"), ttl).alias("expires_at"))
+
+
 QUERIES = {
     "content_objects": content_objects,
     "reference_counts": reference_counts,
@@ -158,6 +170,8 @@ QUERIES = {
     "valid_entries": valid_entries,
     "retention_plan": retention_plan,
     "retention_totals": retention_totals,
+    "retained_objects": retained_objects,
+    "expiry_times": expiry_times,
 }
 
 _LOG = """log as (select props->>'$.k' as sha, user_id::varchar as reference_id, case when event_type in ('error', 'click') then 'release' else 'add' end as action, ts as happened, event_id as seq from events),
@@ -202,6 +216,10 @@ SQL = {
         where (expires_at is null or expires_at > 1705900000000000) and (d.at is null or written_at > d.at)
           and (namespace <> 'click' or written_at > (select min(epoch_us(ts)) from events where event_type = 'signup'))""",
     "retention_plan": f"with {_OBJ} select * from plan",
+    "retained_objects": f"""with {_OBJ} select o.sha, reference_count, storage_policy, o.last_accessed, expires_at, case when reason is null then o.byte_size else 0 end as byte_size,
+        case when reason is null then 'available' else 'metadata_only' end as availability, reason as deleted_reason, case when reason is not null then 300::bigint end as deleted_at
+        from obj o left join plan p using (sha) where reason is null or reference_count > 0""",
+    "expiry_times": "select doc_id, doc_id + case when doc_id % 3 > 0 then greatest(n_chars - 500, 0) end as expires_at from documents",
     "retention_totals": f"""with {_OBJ}, t as (select sum(byte_size)::bigint as before, count(*) filter (storage_policy = 'original') as protected_files, count(*) as n from sized),
         f as (select coalesce(sum(byte_size), 0)::bigint as freed, count(*) as files, count(*) filter (reason = 'retention_expired') as expired from plan)
         select before as total_bytes_before, before - freed as total_bytes_after, freed as freed_bytes, files as deleted_files, expired as expired_files, files - expired as quota_files,

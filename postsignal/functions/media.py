@@ -161,12 +161,15 @@ def evidence_verdict(info: Column) -> dict[str, Column]:
         F.when(has_media, F.lit("visual")), F.when(has_av, F.lit("audio_video")),
     )
 
-    def modality(name, here, conf, why):
+    def modality(name, here, conf, why, *signals):
         return F.struct(
             F.lit(name).alias("name"), here.alias("present"), conf.alias("confidence"),
-            F.when(~here, F.lit(why)).alias("missing_reason"),
+            F.when(~here, F.lit(why)).alias("missing_reason"), F.struct(*signals).alias("signals"),
         )
 
+    def found(terms, text):
+        return F.col(terms).alias("matched_terms"), F.length(text).alias("char_count")
+
     return {
         "language": detect_language(F.col("ev_context")),
         "topics": F.array_sort(
@@ -174,19 +177,30 @@ def evidence_verdict(info: Column) -> dict[str, Column]:
         ),
         "text_evidence": modality(
             "text", has_text,
-            F.when(hit_text, 0.85).when(has_text, 0.45).otherwise(0.0), "missing_text",
+            F.when(hit_text, 0.85).when(has_text, 0.45).otherwise(0.0), "missing_text", *found("text_terms", "ev_text"),
         ),
         "quote_evidence": modality(
             "quote", has_quote,
-            F.when(hit_quote, 0.75).when(has_quote, 0.35).otherwise(0.0), "missing_quote",
+            F.when(hit_quote, 0.75).when(has_quote, 0.35).otherwise(0.0), "missing_quote", *found("quote_terms", "ev_quote"),
         ),
         "visual_evidence": modality(
             "visual", has_media,
             F.when(hit_visual, 0.80).when(any_visual_text, 0.45).when(has_media, 0.20).otherwise(0.0),
             "missing_media",
+            info["media_count"].alias("media_count"),
+            F.size(info["alt_texts"]).alias("alt_text_count"),
+            F.size(info["ocr_texts"]).alias("ocr_text_count"),
+            info["ocr_statuses"].alias("ocr_statuses"),
+            F.col("visual_terms").alias("matched_terms"),
         ),
         "audio_video_evidence": modality(
-            "audio_video", has_av, F.when(has_av, 0.40).otherwise(0.0), "missing_audio_video"
+            "audio_video", has_av, F.when(has_av, 0.40).otherwise(0.0), "missing_audio_video",
+            info["audio_video_count"].alias("audio_video_count"),
+        ),
+        "relationship_evidence": modality(
+            "relationship", relationship != "insufficient_topic_evidence", rel_conf, "insufficient_topic_evidence",
+            relationship.alias("relationship"), F.col("text_terms").alias("text_terms"),
+            F.col("quote_terms").alias("quote_terms"), F.col("visual_terms").alias("visual_terms"),
         ),
         "relationship": relationship,
         "relationship_confidence": rel_conf,

@@ -2,63 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from difflib import SequenceMatcher
-from heapq import heappop, heappush
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from postsignal.operators.ordered import with_position
-from postsignal.runtime import shuffle_width
-
-
-def _ratio(a: str | None, b: str | None, floor: float = -1.0) -> float:
-    """Matching-blocks ratio of the lower-cased texts; ``floor`` when it cannot exceed that.
-
-    The blocks of a region never exceed its shorter side. With the regions still to be searched
-    that bounds the ratio, and unrelated texts drop below the floor after a few blocks.
-    """
-    a, b = (a or "").lower(), (b or "").lower()
-    if a == b:
-        return 1.0
-    total = len(a) + len(b)
-    open_, matched = min(len(a), len(b)), 0
-    if 2.0 * open_ / total <= floor:
-        return floor
-    matcher = SequenceMatcher(None, a, b)
-    regions = [(-open_, 0, len(a), 0, len(b))]
-    while regions:
-        size, alo, ahi, blo, bhi = heappop(regions)
-        open_ += size
-        block = matcher.find_longest_match(alo, ahi, blo, bhi)
-        if block.size:
-            matched += block.size
-            for part in (
-                (alo, block.a, blo, block.b),
-                (block.a + block.size, ahi, block.b + block.size, bhi),
-            ):
-                shorter = min(part[1] - part[0], part[3] - part[2])
-                if shorter:
-                    open_ += shorter
-                    heappush(regions, (-shorter, *part))
-        if 2.0 * (matched + open_) / total <= floor:
-            return floor
-    return 2.0 * matched / total
 
+from postsignal.operators.rows import exploded
+from postsignal.runtime import materialize
 
-@F.pandas_udf(T.DoubleType())
-def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio (difflib; there is no built-in equivalent)."""
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+#: Characters that separate words.
+GAPS = r"[^\p{L}\p{N}_]+"
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity_over_half(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same where it exceeds 0.5, else 0.5: lower values do not change a fatigue score."""
-    return pd.Series([_ratio(x, y, 0.5) for x, y in zip(a, b)], dtype="float64")
+def shingles(text: Column) -> Column:
+    """Distinct pairs of neighbouring words of a lower-cased text; a single word stands alone."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
+    n = F.size(words)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.when(n > 1, pairs).otherwise(words))
 
 
 def _score(similarity: Column, threshold: float) -> Column:
@@ -67,47 +26,35 @@ def _score(similarity: Column, threshold: float) -> Column:
     )
 
 
-def recent_pairs(
-    posts: DataFrame, item: str, author: str, order: Sequence[str], text: str, look_back: int
-) -> DataFrame:
-    """Every post with each of the ``look_back`` texts before it by the same author.
+def recent_similarity(posts: DataFrame, item: str, author: str, at: str, text: str, window: int) -> DataFrame:
+    """(item, similarity): greatest overlap with an earlier text of the author inside the window.
 
-    Posts are numbered per author without a per-author sort in one task; then each run of
-    ``look_back`` consecutive posts forms a block, and a post meets the posts of its own and of
-    the previous block in an equi-join. Blocks are of bounded size, however busy an author is.
+    The measure is the Dice coefficient of the shingles, ``2 * shared / (a + b)``. Time is cut into
+    stretches of the window's length, so a post shares a stretch with every text it may repeat:
+    its own or the one before. Posts meet where they share author, stretch and shingle, which deals
+    a busy author's texts by their shingles; counts of shared shingles are combined on the map side.
     """
-    narrow = posts.select(item, author, *[c for c in order if c != item], text)
-    numbered = with_position(narrow, [author], order).withColumn("block", F.floor(F.col("position") / look_back))
-    width = shuffle_width(posts.sparkSession)
-    # a fixed number of partitions: comparing is costly although the rows are few
-    new = numbered.select(
-        item, author, F.col(text).alias("new_text"), F.col("position").alias("p"),
-        F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"),
-    ).repartition(width, author, "block")
-    old = numbered.select(
-        author, "block", F.col(text).alias("old_text"), F.col("position").alias("q")
-    ).repartition(width, author, "block")
-    pairs = new.join(old, [author, "block"])
-    return pairs.filter((F.col("q") < F.col("p")) & (F.col("q") >= F.col("p") - look_back)).select(
-        item, "new_text", "old_text"
-    )
+    narrow = posts.select(F.col(item).alias("item"), F.col(author).alias("author"), F.col(at).alias("at"), shingles(F.col(text)).alias("_s"))
+    rows = exploded(narrow.withColumn("n", F.size("_s")), F.col("_s"), "_t", "item", "author", "at", "n")
+    rows = materialize(rows.select("item", "author", "at", "n", F.xxhash64("_t").alias("_t"), F.floor(F.col("at") / window).alias("_k")))
+    new = rows.select("item", "author", "at", "n", "_t", F.explode(F.array(F.col("_k"), F.col("_k") - 1)).alias("_k"))
+    old = rows.select("author", "_k", "_t", F.col("item").alias("old"), F.col("at").alias("before"), F.col("n").alias("m"))
+    pairs = new.join(old, ["author", "_k", "_t"]).filter((F.col("before") < F.col("at")) & (F.col("before") >= F.col("at") - window))
+    shared = pairs.groupBy("item", "old").agg((2.0 * F.count(F.lit(1)) / (F.first("n") + F.first("m"))).alias("s"))
+    return shared.groupBy("item").agg(F.max("s").alias("similarity"))
 
 
 def fatigue(
-    posts: DataFrame, item: str = "post_id", author: str = "author_handle",
-    order: Sequence[str] = ("ordinal",), text: str = "text", look_back: int = 20, threshold: float = 0.85,
+    posts: DataFrame, window: int, item: str = "post_id", author: str = "author_handle", at: str = "ordinal",
+    text: str = "text", threshold: float = 0.85,
 ) -> DataFrame:
-    """Fatigue score of every post from its most similar recent text.
+    """Fatigue score of every post from its most similar text by the same author.
 
-    80 with an issue at or above the threshold; else 100 * (similarity - 0.5), at least 0; 0
-    without earlier posts. Pairs that cannot exceed 0.5 cannot change the score, so a comparison
-    ends as soon as that is certain; where the lengths alone tell, it does not start.
+    Compared are the texts whose time ``at`` lies before the post's own, by at most ``window``: the
+    caller says what counts as recent. 80 with an issue at or above the threshold; else
+    100 * (similarity - 0.5), at least 0; 0 without earlier texts.
     """
-    pairs = recent_pairs(posts, item, author, order, text, look_back)
-    a, b = F.length(F.lower("new_text")), F.length(F.lower("old_text"))
-    possible = pairs.filter(4 * F.least(a, b) >= a + b)
-    scored = possible.select(item, _similarity_over_half("new_text", "old_text").alias("s"))
-    best = scored.groupBy(item).agg(F.max("s").alias("similarity"))
+    best = recent_similarity(posts, item, author, at, text, window).withColumnRenamed("item", item)
     similarity = F.coalesce(F.col("similarity"), F.lit(0.0))
     return posts.select(item).join(best, item, "left").select(
         item,

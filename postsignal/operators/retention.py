@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsignal.operators.ordered import with_running_sum
@@ -41,6 +41,29 @@ def retention_plan(objects: DataFrame, now: int, policy: RetentionPolicy) -> Dat
     )
 
 
+def expiry(stored_at: Column, ttl_seconds: Column) -> Column:
+    """When an object expires: its time to live after it was stored; never without one."""
+    return F.when(ttl_seconds.isNotNull(), stored_at + F.greatest(ttl_seconds, F.lit(0)))
+
+
+def retained_objects(objects: DataFrame, plan: DataFrame, now: int) -> DataFrame:
+    """The object table after a retention plan is carried out.
+
+    A deleted object keeps its metadata as long as something refers to it: it is then
+    ``metadata_only``, empty, with time and reason of the deletion. Without references its row goes.
+    """
+    gone = F.col("_reason").isNotNull()
+    joined = objects.join(plan.select("sha", F.col("reason").alias("_reason")), "sha", "left")
+    left = joined.filter(~gone | (F.coalesce("reference_count", F.lit(0)) > 0))
+    return left.select(
+        *[c for c in objects.columns if c != "byte_size"],
+        F.when(gone, 0).otherwise(F.col("byte_size")).alias("byte_size"),
+        F.when(gone, "metadata_only").otherwise("available").alias("availability"),
+        F.col("_reason").alias("deleted_reason"),
+        F.when(gone, F.lit(now)).cast("long").alias("deleted_at"),
+    )
+
+
 def retention_totals(objects: DataFrame, plan: DataFrame, policy: RetentionPolicy) -> DataFrame:
     """One-row account of a retention plan."""
     sized = objects.filter(F.coalesce("byte_size", F.lit(0)) > 0)

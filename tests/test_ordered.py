@@ -126,3 +126,65 @@ def test_reliability_and_choices(spark):
     opts = spark.createDataFrame([("k", "a", 0, None), ("k", "b", 1, 0.0), ("l", "a", 0, 1.0), ("l", "b", 1, 2.0)], "key string, option string, ordinal int, score double")
     assert {r["key"]: r["choice"] for r in L.choose_options(opts).collect()} == {"k": "a", "l": "b"}
     assert all(r["explored"] for r in L.choose_options(opts, epsilon=1.0).collect())
+
+
+def test_fold_of_one_hot_key(spark, monkeypatch):
+    """Nearly all rows under one key, cut into many short lists."""
+    from postsignal.operators import ordered as O
+
+    monkeypatch.setattr(O, "FOLDED", 7)
+    monkeypatch.setattr(O, "CHUNK_ROWS", 40)
+    rnd = random.Random(9)
+    rows = [("hot" if i % 100 else "rare", i, rnd.uniform(-3, 3)) for i in range(2_000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "key string, at int, step double")
+    got = {r["key"]: (r["value"], r["steps"]) for r in O.fold_clamped(df, "key", ["at"], F.lit(0.9), F.col("step"), -4.0, 4.0).collect()}
+    want = {}
+    for key, _, step in sorted(rows, key=lambda r: r[1]):
+        value, n = want.get(key, (1.0, 0))
+        want[key] = (max(-4.0, min(4.0, 0.9 * value + step)), n + 1)
+    assert got == {k: (pytest.approx(v), n) for k, (v, n) in want.items()}
+
+
+def test_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from postsignal import runtime
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+            getConf = staticmethod(lambda: {})
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(RuntimeError):
+        runtime.ensure_checkpoint_dir(Cluster)
+
+
+def test_previous_text_across_stretches(spark, monkeypatch):
+    from postsignal.operators import lookups as J
+
+    monkeypatch.setattr(J, "STRETCH", 4)
+    rows = [("a", t, f"t{t}" if t % 3 else None) for t in (0, 1, 3, 4, 9, 10, 11, 23)] + [("b", 7, "x")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, text string").repartition(3)
+    got = {(r["conv_id"], r["turn"]): r["quoted_text"] for r in J.with_previous_text(df).collect()}
+    want = {("b", 7): ""}
+    for (c, t, _), (_, _, before) in zip(rows[:8], [("a", 0, None), *rows[:7]]):
+        want[c, t] = before or ""
+    assert got == want
+
+
+def test_lexicon_table_beyond_any_limit(spark):
+    """6,000 terms of 1 to 9 characters; hits equal a plain search."""
+    from postsignal.operators import lookups as J
+
+    rnd = random.Random(4)
+    letters = "abcdé ş"
+    terms = [(f"c{i % 9}", "".join(rnd.choice(letters) for _ in range(rnd.choice([5, 6, 9, 9])))) for i in range(6_000)]
+    terms += [("short", "é"), ("short", "zz"), ("Case", "ABC"), ("none", "not there"), ("empty", "")]
+    texts = [(i, "".join(rnd.choice(letters + "AB") for _ in range(rnd.randrange(60)))) for i in range(60)] + [(60, None), (61, "zz")]
+    posts = spark.createDataFrame(texts, "id int, text string")
+    got = {(r["id"], r["category"]) for r in J.tag_with_terms(posts, spark.createDataFrame(terms, "category string, term string"), ["id"]).collect()}
+    assert got == {(i, c) for i, t in texts for c, k in terms if k and k.lower() in (t or "").lower()}
+    assert J.tag_with_terms(posts, spark.createDataFrame([], "category string, term string"), ["id"]).count() == 0

@@ -114,17 +114,21 @@ def test_hash_texts(spark):
 
 
 def test_fatigue_equals_comparing_recent_texts(spark):
-    from difflib import SequenceMatcher
-
     rnd = random.Random(5)
-    base = ["Bu pozisyon daha çok konuşulur", "Klasik maç günü hikayesi", "x", "", "Bunu maçtan sonra tekrar açarlar bence"]
-    rows = [(i, "hot" if rnd.random() < 0.7 else "b", i, rnd.choice(base) + rnd.choice(["", ".", " evet", "!!!"])) for i in range(80)]
+    base = ["Low water at the pier tonight", "low water at the pier", "fog", "", None, "Ferry, ferry, ferry on time again and again"]
+    rows = [(i, "hot" if rnd.random() < 0.7 else "b", i * 10, rnd.choice(base), rnd.choice(["", ".", " now", "!!!"])) for i in range(80)]
+    rows = [(i, a, t, None if x is None else x + y) for i, a, t, x, y in rows]
     df = spark.createDataFrame(rows, "post_id int, author_handle string, ordinal int, text string").repartition(4)
-    got = {r["post_id"]: (r["fatigue_score"], r["issue"]) for r in N.fatigue(df, look_back=4).collect()}
-    seen = {}
-    for i, author, _, text in rows:
-        recent = seen.setdefault(author, [])[-4:]
-        s = max([SequenceMatcher(None, text.lower(), t.lower()).ratio() for t in recent] or [0.0])
+    got = {r["post_id"]: (r["fatigue_score"], r["issue"]) for r in N.fatigue(df, window=45).collect()}
+
+    def pairs(text):
+        words = re.findall(r"\w+", (text or "").lower())
+        return set(zip(words, words[1:])) if len(words) > 1 else set(words)
+
+    for i, author, at, text in rows:
+        a, s = pairs(text), 0.0
+        for _, other, before, old in rows:
+            if other == author and at - 45 <= before < at and a and pairs(old):
+                s = max(s, 2 * len(a & pairs(old)) / (len(a) + len(pairs(old))))
         want = (80.0, "near_duplicate_text") if s >= 0.85 else (max(0.0, (s - 0.5) * 100), "")
         assert got[i] == (pytest.approx(want[0]), want[1])
-        seen[author].append(text)
