@@ -5,8 +5,9 @@ holding a third of all rows is one row here and is re-attached at the end by an
 
 Candidate pairs come from blocks of bits. Cut the fingerprint into ``m`` blocks: two values at
 distance <= t agree on at least ``m - t`` blocks, so they share a key made of some ``m - t``
-blocks. More blocks mean longer, more selective keys and more keys per value. The number of
-blocks is chosen from the measured number of colliding pairs, and any choice loses nothing.
+blocks. More blocks mean longer, more selective keys and more keys per value; any number loses
+nothing. The default is ``SPARE_BLOCKS`` more than the distance; add one for every hundredfold of
+distinct values.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from postsignal.operators.rows import exploded
 from postsignal.runtime import materialize
 
 BITS = 64
+#: Blocks that two near values share at least.
+SPARE_BLOCKS = 2
 
 
 def simhash(docs: DataFrame, doc_id: str, tokens: Column, bits: int = 60) -> DataFrame:
@@ -92,28 +95,6 @@ def _first_common(xor: Column, combo: Column, blocks: int, threshold: int) -> Co
     return F.bit_count(agree.bitwiseAND(below)) == need
 
 
-def choose_blocks(values: DataFrame, threshold: int, key_cost: float = 10.0, most: int = 13) -> int:
-    """Number of blocks with the least estimated work.
-
-    Measured on the data (values per key), since the bits of real fingerprints are correlated.
-    Each step adds keys, which are shuffled (``key_cost`` comparisons each), and removes
-    colliding pairs; the search ends once the keys cost more than the pairs they leave.
-    """
-    best, best_cost = threshold + 1, float("inf")
-    for blocks in range(threshold + 1, most + 1):
-        sizes = block_keys(values, blocks, threshold).groupBy("algorithm", "combo", "key").count()
-        row = sizes.agg(
-            F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"),
-            F.sum("count").alias("keys"),
-        ).first()
-        pairs, keys = float(row["pairs"] or 0.0), key_cost * float(row["keys"] or 0)
-        if pairs + keys < best_cost:
-            best, best_cost = blocks, pairs + keys
-        if pairs <= keys:
-            break
-    return best
-
-
 def near_pairs(
     fingerprints: DataFrame, threshold: int = 8, blocks: int | None = None, hot_key: int = 20_000
 ) -> DataFrame:
@@ -124,14 +105,14 @@ def near_pairs(
     per salt, which spreads the comparisons of one key without losing or repeating a pair.
     """
     values = fingerprints.select("algorithm", "bits").distinct()
-    if blocks is None:
-        values = materialize(values)
-        blocks = choose_blocks(values, threshold)
-    keys = block_keys(values, blocks, threshold)
-    sizes = keys.groupBy("algorithm", "combo", "key").agg(
+    blocks = blocks or threshold + SPARE_BLOCKS
+    keys = block_keys(materialize(values), blocks, threshold)
+    counted = keys.groupBy("algorithm", "combo", "key").agg(
         F.ceil(F.count(F.lit(1)) / hot_key).cast("int").alias("salts"),
         F.count(F.lit(1)).alias("_n"),
     ).filter("_n > 1").drop("_n")
+    # written, so that both sides of the joins are plain tables and hot keys can be split
+    sizes = materialize(counted)
     sized = keys.join(sizes, ["algorithm", "combo", "key"])
     left = sized.withColumn("salt", F.pmod(F.xxhash64("bits"), F.col("salts")).cast("int")).withColumnRenamed("bits", "bits_a")
     right = sized.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumnRenamed("bits", "bits_b")
@@ -161,7 +142,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         else:
             near = both.filter("v < u")
             keep = F.lit(True)
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the edges of a root with very many can be split in the join
+        least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         linked = near.filter(keep).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             linked = linked.union(least.select("u", F.col("m").alias("v")))

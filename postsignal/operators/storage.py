@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postsignal import lexicons as lx
 from postsignal.functions.ids import snapshot_id
+from postsignal.runtime import materialize
 
 FEATURE_KEY = ("owner_type", "owner_id", "feature_name", "feature_version")
 
@@ -91,12 +92,13 @@ def release_unnamed(live: DataFrame, releases: DataFrame, sha: str = "sha", refe
     """
     from postsignal.operators.ordered import with_position
 
-    total = live.groupBy(sha).agg(F.count(F.lit(1)).alias("_total"))
+    total = live.groupBy(sha).agg(F.count(F.lit(1)).alias("_total"))  # combined on the map side
     placed = with_position(live, [sha], [reference], "_at")
     bound = total.join(releases, sha, "left").select(
         sha, (F.col("_total") - F.coalesce("n", F.lit(0))).alias("_keep")
     )
-    return placed.join(bound, sha).filter("_at < _keep").select(sha, reference)
+    # written, so that the references of an object with very many can be split in the join
+    return placed.join(materialize(bound), sha).filter("_at < _keep").select(sha, reference)
 
 
 def remote_snapshots(log: DataFrame) -> DataFrame:
