@@ -43,12 +43,29 @@ def worker_state(key: tuple, make: Callable[[], object]) -> object:
     kept = sys.modules.setdefault("_postsignal_worker_state", types.ModuleType("_postsignal_worker_state"))
     states = kept.__dict__.setdefault("states", {})
     if key not in states:
-        for other in [k for k in states if k[0] != key[0]]:
-            del states[other]
+        if others := [k for k in states if k[0] != key[0]]:
+            for other in others:
+                del states[other]
+            _give_back()
         states[key] = make()
     return states[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine; a reused worker would hold it until it ends."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_bytes(texts: list, most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges [start, end) holding about ``most`` bytes or characters each."""
     start = size = 0
@@ -61,6 +78,22 @@ def by_bytes(texts: list, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_slices(column, most: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(start, end, texts as bytes) of consecutive rows of an Arrow column, about ``most`` bytes each.
+
+    Only the rows at hand become Python objects.
+    """
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most or i + 1 == len(sizes):
+            yield start, i + 1, text_bytes(column.slice(start, i + 1 - start))
+            start, held = i + 1, 0
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as bytes; null counts as empty."""
     import pyarrow as pa

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import rows_of, stored, text_key
+from postsignal.llm.common import rows_of, stored, text_key, worker_state
 
 #: Values of the hash universe per document: one in so many documents is a suspect by chance.
 SPARE = 256
@@ -66,6 +66,7 @@ def _sender(universe: int, owner_bits: int):
         import numpy as np
         import pyarrow as pa
 
+        worker_state(("exact",), dict)  # nothing is kept
         for batch in batches:
             hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             values = np.sort(hashes >> np.uint64(64 - universe))

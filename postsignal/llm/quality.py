@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import by_bytes, stored, text_bytes, worker_state
+from postsignal.llm.common import stored, text_bytes, text_slices, worker_state
 
 #: Bytes of text worked on together, words whose shares a worker keeps, words whose features are made at once.
 BATCH_BYTES, KEPT, SLICE = 1 << 20, 200_000, 1 << 14
@@ -236,8 +236,7 @@ def score(
 
         scorer = worker_state(("quality", digest), lambda: Scorer(given.value, model))
         for batch in batches:
-            texts = text_bytes(batch.column(len(keep)))
-            found = np.concatenate([np.zeros(0), *(scorer.scores(texts[a:b]) for a, b in by_bytes(texts, BATCH_BYTES))])
+            found = np.concatenate([np.zeros(0), *(scorer.scores(texts) for _, _, texts in text_slices(batch.column(len(keep)), BATCH_BYTES))])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found)], names=[*keep, names[0]])
 
     rows = docs.select(*keep, F.col(text).alias("_text"))

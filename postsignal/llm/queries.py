@@ -13,7 +13,7 @@ from postsignal.llm.hash_tree import shard_rows, tree
 from postsignal.llm.host_reputation import Rule, judge_urls
 from postsignal.llm.mixing import mix
 from postsignal.llm.quality import fit, held_out, score
-from postsignal.llm.sentencepiece_bpe import decode_ids, encode_texts
+from postsignal.llm.sentencepiece_bpe import encode_texts
 from postsignal.llm.simhash_dedup import simhash_groups
 from postsignal.llm.substring_dedup import remove_repeated_passages
 from postsignal.llm.token_counts import count_tokens
@@ -42,7 +42,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents"), path), path)
+    coded = encode_texts(table(spark, sf_dir, "documents"), path, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

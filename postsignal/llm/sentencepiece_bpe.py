@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from postsignal.llm.common import Recent, by_bytes, text_bytes, worker_state
+from postsignal.llm.common import Recent, by_bytes, text_slices, worker_state
 
 MARK = "▁"
 #: Parts (twice as many) and pairs that a worker keeps, and bytes of text per result batch.
-KEPT, PAIRS, BATCH_BYTES = 120_000, 300_000, 1 << 21
+KEPT, PAIRS, BATCH_BYTES = 100_000, 200_000, 1 << 21
 
 
 class Vocabulary:
@@ -233,14 +233,18 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: bool = True) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), end: bool = True, decoded: bool = False
+) -> DataFrame:
     """The ``keep`` columns of ``docs`` and ``ids``, the ids of each text, with an end id if ``end``.
 
-    One row per row, in any order. Null texts count as empty: no ids but the end id. Columns that are
-    not kept are ignored; a kept column called ids gives way. Rows may repeat, an empty table gives an
-    empty result.
+    With ``decoded`` also the text of these ids, decoded in the same pass. One row per row, in any
+    order. Null texts count as empty: no ids but the end id. Columns that are not kept are ignored; a
+    kept column with the name of a result gives way. Rows may repeat, an empty table gives an empty
+    result.
     """
-    model, keep = read_model(path), [c for c in keep if c != "ids"]
+    names = ["ids", "decoded"] if decoded else ["ids"]
+    model, keep = read_model(path), [c for c in keep if c not in names]
 
     def run(batches):
         import numpy as np
@@ -249,15 +253,19 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: Sequence[
         words = _vocabulary(model)
         last = np.array([words.eos], np.int32).tobytes() if end else b""
         for batch in batches:
-            texts = text_bytes(batch.column(len(keep)))
-            for a, b in by_bytes(texts, BATCH_BYTES):
-                coded = [words.encode(x.decode()) + last for x in texts[a:b]]
+            for a, b, texts in text_slices(batch.column(len(keep)), BATCH_BYTES):
+                coded = [words.encode(x.decode()) + last for x in texts]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in coded)])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), ids], names=[*keep, "ids"])
+                found = [*(batch.column(i).slice(a, b - a) for i in range(len(keep))), ids]
+                if decoded:
+                    found.append(pa.array([words.decode(np.frombuffer(x, np.int32)) for x in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays(found, names=[*keep, *names])
 
     rows = docs.select(*keep, F.col(text).alias("_text"))
     schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType()))
+    if decoded:
+        schema = schema.add("decoded", "string")
     return rows.mapInArrow(run, schema)
 
 

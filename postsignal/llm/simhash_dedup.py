@@ -22,12 +22,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import rows_of, stored, text_bytes, text_key
+from postsignal.llm.common import rows_of, stored, text_key, text_slices, worker_state
 from postsignal.llm.graph import smallest_reachable
 
 WORDS = 4
 DISTANCE = 4
 SEED = 42
+#: Bytes of text that are Python objects at once.
+BATCH_BYTES = 1 << 21
 #: Fingerprints of a posting list that meet in one group.
 CHUNK = 512
 FEWEST = 8 - DISTANCE
@@ -64,9 +66,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         import numpy as np
         import pyarrow as pa
 
+        worker_state(("simhash",), dict)  # nothing is kept
         for batch in batches:
-            texts = text_bytes(batch.column(2))
-            found = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
+            found = [fingerprint(x) for _, _, texts in text_slices(batch.column(2), BATCH_BYTES) for x in texts]
+            found = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "text_key", "bits"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))

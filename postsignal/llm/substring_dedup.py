@@ -29,12 +29,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import stored, text_bytes, worker_state
+from postsignal.llm.common import stored, text_bytes, text_slices, worker_state
 
 WINDOW = 50
 PHRASE = 12
 #: Words of a text that are worked on at once.
 PIECE = 1 << 18
+#: Bytes of text that are Python objects at once.
+BATCH_BYTES = 1 << 21
 #: Words whose hashes a worker keeps.
 KEPT = 200_000
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -154,7 +156,8 @@ def _index(batches):
             columns = [np.concatenate(c) for c in zip(*held)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-        for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+        docs = batch.column(0).to_pylist()
+        for doc, text in ((docs[a + i], x) for a, _, texts in text_slices(batch.column(1), BATCH_BYTES) for i, x in enumerate(texts)):
             words = text.split()
             if len(words) < WINDOW or doc is None:
                 continue

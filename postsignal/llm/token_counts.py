@@ -17,7 +17,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import by_bytes, text_bytes, worker_state
+from postsignal.llm.common import by_bytes, text_slices, worker_state
 
 #: Bytes of text worked on together, bytes per call of the encoder, parts that a worker keeps.
 BATCH_BYTES, GROUP_BYTES, KEPT = 1 << 21, 1 << 18, 150_000
@@ -104,11 +104,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id",
 
         counter = worker_state(("token counts", sha256(model.encode()).digest()), lambda: Counter(model))
         for batch in batches:
-            texts, found = text_bytes(batch.column(1)), []
-            for a, b in by_bytes(texts, BATCH_BYTES):
-                found += counter.counts(texts[a:b])
+            sizes, found = [], []
+            for _, _, texts in text_slices(batch.column(1), BATCH_BYTES):
+                sizes += map(len, texts)
+                found += counter.counts(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(found, pa.int64())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 

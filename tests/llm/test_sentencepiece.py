@@ -67,6 +67,8 @@ def test_rows(spark, messy, none, library):
     for r in rows:
         ids = [*library.encode(r.text or ""), 2]
         assert r.ids == ids and r.decoded == library.decode(ids)
+    both = B.encode_texts(messy, PATH, decoded=True)
+    assert sorted((str(r.doc_id), r.ids, r.decoded) for r in both.collect()) == sorted((str(r.doc_id), r.ids, r.decoded) for r in rows)
     assert B.decode_ids(B.encode_texts(none, PATH), PATH).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in B.decode_ids(nulls, PATH).collect()} == {1: None, 2: ""}
