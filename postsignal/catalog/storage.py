@@ -10,6 +10,7 @@ from postsignal.operators import storage as ST
 from postsignal.policies import RetentionPolicy
 from postsignal.runtime import materialize
 from postsignal.sources import adapters as A
+from postsignal.sources.files import content_path
 
 
 def content_objects(spark, sf):
@@ -147,6 +148,13 @@ def retained_objects(spark, sf):
     return RT.retained_objects(objects, RT.retention_plan(objects, 300, POLICY), 300)
 
 
+def content_paths(spark, sf):
+    """Where the text of a document would be stored, named after its source and language."""
+    docs = A.table(spark, sf, "documents")
+    name = F.concat(F.lit("/in/"), "source", F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("."), F.upper("lang"))).otherwise(""))
+    return docs.select("doc_id", content_path(F.sha2("text", 256), name).alias("path"))
+
+
 def expiry_times(spark, sf):
     """Documents stored at their id, some with a time to live, some with a negative one."""
     docs = A.table(spark, sf, "documents")
@@ -172,6 +180,7 @@ QUERIES = {
     "retention_totals": retention_totals,
     "retained_objects": retained_objects,
     "expiry_times": expiry_times,
+    "content_paths": content_paths,
 }
 
 _LOG = """log as (select props->>'$.k' as sha, user_id::varchar as reference_id, case when event_type in ('error', 'click') then 'release' else 'add' end as action, ts as happened, event_id as seq from events),
@@ -219,6 +228,8 @@ SQL = {
     "retained_objects": f"""with {_OBJ} select o.sha, reference_count, storage_policy, o.last_accessed, expires_at, case when reason is null then o.byte_size else 0 end as byte_size,
         case when reason is null then 'available' else 'metadata_only' end as availability, reason as deleted_reason, case when reason is not null then 300::bigint end as deleted_at
         from obj o left join plan p using (sha) where reason is null or reference_count > 0""",
+    "content_paths": """with d as (select doc_id, sha256(text) as h, case when doc_id % 3 > 0 then '.' || lang else '' end as suffix from documents)
+        select doc_id, substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h || suffix as path from d""",
     "expiry_times": "select doc_id, doc_id + case when doc_id % 3 > 0 then greatest(n_chars - 500, 0) end as expires_at from documents",
     "retention_totals": f"""with {_OBJ}, t as (select sum(byte_size)::bigint as before, count(*) filter (storage_policy = 'original') as protected_files, count(*) as n from sized),
         f as (select coalesce(sum(byte_size), 0)::bigint as freed, count(*) as files, count(*) filter (reason = 'retention_expired') as expired from plan)

@@ -89,15 +89,8 @@ def page_facts(spark, sf):
 
 
 def page_posts(spark, sf):
-    """Each page's article as a post: heading as text, its address and author from added markers."""
-    pages = A.text_table(spark, sf, "pages")
-    mark = F.concat(
-        F.lit('<article role="article"><a href="/p'), "page_id", F.lit('"><span>@Page'), "page_id", F.lit("</span></a><a href=\"https://x.com/p/status/"),
-        "page_id", F.lit('?s=1"><time datetime="2024-01-01T00:00:00Z">t</time></a><div aria-label="7 likes">7</div>'),
-    )
-    html = F.replace(F.replace("html", F.lit("<article>"), mark), F.lit("<h1>"), F.lit('<h1 lang="x">'))
-    posts = parse_payloads(PG.page_payloads(pages.withColumn("html", html)))
-    return posts.select("page_id", "url", "author_handle", "timestamp", "text", F.col("raw_metrics")["7 likes"].cast("string").alias("likes"))
+    posts = PG.page_posts(A.text_table(spark, sf, "pages"))
+    return posts.select("page_id", "url", "heading", F.sha2("text", 256).alias("text_sha"), "paragraphs", F.array_join("links", " ").alias("links"))
 
 
 QUERIES = {
@@ -111,6 +104,14 @@ QUERIES = {
     "page_posts": page_posts,
 }
 
+def _visible(html):
+    out = rf"regexp_replace({html}, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)[^>]*>', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?i)<br[^>]*>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
+    for entity, char in PG.ENTITIES:
+        out = f"replace({out}, {b.lit(entity)}, {b.lit(char)})"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
 SQL = {
     "streamed_captures": f"with {CC._CAP} select platform_post_id, url as canonical_url, idempotency_key from kept",
     "streamed_quarantine": f"with {CC._CAP} select array_to_string(errors, ',') as errors, count(*) as n from val where len(errors) > 0 group by 1",
@@ -121,9 +122,10 @@ SQL = {
     "streamed_failures": f"select job_id, error_code, outcome from ({RK.SQL['routed_failures']})",
     "page_facts": r"""select page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title, regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) as lang,
         len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::bigint as links, len(regexp_extract_all(html, '(?i)<p[\s>]'))::bigint as paragraphs from pages""",
-    "page_posts": r"""with a as (select page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) as art from pages where contains(html, '<article>')),
-        h as (select page_id, regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1) as t from a),
-        d as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&nbsp;?', chr(160), 'g'), '&amp;?', '&', 'g') as t from h)
-        select page_id, 'https://x.com/p/status/' || page_id as url, 'Page' || page_id as author_handle, '2024-01-01T00:00:00Z' as timestamp,
-          trim(regexp_replace(t, '\s+', ' ', 'g')) as text, '7' as likes from d""",
+    "page_posts": rf"""with a as (select page_id, url, regexp_extract(html, '(?is)<article(?:\s[^>]*)?>(.*?)(?:</article|$)', 1) as art from pages where regexp_matches(html, '(?i)<article[\s>]')),
+        p as (select *, list_filter(list_transform(list_transform(regexp_split_to_array(art, '(?i)<p(?:\s[^>]*)?>')[2:],
+          lambda x: regexp_extract(x, '(?is)^(.*?)(?:</p|$)', 1)), lambda x: {_visible('x')}), lambda x: x <> '') as t from a)
+        select page_id, regexp_replace(trim(url), '(?s)[?#].*$', '') as url, {_visible(r"regexp_extract(art, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1', 1)")} as heading,
+          sha256(array_to_string(t, chr(10))) as text_sha, len(t)::bigint as paragraphs,
+          array_to_string(regexp_extract_all(art, '(?i)<a\s[^>]*?href="([^"]*)"', 1), ' ') as links from p""",
 }

@@ -1,16 +1,9 @@
-"""Digests and perceptual hashes of media files."""
+"""Digests and paths of stored files."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-DHASH_SIDE = 8
-_PRECISION = 22
 
 
 def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -23,80 +16,6 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     )
 
 
-def _weights(size: int, out: int) -> np.ndarray:
-    """Lanczos-3 resampling weights (out x size) in 22-bit fixed point."""
-    scale = size / out
-    stretch = max(scale, 1.0)
-    support = 3.0 * stretch
-    rows = np.zeros((out, size))
-    for i in range(out):
-        centre = (i + 0.5) * scale
-        lo = max(int(centre - support + 0.5), 0)
-        hi = min(int(centre + support + 0.5), size)
-        x = (np.arange(lo, hi) - centre + 0.5) / stretch
-        w = np.where(np.abs(x) < 3.0, np.sinc(x) * np.sinc(x / 3.0), 0.0)
-        rows[i, lo:hi] = w / w.sum()
-    return np.floor(rows * (1 << _PRECISION) + 0.5).astype(np.int64)
-
-
-def _shrink(grey: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Resize an 8-bit image: horizontal pass, then vertical, each rounded to 8 bits."""
-    half = 1 << (_PRECISION - 1)
-    flat = np.clip((grey.astype(np.int64) @ _weights(grey.shape[1], width).T + half) >> _PRECISION, 0, 255)
-    return np.clip((_weights(grey.shape[0], height) @ flat + half) >> _PRECISION, 0, 255)
-
-
-def difference_hash(grey: np.ndarray, side: int = DHASH_SIDE) -> str:
-    """Bits "left is brighter than right" of the image reduced to (side + 1) x side."""
-    small = _shrink(grey, side + 1, side)
-    bits = (small[:, :-1] > small[:, 1:]).ravel()
-    value = int("".join("1" if b else "0" for b in bits), 2)
-    return f"dhash{side * side}-v1:{value:0{side * side // 4}x}"
-
-
-def to_grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Luma of decoded pixels (blue, green, red[, alpha] order, or already grey)."""
-    pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-    if channels == 1:
-        return pixels[:, :, 0]
-    b, g, r = (pixels[:, :, i].astype(np.int64) for i in range(3))
-    return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
-
-
-@F.pandas_udf(T.StringType())
-def pixel_hash(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
-    """Difference hash of decoded images; null where there are no pixels."""
-
-    def one(d, h, w, c):
-        if d is None or not h or not w or h <= 0 or w <= 0:
-            return None
-        return difference_hash(to_grey(d, int(h), int(w), int(c)))
-
-    return pd.Series([one(*row) for row in zip(data, height, width, channels)], dtype=object)
-
-
-def image_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Difference hash of every decodable image: (path, perceptual_hash).
-
-    Images are decoded by Spark's image source in the JVM; files that are no images drop out.
-    """
-    images = spark.read.format("image").option("dropInvalid", "true").load(path)
-    i = F.col("image")
-    return images.select(
-        # the image source writes local paths as file:///, the binary source as file:/
-        F.regexp_replace(i["origin"], "^file:/+", "file:/").alias("path"),
-        pixel_hash(i["data"], i["height"], i["width"], i["nChannels"]).alias("perceptual_hash"),
-    )
-
-
-def media_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """Digest and perceptual hash of every file; the latter is '' where it is no image."""
-    digests = file_digests(spark, path)
-    return digests.join(image_hashes(spark, path), "path", "left").withColumn(
-        "perceptual_hash", F.coalesce("perceptual_hash", F.lit(""))
-    )
-
-
 def content_path(digest, name):
     """Relative path of a stored object: two digest folders, then digest plus suffix."""
     suffix = F.lower(F.regexp_extract(name, r"[^/.](\.[^/.]+)$", 1))

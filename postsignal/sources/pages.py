@@ -1,29 +1,18 @@
-"""Posts and page facts from HTML."""
+"""Posts and page facts from HTML, by expressions only."""
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postsignal.operators.capture import redact_url
 
-# Page markers and labels that decide what is extracted.
-SELECTOR_VERSION = "visible_dom_v1"
-UI_IMAGE = re.compile(r"profile_images|default_profile_images|emoji|avatar|badge|icon", re.I)
-METRIC_LABEL = re.compile(r"like|repost|reply|view|beğeni|yanıt|görüntülenme", re.I)
-VOID_TAGS = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
+#: Entities that texts may hold, and what they stand for; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Title, language and number of links, by expressions only."""
+    """Title, language and number of links."""
     html = F.col("html")
     return pages.select(
         "page_id",
@@ -35,157 +24,31 @@ def page_facts(pages: DataFrame) -> DataFrame:
     )
 
 
-class _Element:
-    __slots__ = ("tag", "attrs", "parent", "items")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Element | None):
-        self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[_Element]:
-        for item in self.items:
-            if isinstance(item, _Element):
-                yield item
-                yield from item.walk()
-
-    def text(self) -> str:
-        return re.sub(r"\s+", " ", "".join(self._raw())).strip()
-
-    def _raw(self) -> Iterator[str]:
-        for item in self.items:
-            if isinstance(item, str):
-                yield item
-            elif item.tag == "br":
-                yield " "
-            elif item.tag not in ("script", "style"):
-                yield from item._raw()
-
-    def inside(self, test, stop: _Element) -> bool:
-        node = self.parent
-        while node is not None and node is not stop:
-            if test(node):
-                return True
-            node = node.parent
-        return False
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Element("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        element = _Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.items.append(element)
-        if tag not in VOID_TAGS:
-            self.at = element
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.items.append(_Element(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.items.append(data)
-
-
-def _post_url(node: _Element, base: str) -> str:
-    for a in node.walk():
-        if a.tag == "a" and "/status/" in a.attrs.get("href", ""):
-            return urljoin(base, a.attrs["href"]).split("?")[0]
-    return ""
-
+def visible_text(html: Column) -> Column:
+    """Text of a piece of HTML: no tags, entities read, white space collapsed."""
+    out = F.regexp_replace(html, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)[^>]*>", "")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)<br[^>]*>", " "), r"(?s)<[^>]*>", "")
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
 
-def _author(node: _Element) -> str:
-    for span in node.walk():
-        in_link = span.tag == "span" and span.inside(
-            lambda p: p.tag == "a" and p.attrs.get("href", "").startswith("/"), node
-        )
-        if in_link and span.text().startswith("@"):
-            return span.text().replace("@", "", 1).strip()
-    return "unknown"
 
+def page_posts(pages: DataFrame) -> DataFrame:
+    """The article of each page as a post: (page_id, url, heading, text, paragraphs, links).
 
-def _is_quote(node: _Element) -> bool:
-    return node.tag == "div" and node.attrs.get("role") == "link"
-
-
-def _media(article: _Element, base: str) -> list[dict[str, str]]:
-    found = []
-    for el in article.walk():
-        marks = ("tweetPhoto", "videoPlayer") if el.tag == "video" else ("tweetPhoto",)
-        if el.tag not in ("img", "video") or not el.inside(lambda p: p.attrs.get("data-testid") in marks, article):
-            continue
-        src = el.attrs.get("src", "")
-        if not src or src.startswith("data:") or UI_IMAGE.search(src):
-            continue
-        found.append(
-            {
-                "type": "video" if el.tag == "video" else "image",
-                "url": urljoin(base, src),
-                "alt_text": el.attrs.get("alt", ""),
-                "media_scope": "quote" if el.inside(_is_quote, article) else "post",
-            }
-        )
-    return found
-
-
-def _post(article: _Element, base: str) -> dict[str, object]:
-    nodes = list(article.walk())
-
-    def first(test):
-        return next((n for n in nodes if test(n)), None)
-
-    quote = first(lambda n: _is_quote(n) and ("@" in n.text() or any(m.tag == "time" for m in n.walk())))
-    body = first(lambda n: n.attrs.get("data-testid") == "tweetText") or first(lambda n: "lang" in n.attrs)
-    name = first(lambda n: n.attrs.get("data-testid") == "User-Name")
-    time = first(lambda n: n.tag == "time")
-    labels = {n.attrs["aria-label"]: n.text() for n in nodes if METRIC_LABEL.search(n.attrs.get("aria-label", ""))}
-    return {
-        "text": body.text() if body else "",
-        "url": _post_url(article, base),
-        "author_handle": _author(article),
-        "display_name": name.text() if name else "",
-        "timestamp": time.attrs.get("datetime", "") if time else "",
-        "visible_metrics": labels,
-        "media": _media(article, base),
-        "quoted_text": quote.text() if quote else "",
-        "quoted_author": _author(quote) if quote else "",
-        "quoted_url": _post_url(quote, base) if quote else "",
-        "raw_capture_version": SELECTOR_VERSION,
-    }
-
-
-def posts_in_html(html: str, base: str = "") -> list[dict[str, object]]:
-    """Posts of one page that show text, media or a quote."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    articles = [n for n in tree.root.walk() if n.tag == "article" and n.attrs.get("role") == "article"]
-    posts = [_post(a, base or "") for a in articles]
-    return [p for p in posts if p["text"] or p["media"] or p["quoted_text"]]
-
-
-def page_payloads(pages: DataFrame) -> DataFrame:
-    """Capture payload of every post on every page: (page_id, position, payload).
-
-    Only the HTML walk runs in Python, in Arrow batches; the payloads continue as JSON text
-    through the same expressions as any other capture.
+    Tag names may be written in any case, and paragraphs need not be closed: one ends where it is
+    closed or where the next begins. Pages without an article have no post.
     """
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (page, i, json.dumps(post, ensure_ascii=False))
-                for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"])
-                for i, post in enumerate(posts_in_html(html, url))
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "payload"])
-
-    # pages without an article never reach Python; tag names may be written in any case
-    candidates = pages.select("page_id", "url", "html").filter(F.col("html").rlike("(?i)<article"))
-    return candidates.mapInPandas(extract, "page_id long, position int, payload string")
+    article = F.regexp_extract("html", r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article|$)", 1)
+    found = pages.filter(F.col("html").rlike(r"(?i)<article[\s>]")).withColumn("_a", article)
+    pieces = F.split("_a", r"(?i)<p(?:\s[^>]*)?>")
+    texts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: visible_text(F.regexp_extract(p, r"(?is)^(.*?)(?:</p|$)", 1)))
+    staged = found.withColumn("_t", F.filter(texts, lambda t: t != ""))
+    return staged.select(
+        "page_id",
+        redact_url(F.col("url")).alias("url"),
+        visible_text(F.regexp_extract("_a", r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1)).alias("heading"),
+        F.array_join("_t", "\n").alias("text"),
+        F.size("_t").cast("long").alias("paragraphs"),
+        F.regexp_extract_all("_a", F.lit(r"(?i)<a\s[^>]*?href=\"([^\"]*)\""), F.lit(1)).alias("links"),
+    )

@@ -144,28 +144,15 @@ def test_greedy_dedup_equals_reading_row_by_row(spark):
         assert got == want
 
 
-PAGE = """<html lang="en"><head><title>Harbour</title></head><body>
-<ARTICLE role="article"><p>empty of posts</p></ARTICLE>
-<Article role="article">
-<div role="link"><p>Low water at noon</p><a href="https://x.com/Tides/status/51?x=1"><time datetime="2031-03-09T17:00:00Z">17:00</time></a>
-<a href="/Tides"><span>@Tides</span></a>
-<div data-testid="tweetPhoto"><img src="data:image/gif;base64,AA" alt="inline"><img src="https://cdn.harbour.test/m/buoy.png" alt=""></div></div>
-<div aria-label="88,412 views">88,412</div><div aria-label="7 reply">7</div>
-<div data-testid="tweetPhoto"><img alt="pier &lt;east&gt; side" src="https://cdn.harbour.test/m/pier.webp?w=640"></div>
-<div data-testid="tweetText" lang="en">Night ferry <i>delayed</i>;<br>fog over the strait.</div>
-<a href="https://x.com/FerryDesk/status/62?utm=mail"><time datetime="2031-03-09T18:05:40Z">18:05</time></a>
-<div data-testid="User-Name"><img alt="portrait" src="https://cdn.harbour.test/profile_images/7.png"><a href="/FerryDesk"><span>@FerryDesk</span></a> The Ferry Desk</div>
-</Article></body></html>"""
+PAGE = """<html lang="en"><head><title>Harbour</title></head><body><p>outside
+<ARTICLE class="x"><H1>Night <i>ferry</i>&nbsp;news</H1><p>Fog &amp;lt; over<br>the strait.<script>var p = "<p>";</script>
+<P id="two"> Low water at <a class="k" href="/tides?d=1">noon</a> </p> between <p></p><a href="https://x.com/a">more</a></ARTICLE><p>after</body></html>"""
 
 
 def test_posts_from_html(spark):
-    pages = spark.createDataFrame([(5, "https://x.com/explore", PAGE), (6, "u", "<p>no post"), (7, "u", None)], "page_id long, url string, html string")
-    rows = PG.page_payloads(pages).collect()
-    assert [r["page_id"] for r in rows] == [5]
-    p = json.loads(rows[0]["payload"])
-    assert p["text"] == "Night ferry delayed; fog over the strait."
-    assert p["visible_metrics"] == {"88,412 views": "88,412", "7 reply": "7"}
-    assert {(m["url"], m["media_scope"]) for m in p["media"]} == {
-        ("https://cdn.harbour.test/m/pier.webp?w=640", "post"), ("https://cdn.harbour.test/m/buoy.png", "quote")
-    }
-    assert "Low water at noon" in p["quoted_text"]
+    pages = spark.createDataFrame([(5, "https://h.test/1?x=2#f", PAGE), (6, "u", "<p>no article"), (7, "u", None), (8, None, "<article>")], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in PG.page_posts(pages).collect()}
+    assert rows.keys() == {5, 8}
+    assert (rows[5]["url"], rows[5]["heading"], rows[5]["links"]) == ("https://h.test/1", "Night ferry news", ["/tides?d=1", "https://x.com/a"])
+    assert rows[5]["text"] == "Fog &lt; over the strait.var p = \"\n\";\nLow water at noon"
+    assert (rows[8]["text"], rows[8]["paragraphs"], rows[8]["heading"]) == ("", 0, "")
