@@ -44,7 +44,9 @@ def first_captures_by_either_key(
     platform post id); a dropped row suppresses nothing. In every round a row that is the
     earliest undecided one under both its keys is accepted, and the rows sharing a key with it
     are dropped; each round decides at least the earliest row of every connected group, so the
-    loop ends with exactly the result of reading the rows one by one.
+    loop ends with exactly the result of reading the rows one by one. The number of rounds is that
+    of the longest chain of rows that alternate between both keys: this form is for client keys,
+    which rarely chain; derived keys need ``first_captures`` only.
     """
     pid = F.nullif(F.col("platform_post_id"), F.lit(""))
     rank = F.struct(*[F.col(c) for c in order])
@@ -62,8 +64,9 @@ def first_captures_by_either_key(
     )
     rounds: list[DataFrame] = []
     while not open_rows.isEmpty():
-        first_a = open_rows.groupBy("_a").agg(F.min("_rank").alias("_first_a"))
-        first_b = open_rows.groupBy("_b").agg(F.min("_rank").alias("_first_b"))
+        # written, so that the rows of a key with very many can be split in the joins
+        first_a = materialize(open_rows.groupBy("_a").agg(F.min("_rank").alias("_first_a")))
+        first_b = materialize(open_rows.groupBy("_b").agg(F.min("_rank").alias("_first_b")))
         seen = open_rows.join(first_a, "_a").join(first_b, "_b")
         wins = materialize(
             seen.filter((F.col("_rank") == F.col("_first_a")) & (F.col("_rank") == F.col("_first_b"))).select(

@@ -21,6 +21,8 @@ def build_session(app_name: str = "postsignal", master: str | None = None, **con
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         # hash joins instead of sorting both sides, where every partition is measured to be small
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128MB",
+        # keyed stream state on disk instead of the heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
     }
     for key, value in settings.items():
