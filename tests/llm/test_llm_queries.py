@@ -18,7 +18,6 @@ from test_substring_dedup import brute as cut_brute  # noqa: E402
 
 from postsignal.llm import queries as Q  # noqa: E402
 from postsignal.llm import quality  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = {
