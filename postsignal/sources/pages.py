@@ -33,22 +33,59 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+#: Value of a link's address, with its quotes if it has any.
+HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _articles(html: Column) -> Column:
+    """The contents of all articles in the order in which they begin; one inside another is in both.
+
+    An article ends where it is closed, or with the page.
+    """
+    pieces = F.split(html, r"(?i)(?=<article[\s>]|</article)")
+    opens = lambda p: p.rlike(r"(?i)^<article[\s>]")
+    step = lambda p: F.when(opens(p), 1).when(p.rlike("(?i)^</article"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("depths"))
+
+    def add(state, p):
+        now = F.greatest(state["now"] + step(p), F.lit(0))
+        return F.struct(now.alias("now"), F.array_append(state["depths"], now).alias("depths"))
+
+    def content(found):
+        begin, depths = found["at"], found["depths"]
+        size = F.size(depths)
+        # pieces after this one up to the first that is less deep
+        after = F.slice(depths, begin + 2, F.greatest(size - begin - 1, F.lit(0)))
+        length = F.array_position(F.transform(after, lambda d: d < F.element_at(depths, begin + 1)), True).cast("int")
+        own = F.slice(found["pieces"], begin + 1, F.when(length > 0, length).otherwise(size))
+        return F.regexp_replace(F.array_join(own, ""), r"(?is)^<article(?:\s[^>]*)?>?", "")
+
+    depths = F.aggregate(pieces, start, add)["depths"]
+    places = F.filter(F.transform(pieces, lambda p, i: F.when(opens(p), i)), lambda i: i.isNotNull())
+    return F.transform(
+        F.transform(places, lambda i: F.struct(i.alias("at"), depths.alias("depths"), pieces.alias("pieces"))), content
+    )
+
+
 def page_posts(pages: DataFrame) -> DataFrame:
-    """The article of each page as a post: (page_id, url, heading, text, paragraphs, links).
+    """The articles of each page as posts: (page_id, position, url, heading, text, paragraphs, links).
 
-    Tag names may be written in any case, and paragraphs need not be closed: one ends where it is
-    closed or where the next begins. Pages without an article have no post.
+    ``position`` counts the articles of a page from zero, in the order in which they begin. Tag names may
+    be written in any case, and paragraphs need not be closed: one ends where it is closed or where the
+    next begins. Addresses of links may be in double, single or no quotes. Pages without an article have
+    no post.
     """
-    article = F.regexp_extract("html", r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article|$)", 1)
-    found = pages.filter(F.col("html").rlike(r"(?i)<article[\s>]")).withColumn("_a", article)
+    listed = pages.filter(F.col("html").rlike(r"(?i)<article[\s>]"))
+    found = listed.select("page_id", "url", F.posexplode(_articles(F.col("html"))).alias("position", "_a"))
     pieces = F.split("_a", r"(?i)<p(?:\s[^>]*)?>")
     texts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: visible_text(F.regexp_extract(p, r"(?is)^(.*?)(?:</p|$)", 1)))
     staged = found.withColumn("_t", F.filter(texts, lambda t: t != ""))
     return staged.select(
         "page_id",
+        F.col("position").cast("long").alias("position"),
         redact_url(F.col("url")).alias("url"),
         visible_text(F.regexp_extract("_a", r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1)).alias("heading"),
         F.array_join("_t", "\n").alias("text"),
         F.size("_t").cast("long").alias("paragraphs"),
-        F.regexp_extract_all("_a", F.lit(r"(?i)<a\s[^>]*?href=\"([^\"]*)\""), F.lit(1)).alias("links"),
+        F.transform(F.regexp_extract_all("_a", F.lit(HREF), F.lit(1)), lambda h: F.regexp_replace(h, r"""(?s)^(["'])(.*)\1$""", "$2")).alias("links"),
     )

@@ -156,3 +156,18 @@ def test_posts_from_html(spark):
     assert (rows[5]["url"], rows[5]["heading"], rows[5]["links"]) == ("https://h.test/1", "Night ferry news", ["/tides?d=1", "https://x.com/a"])
     assert rows[5]["text"] == "Fog &lt; over the strait.var p = \"\n\";\nLow water at noon"
     assert (rows[8]["text"], rows[8]["paragraphs"], rows[8]["heading"]) == ("", 0, "")
+
+
+def test_every_article_of_a_page_is_a_post(spark):
+    html = """<article><h1>One</h1><p>first <a href='/a"b'>a</a></p></article><p>between</p>
+<Article class=x><h1>Two</h1><p>second <a href=/b>b</a><article><p>inner</p></article><p>tail <a HREF = "/c'">c</a></article>
+</article><article><p>last, not closed"""
+    pages = spark.createDataFrame([(1, "u", html), (2, "v", "<article><p>alone</p></article>")], "page_id long, url string, html string")
+    got = [(r.page_id, r.position, r.heading, r.text, r.links) for r in PG.page_posts(pages).orderBy("page_id", "position").collect()]
+    assert got == [
+        (1, 0, "One", "first a", ['/a"b']),
+        (1, 1, "Two", "second b\ninner\ntail c", ["/b", "/c'"]),
+        (1, 2, "", "inner", []),
+        (1, 3, "", "last, not closed", []),
+        (2, 0, "", "alone", []),
+    ]
