@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postsignal.llm.common import table
 from postsignal.llm.exact_dedup import exact_groups
+from postsignal.llm.fill_middle import digested, framed, transformed
 from postsignal.llm.hash_forest import nearest
 from postsignal.llm.hash_tree import shard_rows, tree
 from postsignal.llm.host_reputation import Rule, judge_urls
@@ -17,6 +18,7 @@ from postsignal.llm.sentencepiece_bpe import encode_texts
 from postsignal.llm.simhash_dedup import simhash_groups
 from postsignal.llm.substring_dedup import remove_repeated_passages
 from postsignal.llm.token_counts import count_tokens
+from postsignal.llm.whitening import whitened
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,14 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, named.join(labels, "doc_id"), URL_RULES).drop("bound")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(transformed(framed(table(spark, sf_dir, "documents"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -96,6 +106,8 @@ QUERIES = {
         op8_token_counts,
         op9_hash_forest,
         op10_host_reputation,
+        op11_fill_middle,
+        op12_whitening,
     )
 }
 
@@ -203,3 +215,25 @@ select page_id, host, path, rule, case {" ".join(f"when rule = '{r.text}' then '
   when alpha / (alpha + beta) - sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) >= 0.7 then 'allow'
   else 'block' end as verdict
 from judged"""
+
+SQL["op11_fill_middle"] = r"""
+with cut as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units
+  from documents
+),
+drawn as (
+  select *, len(units) as n, ('0x' || h[1:8])::bigint % (len(units) + 1) as x, ('0x' || h[9:16])::bigint % (len(units) + 1) as y,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 50 then 'plain'
+      when ('0x' || h[25:32])::bigint % 100 < 80 then 'spm' else 'psm' end as form
+  from cut
+),
+parts as (
+  select doc_id, n, form, text, array_to_string(units[1:least(x, y)], '') as p,
+    array_to_string(units[least(x, y) + 1:greatest(x, y)], '') as m, array_to_string(units[greatest(x, y) + 1:], '') as s
+  from drawn
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(case form when 'plain' then text else p || m || s end) as restored_sha256
+from parts"""

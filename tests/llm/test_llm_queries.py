@@ -25,6 +25,9 @@ COLUMNS = {
     "op4": "doc_id size text_crc32 law shard slot grown_shard", "op5": "doc_id size source_size target taken",
     "op6": "doc_id n_tokens ids_sha256 decoded_sha256", "op7": "doc_id held_out score predicted", "op8": "doc_id n_bytes n_tokens over_limit",
     "op9": "query_id rank vec_id score", "op10": "page_id host path rule verdict",
+    "op11": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
+    "op12": "vec_id component n deviation whitened explained identity_error",
+    "op13": "doc_id n_shingles component_id kept",
 }
 
 
