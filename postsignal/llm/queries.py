@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postsignal.llm.chosen_path import similar_sets
 from postsignal.llm.common import table
 from postsignal.llm.exact_dedup import exact_groups
 from postsignal.llm.fill_middle import digested, framed, transformed
@@ -93,6 +94,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -108,6 +113,7 @@ QUERIES = {
         op10_host_reputation,
         op11_fill_middle,
         op12_whitening,
+        op13_chosen_path,
     )
 }
 
