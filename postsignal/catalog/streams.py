@@ -90,7 +90,7 @@ def page_facts(spark, sf):
 
 def page_posts(spark, sf):
     posts = PG.page_posts(A.text_table(spark, sf, "pages"))
-    return posts.select("page_id", "url", "heading", F.sha2("text", 256).alias("text_sha"), "paragraphs", F.array_join("links", " ").alias("links"))
+    return posts.select("page_id", "position", "url", "heading", F.sha2("text", 256).alias("text_sha"), "paragraphs", F.array_join("links", " ").alias("links"))
 
 
 QUERIES = {
@@ -122,10 +122,19 @@ SQL = {
     "streamed_failures": f"select job_id, error_code, outcome from ({RK.SQL['routed_failures']})",
     "page_facts": r"""select page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title, regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1) as lang,
         len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::bigint as links, len(regexp_extract_all(html, '(?i)<p[\s>]'))::bigint as paragraphs from pages""",
-    "page_posts": rf"""with a as (select page_id, url, regexp_extract(html, '(?is)<article(?:\s[^>]*)?>(.*?)(?:</article|$)', 1) as art from pages where regexp_matches(html, '(?i)<article[\s>]')),
-        p as (select *, list_filter(list_transform(list_transform(regexp_split_to_array(art, '(?i)<p(?:\s[^>]*)?>')[2:],
-          lambda x: regexp_extract(x, '(?is)^(.*?)(?:</p|$)', 1)), lambda x: {_visible('x')}), lambda x: x <> '') as t from a)
-        select page_id, regexp_replace(trim(url), '(?s)[?#].*$', '') as url, {_visible(r"regexp_extract(art, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1', 1)")} as heading,
+    "page_posts": rf"""with cut as (select row_number() over () as row, page_id, url, string_split(regexp_replace(html, '(?i)(<article[\s>]|</article)', chr(1) || '\1', 'g'), chr(1)) as pieces
+          from pages where regexp_matches(html, '(?i)<article[\s>]')),
+        piece as (select row, page_id, url, unnest(pieces) as piece, generate_subscripts(pieces, 1) as place from cut),
+        sums as (select *, regexp_matches(piece, '(?i)^<article[\s>]') as opens, sum(case when regexp_matches(piece, '(?i)^<article[\s>]') then 1 when regexp_matches(piece, '(?i)^</article') then -1 else 0 end) over (partition by row order by place) as sum from piece),
+        depths as (select *, (sum - least(0, min(sum) over (partition by row order by place)))::int as depth from sums),
+        levels as (select *, unnest(range(1, depth + 1)) as level from depths where depth > 0),
+        numbered as (select *, sum((opens and level = depth)::int) over (partition by row, level order by place) as number from levels),
+        art as (select row, any_value(page_id) as page_id, any_value(url) as url, min(place) as begins, regexp_replace(string_agg(piece, '' order by place), '(?is)^<article(?:\s[^>]*)?>?', '') as art
+          from numbered group by row, level, number),
+        p as (select *, row_number() over (partition by row order by begins) - 1 as position, list_filter(list_transform(list_transform(regexp_split_to_array(art, '(?i)<p(?:\s[^>]*)?>')[2:],
+          lambda x: regexp_extract(x, '(?is)^(.*?)(?:</p|$)', 1)), lambda x: {_visible('x')}), lambda x: x <> '') as t from art)
+        select page_id, position, regexp_replace(trim(url), '(?s)[?#].*$', '') as url, {_visible(r"regexp_extract(art, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1', 1)")} as heading,
           sha256(array_to_string(t, chr(10))) as text_sha, len(t)::bigint as paragraphs,
-          array_to_string(regexp_extract_all(art, '(?i)<a\s[^>]*?href="([^"]*)"', 1), ' ') as links from p""",
+          array_to_string(list_transform(regexp_extract_all(art, '(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+            lambda h: case when h[1] in ('"', '''') then h[2:-2] else h end), ' ') as links from p""",
 }

@@ -171,3 +171,32 @@ def test_every_article_of_a_page_is_a_post(spark):
         (1, 3, "", "last, not closed", []),
         (2, 0, "", "alone", []),
     ]
+
+
+def test_articles_of_long_pages(spark):
+    """A page of 2,000 articles is cut once; nested, stray and unclosed ones are found like single ones."""
+    many = "".join(f"<article><h1>t{i}</h1><p>text {i}</p></article>" for i in range(2000))
+    nested = "</article>" + "".join(f"<article><h1>n{i}</h1><article><p>in {i}</p></article><p>out {i}</p></article>" for i in range(300)) + "<article><p>open"
+    pages = spark.createDataFrame([(1, "u", many), (2, "v", nested), (2, "v", nested)], "page_id long, url string, html string")
+    got = {}
+    for r in PG.page_posts(pages).collect():
+        got.setdefault((r.page_id, r.position), []).append((r.heading, r.text))
+    assert len(got) == 2000 + 601 and all(got[1, i] == [(f"t{i}", f"text {i}")] for i in range(2000))
+    assert all(got[2, 2 * i] == [(f"n{i}", f"in {i}\nout {i}")] * 2 and got[2, 2 * i + 1] == [("", f"in {i}")] * 2 for i in range(300))
+    assert got[2, 600] == [("", "open")] * 2
+
+
+def test_articles_equal_their_sql(spark, tmp_path):
+    from oracle import compare
+    import duckdb
+
+    from postsignal.catalog import streams
+
+    html = [
+        "<article><h1>a</h1><p>x<article><p>y<a href=/z>z</a></article>tail<p>w</article></article><article>q",
+        "<p>none", None, "<ARTICLE id='1'><p>A &amp; B<br>c</p><a href='/x\"y'>l</a></ARTICLE><article>", "<article><p>1</p><article><p>2</p><article><p>3",
+    ]
+    spark.createDataFrame([(i, f" https://h/{i}?q#f ", h) for i, h in enumerate(html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert compare(streams.page_posts(spark, str(tmp_path)), con, streams.SQL["page_posts"]) == []
