@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postsignal.llm.common import stored, text_bytes, text_slices, worker_state
+from postsignal.llm.common import stored, text_bytes, text_key, text_slices, worker_state
 
 WINDOW = 50
 PHRASE = 12
@@ -148,7 +148,7 @@ def _index(batches):
     import numpy as np
     import pyarrow as pa
 
-    names = ["anchor", "content", "doc_id", "start", "size"]
+    names = ["anchor", "content", "doc_id", "text_key", "start", "size"]
     for batch in batches:
         held, rows = [], 0
 
@@ -156,14 +156,14 @@ def _index(batches):
             columns = [np.concatenate(c) for c in zip(*held)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-        docs = batch.column(0).to_pylist()
-        for doc, text in ((docs[a + i], x) for a, _, texts in text_slices(batch.column(1), BATCH_BYTES) for i, x in enumerate(texts)):
+        docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for doc, own, text in ((docs[a + i], keys[a + i], x) for a, _, texts in text_slices(batch.column(2), BATCH_BYTES) for i, x in enumerate(texts)):
             words = text.split()
             if len(words) < WINDOW or doc is None:
                 continue
             for at, part in _pieces(words):
                 anchor, content, first, size = blocks(part)
-                held.append((anchor.view(np.int64), content.view(np.int64), np.full(len(first), doc, np.int64), (first + at).astype(np.int64), size.astype(np.int32)))
+                held.append((anchor.view(np.int64), content.view(np.int64), np.full(len(first), doc, np.int64), np.full(len(first), own, np.int64), (first + at).astype(np.int64), size.astype(np.int32)))
                 rows += len(first)
                 if rows > 200_000:
                     yield flush(held)
@@ -173,13 +173,13 @@ def _index(batches):
 
 
 def _windows(batches):
-    """(doc_id, text, places) to the windows of the given blocks: anchor, window hash, id, start."""
+    """(doc_id, text_key, text, places) to the windows of the given blocks: anchor, window hash, id, text key, start."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        docs, texts, places = (batch.column(i) for i in range(3))
-        for doc, text, held in zip(docs.to_pylist(), text_bytes(texts), places):
+        docs, keys, texts, places = (batch.column(i) for i in range(4))
+        for doc, own, text, held in zip(docs.to_pylist(), keys.to_pylist(), text_bytes(texts), places):
             words = text.split()
             flat = held.values
             anchors, starts, sizes = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
@@ -194,34 +194,35 @@ def _windows(batches):
                 window = first + np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
                 found = Text(part).ranges(window, window + WINDOW, "b").view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(anchors[here], size)), pa.array(found), pa.array(np.full(len(window), doc, np.int64)), pa.array(window + at)],
-                    names=["anchor", "window", "doc_id", "start"],
+                    [pa.array(np.repeat(anchors[here], size)), pa.array(found), pa.array(np.full(len(window), doc, np.int64)),
+                     pa.array(np.full(len(window), own, np.int64)), pa.array(window + at)],
+                    names=["anchor", "window", "doc_id", "text_key", "start"],
                 )
 
 
 def factors(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, size): runs of windows that occur in a document with a smaller id.
+    """(doc_id, text_key, start, size): runs of windows that occur in a document with a smaller id.
 
-    ``docs`` has doc_id and text. Runs of one document may touch, not overlap.
+    ``docs`` has doc_id, text_key and text. Runs of one text may touch, not overlap.
     """
-    index = stored(docs.mapInArrow(_index, "anchor long, content long, doc_id long, start long, size int"), "blocks")
+    index = stored(docs.mapInArrow(_index, "anchor long, content long, doc_id long, text_key long, start long, size int"), "blocks")
     key = ["anchor", "content"]
     references = stored(index.groupBy(*key).agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("last")), "references")
     # whole blocks: equal to a block of a smaller id
     shared = references.filter("reference < last").select(*key, "reference")
-    whole = index.join(shared, key).filter("doc_id > reference").select("doc_id", "start", "size")
+    whole = index.join(shared, key).filter("doc_id > reference").select("doc_id", "text_key", "start", "size")
     # factor boundaries: other blocks under the same minimizer
     several = stored(references.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "boundary-anchors")
     boundary = stored(references.join(several, "anchor").select(*key, "reference"), "boundary-blocks")
-    open_blocks = index.join(boundary, key).filter("doc_id = reference").select("doc_id", "anchor", "start", "size")
-    places = open_blocks.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "size")).alias("places"))
-    sent = docs.join(places, "doc_id").select("doc_id", "text", "places")
-    windows = stored(sent.mapInArrow(_windows, "anchor long, window long, doc_id long, start long"), "boundary-windows")
+    open_blocks = index.join(boundary, key).filter("doc_id = reference").select("doc_id", "text_key", "anchor", "start", "size")
+    places = open_blocks.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "start", "size")).alias("places"))
+    sent = docs.join(places, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places")
+    windows = stored(sent.mapInArrow(_windows, "anchor long, window long, doc_id long, text_key long, start long"), "boundary-windows")
     answers = stored(
         windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("last")).filter("reference < last"),
         "window-references",
     )
-    single = windows.join(answers, ["anchor", "window"]).filter("doc_id > reference").select("doc_id", "start", F.lit(1).alias("size"))
+    single = windows.join(answers, ["anchor", "window"]).filter("doc_id > reference").select("doc_id", "text_key", "start", F.lit(1).alias("size"))
     return whole.unionByName(single)
 
 
@@ -272,12 +273,13 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     A word goes when a window of 50 consecutive words that covers it also starts in a document with a
     smaller id. Words are what ASCII white space separates. Null texts have no words; documents of
     fewer than 50 words lose none; rows with null ids are parsed against nothing and serve as no
-    reference. Rows repeated with one id are one document only if their texts are equal. Other
+    reference. Rows that share an id but not the text are told apart by the text, and
+    neither is a reference for the other; repeated rows come back repeated. Other
     columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = factors(rows).groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
-    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "runs")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    found = factors(rows).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    joined = rows.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, stop: long>>"
     )

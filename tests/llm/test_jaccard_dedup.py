@@ -5,6 +5,7 @@ from test_simhash_dedup import components
 
 import corpus_pipeline
 from postsignal.llm import jaccard_dedup as J
+from postsignal.llm import set_links
 
 
 def shingles(text):
@@ -42,7 +43,7 @@ def test_the_stage_drops_near_copies_of_one_or_two_words(spark):
 
 @pytest.mark.parametrize("chunk", [3, 512])
 def test_groups_equal_brute_force(spark, messy, monkeypatch, chunk):
-    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(set_links, "CHUNK", chunk)
     rows = [(r.doc_id, r.text) for r in messy.collect()]
     rnd = random.Random(6)
     chain = [f"c{i}" for i in range(60)]
@@ -60,5 +61,52 @@ def test_groups_equal_brute_force(spark, messy, monkeypatch, chunk):
     assert sorted((r.doc_id for r in J.one_of_similar(docs).collect()), key=str) == want
 
 
-def test_empty_table(none):
-    assert J.one_of_similar(none).count() == 0
+def group_at_the_threshold(size):
+    """Copies of a 300-word text with four words changed: pairs lie on both sides of 0.8."""
+    rnd = random.Random(4)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    out = []
+    for i in range(size):
+        copy = list(base)
+        for k in rnd.sample(range(300), 4 if i % 3 else 6):
+            copy[k] = f"v{i}_{k}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_a_group_leaves_no_pairs(spark, monkeypatch):
+    """Twice the near copies at the threshold make at most about twice the rows between the steps; no link is lost."""
+    counts, keep, step = {}, set_links._pairs_kept, set_links._by_group
+    for size in (150, 300):
+        rows, made = group_at_the_threshold(size), []
+        monkeypatch.setattr(set_links, "_pairs_kept", lambda pairs, *a: made.append(pairs.count()) or keep(pairs, *a))
+        monkeypatch.setattr(set_links, "_by_group", lambda pairs, *a: made.append(pairs.count()) or step(pairs, *a))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.root for r in J.similar_groups(docs).collect()}
+        texts = dict(rows)
+        root = components(texts, lambda x, y: alike(texts[x], texts[y]))
+        assert len(set(zip(got.values(), (root[i] for i in got)))) == len(set(root.values())) == len(set(got.values()))
+        counts[size] = sum(made)
+    assert counts[300] <= 2.5 * counts[150]
+
+
+def test_clashing_and_missing_columns(spark, messy, none):
+    left = J.one_of_similar(messy)
+    assert left.columns == messy.columns
+    twice = J.one_of_similar(messy.union(messy))
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in twice.collect())
+    assert J.one_of_similar(none).count() == 0 and J.one_of_similar(none).columns == none.columns
+
+
+def test_recall_against_all_pairs(spark):
+    """Lone pairs of similarity 0.8 to 0.83: at least 99 of 100 are linked."""
+    rnd, rows = random.Random(8), []
+    for k in range(500):
+        words = [f"w{rnd.randrange(50_000)}" for _ in range(98)]
+        copy = list(words)
+        for p in (20 + rnd.randrange(10), 60 + rnd.randrange(10)):
+            copy[p] = f"v{k}_{p}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    near = [k for k in range(500) if alike(rows[2 * k][1], rows[2 * k + 1][1])]
+    got = {r.doc_id: r.root for r in J.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 500 and sum(got[2 * k] == got[2 * k + 1] for k in near) >= 495

@@ -13,7 +13,8 @@ import corpus_pipeline  # noqa: E402
 from oracle import compare, duck  # noqa: E402
 from test_exact_dedup import brute as exact_brute  # noqa: E402
 from test_mixing import brute as mix_brute  # noqa: E402
-from test_simhash_dedup import components, print_of  # noqa: E402
+from test_jaccard_dedup import shingles  # noqa: E402
+from test_simhash_dedup import components  # noqa: E402
 from test_substring_dedup import brute as cut_brute  # noqa: E402
 
 from postsignal.llm import queries as Q  # noqa: E402
@@ -71,10 +72,12 @@ def stages_by_hand(spark, folder):
         if best is None or best[0] is None or (i is not None and i > best[0]):
             last[t or ""] = (i, t, s)
     out.append(rows := list(last.values()))
-    root = components({print_of(t) for _, t, _ in rows}, lambda x, y: (x ^ y).bit_count() <= 4)
+    sets = {t or "": shingles(t) for _, t, _ in rows}
+    near = lambda x, y: 5 * min(len(sets[x]), len(sets[y])) >= 4 * max(len(sets[x]), len(sets[y])) and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+    root = components(sets, near)
     first = {}
     for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        first.setdefault(root[print_of(r[1])], r)
+        first.setdefault(root[r[1] or ""], r)
     out.append(rows := list(first.values()))
     taken = {(i, n, size, target): t for (i, n, size, target, t) in mix_brute(rows)}
     passes = {i: t // n for (i, n, _, _), t in taken.items() if n}

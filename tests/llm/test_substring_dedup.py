@@ -49,5 +49,13 @@ def test_factors_across_boundaries(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("third", [3, 55, 60])
+def test_one_id_under_two_texts(spark, third):
+    w = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(w[:60])), (2, " ".join(["x", *w[:58], "y"])), (2, " ".join(w[100 : 100 + third])), (2, None), (3, " ".join(w[100 : 100 + third])), (3, " ".join(w[:60]))]
+    got = P.remove_repeated_passages(spark.createDataFrame(rows + rows[1:3], "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows + rows[1:3])
+
+
 def test_empty_table(none):
     assert P.remove_repeated_passages(none).count() == 0
