@@ -77,3 +77,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     from uuid import uuid4
 
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a new folder below the checkpoint folder, and read back.
+
+    Like ``materialize``, for tables of which later steps read some columns or rows.
+    """
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
