@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("text", "scoring", "capture", "media", "storage", "ranking", "similarity", "streams", "trends")
+AREAS = ("text", "scoring", "capture", "media", "storage", "ranking", "similarity", "streams", "trends", "models")
 
 
 def _areas():

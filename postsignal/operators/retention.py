@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postsignal.operators.ordered import with_running_sum
-from postsignal.policies import RetentionPolicy
+from postsignal.operators.ordered import range_chunks, with_running_sum
+from postsignal.policies import LifecyclePolicy, RetentionPolicy
+from postsignal.runtime import materialize
 
 
 def retention_plan(objects: DataFrame, now: int, policy: RetentionPolicy) -> DataFrame:
@@ -91,3 +92,51 @@ def retention_totals(objects: DataFrame, plan: DataFrame, policy: RetentionPolic
         "remaining_files",
         F.lit(policy.target_bytes).cast("long").alias("target_bytes"),
     )
+
+
+def lifecycle_plan(objects: DataFrame, now: int, policy: LifecyclePolicy) -> DataFrame:
+    """(object_id, data_class, byte_size, reason) of what goes: three budgets, one inside the other.
+
+    ``objects``: object_id, data_class, byte_size, stored_at, last_accessed, pinned. Pinned objects stay and
+    count. First goes what is older than its class allows (class_expired). Then each class with a budget gives
+    up its least recently used objects until it fits (class_budget). If all that is left still fills more than
+    the high mark of the disk, the least recently used of any class go until it is at the low mark
+    (disk_watermark). Ties go by id; objects without bytes or class limits are kept; null access counts as never.
+
+    Both running sums are over one division of the objects into ranges of last access: offsets are one row
+    for each range and class, and no class is a window of its own.
+    """
+    spark = objects.sparkSession
+    limits = spark.createDataFrame(
+        [(c.name, c.max_age, c.max_bytes) for c in policy.classes], "data_class string, max_age long, max_bytes long"
+    )
+    size = F.greatest(F.coalesce(F.col("byte_size"), F.lit(0)), F.lit(0)).cast("long")
+    rows = objects.select(
+        "object_id", "data_class", size.alias("byte_size"), F.coalesce("pinned", F.lit(False)).alias("pinned"), "stored_at",
+        F.coalesce("last_accessed", F.lit(-(1 << 62))).alias("used"),
+    ).join(F.broadcast(limits), "data_class", "left")  # a row per class of the policy
+    expired = ~F.col("pinned") & F.coalesce(F.col("stored_at") + F.col("max_age") <= now, F.lit(False))
+    order = ("used", "object_id")
+    marked = rows.withColumn("expired", expired).withColumn("free", F.when(F.col("pinned") | F.col("expired"), 0).otherwise(F.col("byte_size")))
+    chunked = materialize(range_chunks(marked, [], order, rows=objects.count()))
+    held = F.when(~F.col("expired"), F.col("byte_size")).otherwise(0)
+    totals = materialize(chunked.groupBy("data_class").agg(F.sum(held).alias("class_total")))
+    before = lambda *keys: Window.partitionBy(*(keys or [F.lit(0)])).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lambda *keys: Window.partitionBy("chunk", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    sums = chunked.groupBy("data_class", "chunk").agg(F.sum("free").alias("n"))
+    offsets = sums.select("data_class", "chunk", F.coalesce(F.sum("n").over(before("data_class")), none).alias("offset"))
+    local = chunked.withColumn("freed", F.coalesce(F.sum("free").over(inside("data_class")), none))
+    key = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("data_class", "chunk")]
+    joined = local.alias("a").join(offsets.alias("b"), key[0] & key[1]).select("a.*", "offset")
+    joined = joined.alias("a").join(totals.alias("b"), key[0]).select("a.*", "offset", "class_total")
+    over = F.coalesce(F.col("class_total") - F.col("freed") - F.col("offset") > F.col("max_bytes"), F.lit(False))
+    chosen = materialize(joined.withColumn("budget", over & (F.col("free") > 0)).withColumn("left", F.when(F.col("budget"), 0).otherwise(F.col("free"))).drop("freed", "offset"))
+    kept = chosen.agg(F.coalesce(F.sum(F.when(F.col("expired") | F.col("budget"), 0).otherwise(F.col("byte_size"))), F.lit(0)).alias("t")).first()["t"]
+    target = policy.low_bytes if kept > policy.high_bytes else kept
+    sums = chosen.groupBy("chunk").agg(F.sum("left").alias("n"))
+    offsets = sums.select("chunk", F.coalesce(F.sum("n").over(before()), none).alias("offset"))
+    local = chosen.withColumn("freed", F.coalesce(F.sum("left").over(inside()), none)).join(offsets, "chunk")
+    disk = (F.col("left") > 0) & (F.lit(kept) - F.col("freed") - F.col("offset") > F.lit(target))
+    reason = F.when(F.col("expired"), "class_expired").when(F.col("budget"), "class_budget").when(disk, "disk_watermark")
+    return local.select("object_id", "data_class", "byte_size", reason.alias("reason")).filter("reason is not null")

@@ -54,6 +54,33 @@ class RetentionPolicy:
         return max(self.max_bytes - self.min_free_bytes, 0)
 
 
+@dataclass(frozen=True)
+class DataClass:
+    """How old the objects of a class may be, in seconds, and how many bytes it may hold; None is no limit."""
+
+    name: str
+    max_age: int | None = None
+    max_bytes: int | None = None
+
+
+@dataclass(frozen=True)
+class LifecyclePolicy:
+    """Classes, and the disk's size with the shares at which cleaning starts and ends."""
+
+    classes: tuple[DataClass, ...]
+    disk_bytes: int
+    high: float = 0.9
+    low: float = 0.8
+
+    @property
+    def high_bytes(self) -> int:
+        return int(self.disk_bytes * self.high)
+
+    @property
+    def low_bytes(self) -> int:
+        return int(self.disk_bytes * self.low)
+
+
 @dataclass(frozen=True)
 class BacklogPolicy:
     aging_interval_s: int = 60
