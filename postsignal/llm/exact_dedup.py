@@ -3,8 +3,11 @@
 1. Every scanning partition cuts its 64-bit text hashes to a universe of about ``SPARE`` values per
    document, sorts them and sends them to the owners of their ranges as Rice-coded differences
    (Golomb codes with a power of two as divisor), about a byte and a half per document.
+   An owner only asks whether a value occurs twice, so a batch sends no value more than twice: a text
+   that most rows share is two entries a batch.
 2. An owner decodes what it got, finds the values that occur twice and answers with a bitmap. The
-   bitmaps of all owners together have a fixed size (``FILTER_BITS``, 4 MiB), whatever the input.
+   bitmaps of all owners together have eight bits a document, at most 2^``MOST_BITS`` (128 MiB): beyond
+   10^8 documents they fill up and more texts are suspects, which costs their shuffle and nothing else.
 3. Only documents whose bit is set are suspects. Their texts are shuffled and compared byte by byte:
    they are grouped by the text itself, not by its hash. All other texts stay where they are.
 
@@ -25,8 +28,8 @@ from postsignal.llm.common import rows_of, stored, text_key, worker_state
 
 #: Values of the hash universe per document: one in so many documents is a suspect by chance.
 SPARE = 256
-#: Bits of the answer that every scanning task receives: 2^25 bits are 4 MiB.
-FILTER_BITS = 25
+#: Bits of the answer that every scanning task receives: eight a document between these powers of two.
+LEAST_BITS, MOST_BITS, SPARE_BITS = 18, 30, 3
 #: Documents whose hashes one owner decodes at once.
 OWNED = 1 << 20
 BITMAP_BITS = 15  # bits of one bitmap row, fixed by Spark's bitmap functions: 2^15
@@ -70,6 +73,7 @@ def _sender(universe: int, owner_bits: int):
         for batch in batches:
             hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             values = np.sort(hashes >> np.uint64(64 - universe))
+            values = values[np.concatenate([np.ones(min(2, len(values)), bool), values[2:] != values[:-2]])]
             owners = values >> np.uint64(universe - owner_bits)
             edges = np.flatnonzero(np.diff(owners)) + 1
             rows = {"owner": [], "count": [], "shift": [], "unary": [], "low": []}
@@ -87,7 +91,7 @@ def _sender(universe: int, owner_bits: int):
     return send
 
 
-def _owner(universe: int, owner_bits: int):
+def _owner(universe: int, owner_bits: int, filter_bits: int):
     """Values that occur twice or more, as rows of the shared bitmap."""
 
     def answer(key, frame):
@@ -97,7 +101,7 @@ def _owner(universe: int, owner_bits: int):
         held = [rice_decode(u, w, n, s) for u, w, n, s in zip(frame["unary"], frame["low"], frame["count"], frame["shift"])]
         values = np.sort(np.concatenate(held)) + (np.uint64(key[0]) << np.uint64(universe - owner_bits))
         twice = np.unique(values[1:][values[1:] == values[:-1]])
-        bits = twice >> np.uint64(universe - FILTER_BITS)
+        bits = twice >> np.uint64(universe - filter_bits)
         out = []
         for bucket in np.unique(bits >> np.uint64(BITMAP_BITS)):
             mine = bits[(bits >> np.uint64(BITMAP_BITS)) == bucket] & np.uint64((1 << BITMAP_BITS) - 1)
@@ -109,18 +113,24 @@ def _owner(universe: int, owner_bits: int):
     return answer
 
 
+def filter_bits(documents: int) -> int:
+    """Bits of the hash prefixes that the answer tells apart."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, documents))) + SPARE_BITS))
+
+
 def duplicate_bitmaps(hashes: DataFrame, documents: int) -> DataFrame:
-    """(bucket, bitmap) of hash prefixes seen twice; at most 2^(FILTER_BITS - 15) rows of 4 KiB.
+    """(bucket, bitmap) of hash prefixes seen twice; at most 2^(filter_bits - 15) rows of 4 KiB.
 
     ``hashes`` has one long column; ``documents`` is the number of its rows, which sets the size of
-    the hash universe and the number of owners.
+    the answer, of the hash universe and the number of owners.
     """
-    universe = min(62, max(FILTER_BITS, math.ceil(math.log2(max(2, documents) * SPARE))))
+    bits = filter_bits(documents)
+    universe = min(62, max(bits, math.ceil(math.log2(max(2, documents) * SPARE))))
     owner_bits = max(4, math.ceil(math.log2(max(1, documents) / OWNED + 1)))
     coded = hashes.mapInArrow(
         _sender(universe, owner_bits), "owner long, count int, shift int, unary binary, low binary"
     )
-    answers = coded.groupBy("owner").applyInPandas(_owner(universe, owner_bits), "bucket long, bitmap binary")
+    answers = coded.groupBy("owner").applyInPandas(_owner(universe, owner_bits, bits), "bucket long, bitmap binary")
     return answers.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
@@ -139,11 +149,13 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = rows.withColumn("_hash", text_key(F.col("_text")))
-    bitmaps = duplicate_bitmaps(rows.select("_hash"), docs.count())
-    # fixed size, checked by construction: 2^10 rows of 4 KiB
+    documents = docs.count()
+    bits = filter_bits(documents)
+    bitmaps = duplicate_bitmaps(rows.select("_hash"), documents)
+    # bounded by construction: at most 2^(MOST_BITS - 15) rows of 4 KiB
     answer = F.broadcast(stored(bitmaps, "duplicate-bitmaps"))
-    bucket = F.shiftrightunsigned("_hash", 64 - FILTER_BITS + BITMAP_BITS)
-    bit = F.shiftrightunsigned("_hash", 64 - FILTER_BITS).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    bucket = F.shiftrightunsigned("_hash", 64 - bits + BITMAP_BITS)
+    bit = F.shiftrightunsigned("_hash", 64 - bits).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
     marked = rows.join(answer, bucket == answer["bucket"], "left")
     marked = marked.withColumn("_suspect", F.coalesce(_is_set(F.col("bitmap"), bit), F.lit(False))).drop("bucket", "bitmap")
     suspects = marked.filter("_suspect").drop("_suspect")

@@ -23,6 +23,14 @@ from pyspark.sql import functions as F
 from postsignal.llm.common import stored
 
 
+#: Common public suffixes of two labels, and some hosts of users' own pages.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "com.au", "net.au", "org.au", "edu.au", "co.nz", "org.nz", "co.za", "co.in", "co.jp", "ne.jp", "or.jp", "ac.jp",
+    "co.kr", "or.kr", "com.br", "org.br", "com.cn", "org.cn", "com.tw", "com.hk", "com.sg", "com.mx", "com.ar", "com.co", "com.tr", "org.tr", "com.ua", "co.il",
+    "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "netlify.app", "vercel.app", "herokuapp.com",
+)
+
+
 @dataclass(frozen=True)
 class Rule:
     """``verdict`` for a host, its subdomains and the paths that start with ``path``."""
@@ -41,13 +49,15 @@ class Policy:
     """Prior strength limits, and the bound that a host must reach.
 
     ``strength`` are the least and greatest pseudo-counts of a prior; ``first`` is the beta prior of
-    the whole table, one good and one bad page.
+    the whole table, one good and one bad page. ``suffixes`` are those of several labels under which
+    strangers register names; any other suffix is the last label of a host.
     """
 
     limit: float = 0.7
     z: float = 1.0
     strength: tuple[float, float] = (1.0, 1000.0)
     first: tuple[float, float] = (1.0, 1.0)
+    suffixes: tuple[str, ...] = SUFFIXES
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,14 +71,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels, or the host if it has fewer."""
-    return F.regexp_extract(host, r"[^.]*\.?[^.]*$", 0)
+def suffix_pattern(suffixes: Sequence[str]) -> str:
+    """What may follow a registered name: one of ``suffixes``, the longest that fits, or else the last label."""
+    listed = "|".join(s.lower().replace(".", r"\.") for s in suffixes)
+    return f"(?:{listed}|[^.]*)" if listed else "[^.]*"
+
+
+def domain_pattern(suffixes: Sequence[str]) -> str:
+    return rf"(?:^|\.)([^.]*\.{suffix_pattern(suffixes)}|[^.]*)$"
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """Registered domain: the suffix and the label before it, or the host if it has no more."""
+    return F.regexp_extract(host, domain_pattern(suffixes), 1)
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label."""
-    return F.regexp_extract(host, r"[^.]*$", 0)
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that ends the host at a label's border, or else the last label."""
+    return F.regexp_extract(host, rf"(?:^|\.)({suffix_pattern(suffixes)})$", 1)
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
@@ -116,7 +136,7 @@ def reputations(outcomes: DataFrame, policy: Policy = Policy()) -> tuple[dict[st
     hosts = stored(
         outcomes.filter("host is not null and good is not null").groupBy("host").agg(
             F.sum(F.col("good").cast("double")).alias("good"), F.count(F.lit(1)).cast("double").alias("n")
-        ).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))),
+        ).withColumn("domain", domain_of(F.col("host"), policy.suffixes)).withColumn("suffix", suffix_of(F.col("host"), policy.suffixes)),
         "host-outcomes",
     )
     total = hosts.agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
@@ -152,7 +172,7 @@ def judge_urls(
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     # posteriors are joined per distinct host, pages once
-    hosts = rows.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = rows.select("host").distinct().withColumn("domain", domain_of(F.col("host"), policy.suffixes)).withColumn("suffix", suffix_of(F.col("host"), policy.suffixes))
     for key in ("host", "domain", "suffix"):
         bound = lower_bound(F.col("alpha"), F.col("beta"), policy.z)
         hosts = hosts.join(levels[key].select(key, bound.alias(f"_{key}")), key, "left")

@@ -1,8 +1,7 @@
 """Quality classifier over supervised subword embeddings.
 
 A document is the average of learned vectors: one for each word, each character n-gram of a word
-(with marks for its begin and end) and each word that repeats the one before it, all hashed to
-``buckets``. A softmax over the two classes reads the average. Vectors and softmax are trained
+(with marks for its begin and end) and each pair of neighbouring words, all hashed to ``buckets``. A softmax over the two classes reads the average. Vectors and softmax are trained
 together by stochastic gradient descent in numpy, in one task, on a bounded sample of labelled
 documents (``sample``, chosen by a hash of the id); whole texts are used.
 
@@ -50,7 +49,7 @@ def _mixed(x):
 
 
 def word_features(words: list[bytes], model: Training):
-    """Buckets of the features of each word: flat array and offsets.
+    """Buckets of the features of each word: flat array and offsets, and a hash of each word.
 
     N-grams are of UTF-8 bytes; the word with its marks is a feature of its own.
     """
@@ -81,12 +80,15 @@ def word_features(words: list[bytes], model: Training):
     owners, hashes = np.concatenate(owners), np.concatenate(hashes)
     order = np.argsort(owners, kind="stable")
     flat = (hashes[order] % np.uint64(model.buckets)).astype(np.int64)
-    return flat, np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))])
+    return flat, np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(words)))]), whole
 
 
-def repeat_feature(model: Training) -> int:
-    """The bucket of a word that is the same as the one before it."""
-    return model.buckets
+def pair_features(hashes, model: Training):
+    """Buckets of the pairs of neighbouring words, from the hashes of the words in their order."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return (_mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) % np.uint64(model.buckets)).astype(np.int64)
 
 
 def bag(text: bytes, model: Training):
@@ -96,25 +98,24 @@ def bag(text: bytes, model: Training):
     words = text.split()
     index = {w: i for i, w in enumerate(dict.fromkeys(words))}
     rows = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-    flat, offsets = word_features(list(index), model)
+    flat, offsets, hashes = word_features(list(index), model)
     counts = np.bincount(rows, minlength=len(index))
-    sums = np.bincount(flat, weights=np.repeat(counts, np.diff(offsets)), minlength=1)
+    sums = np.bincount(flat, weights=np.repeat(counts, np.diff(offsets)), minlength=model.buckets)
+    if len(rows) > 1:
+        sums += np.bincount(pair_features(hashes[rows], model), minlength=model.buckets)
     keys = np.flatnonzero(sums)
-    repeats = int((rows[1:] == rows[:-1]).sum())
-    if repeats:
-        return np.append(keys, repeat_feature(model)), np.append(sums[keys], float(repeats))
     return keys, sums[keys]
 
 
 def train(texts: list[bytes], labels: list[int], model: Training):
-    """Shares of the log odds of label 1: one per bucket, one for repeats, and the bias at the end."""
+    """Shares of the log odds of label 1: one per bucket, and the bias at the end."""
     import numpy as np
 
-    shares = np.zeros(model.buckets + 2, np.float64)
+    shares = np.zeros(model.buckets + 1, np.float64)
     if not texts:
         return shares
     rng = np.random.default_rng(model.seed)
-    vectors = rng.uniform(-1, 1, (model.buckets + 1, model.dims)) / model.dims
+    vectors = rng.uniform(-1, 1, (model.buckets, model.dims)) / model.dims
     output, bias = np.zeros((model.dims, 2)), np.zeros(2)
     bags = []
     for text in texts:
@@ -156,7 +157,7 @@ class Scorer:
         self.forget()
 
     def forget(self):
-        self.index, self.sums, self.sizes = {}, self.np.zeros(0), self.np.zeros(0)
+        self.index, self.sums, self.sizes, self.hashes = {}, self.np.zeros(0), self.np.zeros(0), self.np.zeros(0, self.np.uint64)
 
     def scores(self, texts: list[bytes]):
         np = self.np
@@ -166,18 +167,21 @@ class Scorer:
         new = list(set().union(*parts).difference(self.index))
         if new:
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            sums, sizes = [self.sums], [self.sizes]
+            sums, sizes, hashes = [self.sums], [self.sizes], [self.hashes]
             for a in range(0, len(new), SLICE):
-                flat, offsets = word_features(new[a : a + SLICE], self.model)
+                flat, offsets, own = word_features(new[a : a + SLICE], self.model)
                 sums.append(np.add.reduceat(self.shares[flat], offsets[:-1]))
                 sizes.append(np.diff(offsets))
-            self.sums, self.sizes = np.concatenate(sums), np.concatenate(sizes)
+                hashes.append(own)
+            self.sums, self.sizes, self.hashes = np.concatenate(sums), np.concatenate(sizes), np.concatenate(hashes)
         out = np.zeros(len(texts))
         for i, words in enumerate(parts):
             rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            repeats = int((rows[1:] == rows[:-1]).sum())
-            total = self.sums[rows].sum() + repeats * self.shares[-2]
-            out[i] = total / max(1.0, self.sizes[rows].sum() + repeats) + self.shares[-1]
+            total, size = self.sums[rows].sum(), self.sizes[rows].sum()
+            if len(rows) > 1:
+                total += self.shares[pair_features(self.hashes[rows], self.model)].sum()
+                size += len(rows) - 1
+            out[i] = total / max(1.0, size) + self.shares[-1]
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
@@ -227,7 +231,7 @@ def score(
     the bias alone. Columns of ``docs`` that already have one of the two names give way.
     """
     keep = [c for c in docs.columns if c not in names]
-    given = docs.sparkSession.sparkContext.broadcast(shares)  # (buckets + 2) * 8 bytes
+    given = docs.sparkSession.sparkContext.broadcast(shares)  # (buckets + 1) * 8 bytes
     digest = hash(shares.tobytes())
 
     def run(batches):

@@ -12,7 +12,7 @@ from postsignal.llm.exact_dedup import exact_groups
 from postsignal.llm.fill_middle import digested, framed, transformed
 from postsignal.llm.hash_forest import nearest
 from postsignal.llm.hash_tree import shard_rows, tree
-from postsignal.llm.host_reputation import Rule, judge_urls
+from postsignal.llm.host_reputation import SUFFIXES, Rule, domain_pattern, judge_urls, suffix_pattern
 from postsignal.llm.mixing import mix
 from postsignal.llm.quality import fit, held_out, score
 from postsignal.llm.sentencepiece_bpe import encode_texts
@@ -193,7 +193,7 @@ parts as (
   from split
 ),
 host_sums as (
-  select host, regexp_extract(host, '[^.]*\.?[^.]*$') as domain, regexp_extract(host, '[^.]*$') as suffix,
+  select host, regexp_extract(host, '{domain_pattern(SUFFIXES)}', 1) as domain, regexp_extract(host, '(?:^|\.)({suffix_pattern(SUFFIXES)})$', 1) as suffix,
     sum(l.quality)::double as good, count(*)::double as n
   from parts p join labels l on l.doc_id = try_cast(nullif(p.number, '') as bigint) where l.quality is not null group by host
 ),
@@ -214,8 +214,8 @@ judged as (
         for r in sorted(URL_RULES, key=lambda r: (-len(r.text), r.text))
     )} end as rule
   from parts p left join host_posterior h using (host)
-  left join domain_posterior d on d.domain = regexp_extract(p.host, '[^.]*\.?[^.]*$')
-  left join suffix_posterior s on s.suffix = regexp_extract(p.host, '[^.]*$')
+  left join domain_posterior d on d.domain = regexp_extract(p.host, '{domain_pattern(SUFFIXES)}', 1)
+  left join suffix_posterior s on s.suffix = regexp_extract(p.host, '(?:^|\.)({suffix_pattern(SUFFIXES)})$', 1)
 )
 select page_id, host, path, rule, case {" ".join(f"when rule = '{r.text}' then '{r.verdict}'" for r in URL_RULES)}
   when alpha / (alpha + beta) - sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) >= 0.7 then 'allow'

@@ -2,10 +2,9 @@
 
 A fingerprint is eight bytes at eight positions. Two fingerprints that differ in at most
 ``DISTANCE`` = 4 bits differ in at most four bytes, so they share at least four positional bytes:
-the guaranteed minimum. Of any seven positions they then share three. The inverted index therefore
-has one posting list for every three of the first seven positions and their bytes (35 keys per
-fingerprint; lists under a single byte would hold a 256th of all fingerprints each and make the tally
-quadratic). Inside a list the shared positional bytes of each pair are tallied, pairs below four are
+the guaranteed minimum. The inverted index therefore has one posting list for every four of the eight
+positions and their bytes (70 keys per fingerprint; lists under a single byte would hold a 256th of all
+fingerprints each and make the tally quadratic, lists under four hold one in 2^32). Inside a list the shared positional bytes of each pair are tallied, pairs below four are
 dropped, and the bits of the rest are compared.
 
 Copies share a fingerprint, so the index works on distinct fingerprints and a group of copies is one
@@ -33,7 +32,7 @@ BATCH_BYTES = 1 << 21
 #: Fingerprints of a posting list that meet in one group.
 CHUNK = 512
 FEWEST = 8 - DISTANCE
-POSITIONS = 7  # positions that keys are made of
+POSITIONS = 8  # positions that keys are made of
 KEYED = FEWEST - (8 - POSITIONS)  # positions of them that a near pair shares at least
 
 
@@ -77,7 +76,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def posting_lists(values: DataFrame) -> DataFrame:
-    """(positions, key, bits): every fingerprint under three of its first seven positional bytes."""
+    """(positions, key, bits): every fingerprint under four of its eight positional bytes."""
     masks = [sum(0xFF << 8 * (7 - p) for p in chosen) for chosen in combinations(range(POSITIONS), KEYED)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("positions"), F.col("bits").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])

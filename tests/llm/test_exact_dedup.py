@@ -61,3 +61,14 @@ def test_survivors_and_empty_table(messy, none):
     texts = [r.text or "" for r in left.collect()]
     assert sorted(texts) == sorted({r.text or "" for r in messy.collect()})
     assert X.exact_groups(none).count() == 0 and X.survivors(none).count() == 0
+
+
+def test_a_text_on_nearly_all_rows(spark):
+    """A batch sends no value more than twice, so the owner of a hot text decodes a few entries a batch."""
+    texts = spark.range(20_000).selectExpr("id as doc_id", "case when id % 100 = 0 then concat('own ', id) else 'hot' end as text").repartition(4)
+    hashes = texts.select(X.text_key(texts.text).alias("_hash"))
+    coded = hashes.mapInArrow(X._sender(30, 4), "owner long, count int, shift int, unary binary, low binary")
+    assert coded.agg({"count": "sum"}).first()[0] <= 200 + 2 * 4
+    got = X.exact_groups(texts).groupBy("group_size", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [(1, True, 200), (19_800, False, 19_799), (19_800, True, 1)]
+    assert X.filter_bits(0) == X.LEAST_BITS and X.filter_bits(1 << 20) == 23 and X.filter_bits(10**12) == X.MOST_BITS

@@ -76,3 +76,18 @@ def test_no_outcomes_and_no_pages(spark):
     row = R.judge_urls(pages, nothing).first()
     assert row.verdict == "block" and math.isclose(row.bound, 0.5 - math.sqrt(1 / 12))
     assert R.judge_urls(pages.filter("false"), nothing).count() == 0
+
+
+def test_suffixes_of_several_labels(spark):
+    hosts = {
+        "a.foo.co.uk": ("foo.co.uk", "co.uk"), "foo.co.uk": ("foo.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "xco.uk": ("xco.uk", "uk"), "b.c.example.com": ("example.com", "com"),
+        "me.github.io": ("me.github.io", "github.io"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.b": ("a.b", "b"), "a.com.": ("com.", ""), "..": (".", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in rows.select("host", R.domain_of(rows.host).alias("d"), R.suffix_of(rows.host).alias("s")).collect()}
+    assert got == hosts
+    # strangers under one suffix of two labels do not vouch for each other, unless the policy says so
+    outcomes = spark.createDataFrame([("http://bad.co.uk/", 0)] * 50 + [("http://good.co.uk/", 1)] * 50 + [("http://good.com/", 1)] * 50, "url string, good int")
+    pages = spark.createDataFrame([(1, "http://www.bad.co.uk/x"), (2, "http://new.co.uk/x")], "page_id long, url string")
+    wide, narrow = ({r.page_id: r.bound for r in R.judge_urls(pages, outcomes, policy=R.Policy(suffixes=s)).collect()} for s in (R.SUFFIXES, ()))
+    assert wide[1] < wide[2] and narrow[1] == narrow[2]
