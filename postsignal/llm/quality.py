@@ -1,7 +1,8 @@
 """Quality classifier over supervised subword embeddings.
 
 A document is the average of learned vectors: one for each word, each character n-gram of a word
-(with marks for its begin and end) and each pair of neighbouring words, all hashed to ``buckets``. A softmax over the two classes reads the average. Vectors and softmax are trained
+(with marks for its begin and end) and each pair of neighbouring words, all hashed to ``buckets``. Pairs
+of one word twice share a bucket (``share_repeats``), so that what repetition says is learned from all words. A softmax over the two classes reads the average. Vectors and softmax are trained
 together by stochastic gradient descent in numpy, in one task, on a bounded sample of labelled
 documents (``sample``, chosen by a hash of the id); whole texts are used.
 
@@ -38,6 +39,7 @@ class Training:
     epochs: int = 4
     rate: float = 0.5
     balance: float = 0.0
+    share_repeats: bool = True
     seed: int = 7
 
 
@@ -84,11 +86,14 @@ def word_features(words: list[bytes], model: Training):
 
 
 def pair_features(hashes, model: Training):
-    """Buckets of the pairs of neighbouring words, from the hashes of the words in their order."""
+    """Buckets of the pairs of neighbouring words, from the hashes of the words in their order; repeats are bucket 0."""
     import numpy as np
 
     with np.errstate(over="ignore"):
-        return (_mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) % np.uint64(model.buckets)).astype(np.int64)
+        found = (_mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) % np.uint64(model.buckets)).astype(np.int64)
+    if model.share_repeats:
+        found[hashes[:-1] == hashes[1:]] = 0
+    return found
 
 
 def bag(text: bytes, model: Training):

@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import random
 import zlib
@@ -32,17 +33,19 @@ def features(words, model):
         h = sum((c + 1) * pow(0x100000001B3, i + 1, 1 << 64) for i, c in enumerate(raw)) & mask
         out.append(mixed(h + (255 << 56) & mask) % model.buckets)
         whole.append(h)
-    return out + [mixed(a * 0x9E3779B97F4A7C15 + b & mask) % model.buckets for a, b in zip(whole, whole[1:])]
+    return out + [0 if a == b and model.share_repeats else mixed(a * 0x9E3779B97F4A7C15 + b & mask) % model.buckets for a, b in zip(whole, whole[1:])]
 
 
+@pytest.mark.parametrize("shared", [True, False])
 @pytest.mark.parametrize("text", [b"", b"a", b"ab ab ab c", "été über x".encode(), b"word " * 30 + b"other"])
-def test_scores_are_the_average_of_shares(text):
+def test_scores_are_the_average_of_shares(text, shared):
+    model = dataclasses.replace(SMALL, share_repeats=shared)
     shares = np.random.default_rng(1).normal(size=SMALL.buckets + 1)
-    found = features(text.split(), SMALL)
+    found = features(text.split(), model)
     want = (sum(shares[f] for f in found) / len(found) if found else 0.0) + shares[-1]
-    scorer = Q.Scorer(shares, SMALL)
+    scorer = Q.Scorer(shares, model)
     assert scorer.scores([b"warm up words", text])[1] == pytest.approx(1 / (1 + math.exp(-want)))
-    keys, counts = Q.bag(text, SMALL)
+    keys, counts = Q.bag(text, model)
     assert {int(k): int(c) for k, c in zip(keys, counts)} == {f: found.count(f) for f in set(found)}
 
 
