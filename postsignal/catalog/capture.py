@@ -8,12 +8,14 @@ from postsignal.catalog import base as b
 from postsignal.functions import ids as I
 from postsignal.operators import capture as CP
 from postsignal.operators import dedup as DD
+from postsignal.operators import keywords as K
 from postsignal.operators import lookups as J
 from postsignal.operators import reports as R
 from postsignal.policies import CapturePolicy
 from postsignal.runtime import materialize
 from postsignal.sources import adapters as A
 from postsignal.sources import captures as SC
+from postsignal.sources import files as FI
 from postsignal.sources import sinks as SK
 from postsignal.streaming import capture as ST
 
@@ -41,6 +43,42 @@ def parsed_captures(spark, sf):
     )
 
 
+def capture_flags(spark, sf):
+    """Flags that a client sends stay beside the computed ones."""
+    d = F.col("doc_id")
+    sent = F.create_map(
+        F.lit("dom"), F.col("lang"), F.lit("retries"), (d % 3).cast("string"), F.lit("has_url"), F.lit("client says so"),
+        F.lit("selector_version"), F.concat(F.lit("s"), (d % 2).cast("string")),
+    )
+    payload = F.struct("text", F.when(d % 4 > 0, F.concat(F.lit("https://x.com/a/"), d)).alias("url"), F.when(d % 5 > 0, sent).alias("parse_quality"))
+    parsed = CP.parse_payloads(A.table(spark, sf, "documents").select(d, F.to_json(payload).alias("payload")))
+    flags = F.array_sort(F.transform(F.map_entries("parse_flags"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return parsed.select("doc_id", F.array_join(flags, " ").alias("flags"))
+
+
+def content_digests(spark, sf):
+    return FI.content_digests(A.table(spark, sf, "pages"), "page_id", "html")
+
+
+def extended_posts(spark, sf):
+    """Conversation turns as search records that quote the turn before."""
+    turns = A.quoted_turns(spark, sf)
+    n = F.col("turn")
+    picture = lambda i, kind: F.struct(F.concat(F.lit("https://m/"), i.cast("string"), F.lit(kind)).alias("url"))
+    user = lambda name: F.struct(name.alias("username"), F.when(n % 3 > 0, n * 10).alias("followers_count"))
+    quoted = F.struct((n - 1).alias("id"), F.col("quoted_text").alias("content"), user(F.lit("before")).alias("user"), F.when(n % 2 == 0, F.array(picture(n, "q"))).alias("media"))
+    records = turns.select(
+        (F.col("conv_id") * 1000 + n).alias("id"), F.concat(F.lit("https://x.com/"), F.col("conv_id").cast("string")).alias("url"), F.col("conv_id").alias("date"), F.col("text").alias("content"),
+        user(F.col("role")).alias("user"), F.when(n % 4 > 0, F.array(picture(n, "a"), F.struct(F.lit(None).cast("string").alias("url")), picture(n, "b"))).alias("media"),
+        F.when(F.col("quoted_text") != "", quoted).alias("quoted"),
+    )
+    found = K.extended_posts(records)
+    return found.select(
+        "id", "url", "user", F.col("followers_count").cast("long").alias("followers_count"), F.array_join("media_urls", " ").alias("media_urls"), "quoted_url",
+        F.sha2("quoted_content", 256).alias("quoted_sha"), F.array_join("quoted_media_urls", " ").alias("quoted_media_urls"),
+    )
+
+
 def domain_posts(spark, sf):
     m, q = F.col("visible_metrics"), F.col("quote_post")
     return _posts(spark, sf).select(
@@ -214,6 +252,9 @@ def orphan_events(spark, sf):
 
 QUERIES = {
     "parsed_captures": parsed_captures,
+    "capture_flags": capture_flags,
+    "content_digests": content_digests,
+    "extended_posts": extended_posts,
     "domain_posts": domain_posts,
     "capture_errors": capture_errors,
     "payload_gate": payload_gate,
@@ -257,6 +298,15 @@ _CAP = f"""
 _CAP = _CAP.replace("{{", "{").replace("}}", "}")
 
 SQL = {
+    "capture_flags": f"""with f as (select doc_id, ['has_author=false', 'has_quote=false', 'has_text=' || ({b.sql_strip('text')} <> '')::varchar, 'has_url=' || (doc_id % 4 > 0)::varchar, 'media_count=0',
+          'selector_version=' || case when doc_id % 5 > 0 then 's' || doc_id % 2 else '' end] as own, case when doc_id % 5 > 0 then ['dom=' || lang, 'retries=' || doc_id % 3] else [] end as sent from documents)
+        select doc_id, array_to_string(list_sort(own || sent), ' ') as flags from f""",
+    "content_digests": "select page_id, strlen(html)::bigint as byte_size, sha256(html) as exact_sha256 from pages",
+    "extended_posts": """with t as (select *, coalesce(lag(coalesce(text, '')) over (partition by conv_id order by turn), '') as before from conversations)
+        select conv_id * 1000 + turn as id, 'https://x.com/' || conv_id as url, role as user, (case when turn % 3 > 0 then turn * 10 else 0 end)::bigint as followers_count,
+          case when turn % 4 > 0 then 'https://m/' || turn || 'a https://m/' || turn || 'b' else '' end as media_urls,
+          case when before <> '' then 'https://twitter.com/before/status/' || (turn - 1) end as quoted_url, case when before <> '' then sha256(before) end as quoted_sha,
+          case when before <> '' and turn % 2 = 0 then 'https://m/' || turn || 'q' else '' end as quoted_media_urls from t""",
     "parsed_captures": f"""with {_CAP} select post_id, platform_post_id, url, author_handle, sha256(text) as text_sha, timestamp, quoted_text, '@Quoted' as quoted_author,
         media_url as media_urls, case when media_url = '' then '' else 'post' end as media_scopes, url <> '' as has_url, author_handle <> 'unknown' as has_author, text <> '' as has_text,
         quoted_text <> '' as has_quote, (media_url <> '')::bigint as media_count, 'visible_dom_v1' as selector_version from cap""",

@@ -219,10 +219,23 @@ def parse_payloads(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     return (
         staged.withColumn("platform_post_id", platform_id)
         .withColumn("parse_quality", parse_quality())
+        .withColumn("parse_flags", parse_flags(F.col("_p.parse_quality")))
         .drop("_p")
     )
 
 
+def parse_flags(given: Column) -> Column:
+    """The client's own flags beside the computed ones, as text; a computed flag wins over one of its name.
+
+    ``given`` is a map of text; flags that the client sends as null are kept as null.
+    """
+    own = F.col("parse_quality")
+    names = ("has_url", "has_author", "has_text", "has_quote", "media_count", "selector_version")
+    computed = F.create_map(*[x for n in names for x in (F.lit(n), own[n].cast("string"))])
+    rest = F.map_filter(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*names))
+    return F.map_concat(rest, computed)
+
+
 def parse_quality() -> Column:
     return F.struct(
         (F.col("url") != "").alias("has_url"),
@@ -275,7 +288,7 @@ def to_posts(captures: DataFrame, source: str = "extension", policy: CapturePoli
 
 _CAPTURE_COLUMNS = {
     "url", "author_handle", "text", "display_name", "timestamp", "quoted_text", "quoted_author",
-    "quoted_url", "raw_metrics", "media", "selector_version", "platform_post_id", "parse_quality",
+    "quoted_url", "raw_metrics", "media", "selector_version", "platform_post_id", "parse_quality", "parse_flags",
 }
 
 

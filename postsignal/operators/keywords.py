@@ -52,3 +52,20 @@ def search_posts(
     if limit is None:
         return found
     return found.orderBy(*[F.desc(c) for c in order]).limit(max(0, limit))
+
+
+def extended_posts(records: DataFrame) -> DataFrame:
+    """Posts from nested search records: author and followers, media addresses, and what is quoted.
+
+    ``records`` has id, url, date, content, user (username, followers_count), media (array with url) and quoted
+    (id, content, user, media), the last two possibly null. Media without an address are left out; a record
+    without a quote has null quoted_url and quoted_content and no quoted media; a missing follower count is 0.
+    """
+    quoted = F.col("quoted")
+    address = F.concat(F.lit("https://twitter.com/"), quoted["user"]["username"], F.lit("/status/"), quoted["id"].cast("string"))
+    urls = lambda media: F.filter(F.coalesce(media["url"], F.array().cast("array<string>")), lambda u: F.coalesce(u != "", F.lit(False)))
+    return records.select(
+        "id", "url", "date", "content", F.col("user")["username"].alias("user"), F.coalesce(F.col("user")["followers_count"], F.lit(0)).alias("followers_count"),
+        urls(F.col("media")).alias("media_urls"), F.when(quoted.isNotNull(), address).alias("quoted_url"), quoted["content"].alias("quoted_content"),
+        urls(quoted["media"]).alias("quoted_media_urls"),
+    )

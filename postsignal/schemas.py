@@ -24,7 +24,7 @@ PAYLOAD = _struct(
     visible_metrics=T.MapType(S, T.VariantType()),
     metrics=T.MapType(S, T.VariantType()),
     media=T.ArrayType(RAW_MEDIA),
-    parse_quality=_struct(selector_version=S),
+    parse_quality=T.MapType(S, S),
     raw_capture_version=S,
 )
 

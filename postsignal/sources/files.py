@@ -11,9 +11,13 @@ def file_digests(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
-        "path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("exact_sha256")
-    )
+    return content_digests(reader.load(path), "path", "content")
+
+
+def content_digests(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, byte_size, exact_sha256) of a column of bytes or text; null content has neither."""
+    size, digest = F.octet_length(content).cast("long"), F.sha2(F.col(content).cast("binary"), 256)
+    return rows.select(key, size.alias("byte_size"), digest.alias("exact_sha256"))
 
 
 def content_path(digest, name):

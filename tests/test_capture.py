@@ -200,3 +200,26 @@ def test_articles_equal_their_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert compare(streams.page_posts(spark, str(tmp_path)), con, streams.SQL["page_posts"]) == []
+
+
+def test_client_flags_stay_beside_computed_ones(spark):
+    rows = [
+        '{"text":"a","parse_quality":{"x":1,"deep":{"a":[1]},"n":null,"has_text":false,"selector_version":7}}', '{"text":"a","parse_quality":"oops"}',
+        '{"text":"a","raw_capture_version":"v2","parse_quality":{"selector_version":"v1"}}', "nonsense",
+    ]
+    got = [r.parse_flags for r in CP.parse_payloads(spark.createDataFrame(list(enumerate(rows)), "i int, payload string")).orderBy("i").collect()]
+    own = {"has_url": "false", "has_author": "false", "has_text": "true", "has_quote": "false", "media_count": "0", "selector_version": ""}
+    assert got == [own | {"x": "1", "deep": '{"a":[1]}', "n": None, "selector_version": "7"}, own, own | {"selector_version": "v2"}, own | {"has_text": "false"}]
+
+
+def test_extended_posts(spark):
+    from postsignal.operators.keywords import extended_posts
+
+    media = "array<struct<url:string>>"
+    schema = f"id long, url string, date long, content string, user struct<username:string,followers_count:long>, media {media}, quoted struct<id:long,content:string,user:struct<username:string,followers_count:long>,media:{media}>"
+    rows = [
+        (1, "u", 1, "c", ("a", None), [("m1",), (None,), ("",), ("m2",)], (9, "said", ("b", 3), [("q",)])),
+        (2, "u", 1, "c", ("a", 5), None, None), (3, "u", 1, None, None, [], (8, None, None, None)),
+    ]
+    got = [tuple(r)[4:] for r in extended_posts(spark.createDataFrame(rows, schema)).orderBy("id").collect()]
+    assert got == [("a", 0, ["m1", "m2"], "https://twitter.com/b/status/9", "said", ["q"]), ("a", 5, [], None, None, []), (None, 0, [], None, None, [])]
