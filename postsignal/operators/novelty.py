@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsignal.operators.rows import exploded
-from postsignal.runtime import materialize
+from postsignal.runtime import written
 
 #: Characters that separate words.
 GAPS = r"[^\p{L}\p{N}_]+"
@@ -26,22 +26,51 @@ def _score(similarity: Column, threshold: float) -> Column:
     )
 
 
-def recent_similarity(posts: DataFrame, item: str, author: str, at: str, text: str, window: int) -> DataFrame:
-    """(item, similarity): greatest overlap with an earlier text of the author inside the window.
+def _prefixes(sets: DataFrame, floor: float) -> DataFrame:
+    """(set, shingle): the rarest shingles of each set, enough that sets of Dice similarity ``floor`` share one.
+
+    ``sets`` is (set, shingles, n). Such a pair shares at least ``floor / (2 - floor)`` of either set, so two
+    sets without a common shingle among the first ``n - that + 1`` of one order for all cannot be a pair. In
+    the order of rarity, what very many texts hold comes last and is left out, unless it makes up more than
+    that share of a text: such texts are candidates for each other.
+    """
+    rows = written(exploded(sets.select("set", "n", "shingles"), F.col("shingles"), "shingle", "set", "n"), "shingles")
+    rarity = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
+    ranked = rows.join(rarity, "shingle").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("_r"))
+    length = (F.col("n") - F.ceil(F.col("n") * (floor / (2 - floor)) - 1e-9) + 1).cast("int")
+    return exploded(ranked, F.slice("_r", 1, length)["shingle"], "shingle", "set")
+
+
+def recent_similarity(posts: DataFrame, item: str, author: str, at: str, text: str, window: int, floor: float = 0.5) -> DataFrame:
+    """(item, similarity): greatest overlap with an earlier text of the author inside the window, from ``floor`` up.
 
     The measure is the Dice coefficient of the shingles, ``2 * shared / (a + b)``. Time is cut into
     stretches of the window's length, so a post shares a stretch with every text it may repeat:
-    its own or the one before. Posts meet where they share author, stretch and shingle, which deals
-    a busy author's texts by their shingles; counts of shared shingles are combined on the map side.
+    its own or the one before. Equal sets of one author and stretch are one, with their first and last time,
+    so a text posted a million times is one row; a post whose set has come before has similarity 1 and meets
+    no other. Different sets meet where they share a shingle of their prefixes, and are compared whole.
     """
     narrow = posts.select(F.col(item).alias("item"), F.col(author).alias("author"), F.col(at).alias("at"), shingles(F.col(text)).alias("_s"))
-    rows = exploded(narrow.withColumn("n", F.size("_s")), F.col("_s"), "_t", "item", "author", "at", "n")
-    rows = materialize(rows.select("item", "author", "at", "n", F.xxhash64("_t").alias("_t"), F.floor(F.col("at") / window).alias("_k")))
-    new = rows.select("item", "author", "at", "n", "_t", F.explode(F.array(F.col("_k"), F.col("_k") - 1)).alias("_k"))
-    old = rows.select("author", "_k", "_t", F.col("item").alias("old"), F.col("at").alias("before"), F.col("n").alias("m"))
-    pairs = new.join(old, ["author", "_k", "_t"]).filter((F.col("before") < F.col("at")) & (F.col("before") >= F.col("at") - window))
-    shared = pairs.groupBy("item", "old").agg((2.0 * F.count(F.lit(1)) / (F.first("n") + F.first("m"))).alias("s"))
-    return shared.groupBy("item").agg(F.max("s").alias("similarity"))
+    hashed = narrow.filter("author is not null and at is not null").withColumn("shingles", F.array_sort(F.transform("_s", lambda s: F.xxhash64(s))))
+    timed = written(hashed.filter(F.size("shingles") > 0).select("item", "author", "at", F.floor(F.col("at") / window).alias("_k"), F.sha2(F.to_json("shingles"), 256).alias("set"), F.size("shingles").alias("n"), "shingles"), "timed")
+    sets = written(timed.groupBy("set").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n")), "sets")
+    seen = written(timed.groupBy("author", "_k", "set").agg(F.min("at").alias("_first"), F.max("at").alias("_last")), "seen")
+    posts_of = timed.select("item", "author", "at", "set", F.explode(F.array(F.col("_k"), F.col("_k") - 1)).alias("_k"))
+    # the first time in a post's own stretch, the last in the one before
+    recent = ((F.col("_first") < F.col("at")) & (F.col("_first") >= F.col("at") - window)) | ((F.col("_last") < F.col("at")) & (F.col("_last") >= F.col("at") - window))
+    repeated = written(posts_of.join(seen, ["author", "_k", "set"]).filter(recent).select("item").distinct(), "repeated")
+    fresh = written(posts_of.join(repeated, "item", "left_anti"), "fresh")
+    prefixes = written(_prefixes(sets, floor), "prefixes")
+    new = fresh.select("author", "_k", "set").distinct().join(prefixes, "set").select("author", "_k", "shingle", F.col("set").alias("mine"))
+    old = seen.select("author", "_k", "set").join(prefixes, "set").select("author", "_k", "shingle", F.col("set").alias("other"))
+    met = written(new.join(written(old, "old-prefixes"), ["author", "_k", "shingle"]).filter("mine <> other").select("author", "_k", "mine", "other").distinct(), "met")
+    side = lambda name, size, values: sets.select(F.col("set").alias(name), F.col("n").alias(size), F.col("shingles").alias(values))
+    whole = met.select("mine", "other").distinct().join(side("mine", "_n", "_a"), "mine").join(side("other", "_m", "_b"), "other")
+    dice = 2.0 * F.size(F.array_intersect("_a", "_b")) / (F.col("_n") + F.col("_m"))
+    near = written(whole.select("mine", "other", dice.alias("similarity")).filter(F.col("similarity") >= floor), "near-sets")
+    linked = met.join(near, ["mine", "other"]).join(seen.withColumnRenamed("set", "other"), ["author", "_k", "other"])
+    found = fresh.withColumnRenamed("set", "mine").join(linked, ["author", "_k", "mine"]).filter(recent).select("item", "similarity")
+    return found.union(repeated.select("item", F.lit(1.0).alias("similarity"))).groupBy("item").agg(F.max("similarity").alias("similarity"))
 
 
 def fatigue(

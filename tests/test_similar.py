@@ -132,3 +132,17 @@ def test_fatigue_equals_comparing_recent_texts(spark):
                 s = max(s, 2 * len(a & pairs(old)) / (len(a) + len(pairs(old))))
         want = (80.0, "near_duplicate_text") if s >= 0.85 else (max(0.0, (s - 0.5) * 100), "")
         assert got[i] == (pytest.approx(want[0]), want[1])
+
+
+def test_a_hot_phrase_makes_no_square(spark, monkeypatch):
+    """All posts of an author hold one phrase, a fifth of each, and one text comes a thousand times: few pairs meet."""
+    rnd = random.Random(8)
+    texts = [" ".join([*(f"w{rnd.randrange(5000)}" for _ in range(12)), "win a prize now"]) for _ in range(600)]
+    rows = [(i, "hot", i, t) for i, t in enumerate(texts)] + [(1000 + i, "hot", 300, "the same old text") for i in range(500)] + [(1600 + i, "hot", 301 + i, "the same old text") for i in range(500)]
+    rows += [(5000, "hot", 599, texts[400].replace("prize", "price"))]
+    kept, written = {}, N.written
+    monkeypatch.setattr(N, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    got = {r["post_id"]: r["fatigue_score"] for r in N.fatigue(spark.createDataFrame(rows, "post_id int, author_handle string, ordinal int, text string").repartition(5), window=700).collect()}
+    assert kept["met"].count() < 20 * 600
+    assert all(got[1600 + i] == 80.0 for i in range(500)) and all(got[1000 + i] == 0.0 for i in range(500))
+    assert got[5000] > 0 and sum(got[i] > 0 for i in range(600)) < 30
