@@ -169,9 +169,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 def spanning_links(values: DataFrame, threshold: int = 8, blocks: int | None = None, hot_key: int = 20_000) -> DataFrame:
     """(algorithm, bits_a, bits_b): near values, enough to connect all that near values connect.
 
-    First every value of a key with the smallest value of that key: one row each. What these links join is
-    labelled, and the values of a key meet again only where their labels differ, so a key full of near copies
-    gives its values one link each and no pairs. Keys of many values are split as in ``near_pairs``.
+    First every value of a key with the smallest value of that key: one row each. A value's label is the
+    smallest value it is linked to this way, and the values of a key meet again only where their labels differ,
+    so a key full of near copies gives its values one link each and no pairs. Keys of many values are split as in ``near_pairs``.
     """
     blocks = blocks or threshold + SPARE_BLOCKS
     keys = block_keys(materialize(values.select("algorithm", "bits").distinct()), blocks, threshold)
@@ -179,13 +179,10 @@ def spanning_links(values: DataFrame, threshold: int = 8, blocks: int | None = N
     sizes = keys.groupBy(*by).agg(F.min("bits").alias("leader"), F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / hot_key).cast("int").alias("salts"))
     entries = written(keys.join(materialize(sizes.filter("n > 1")), by), "key-entries")
     close = hamming(F.col("bits"), F.col("leader")) <= threshold
-    first = written(entries.filter("bits <> leader").filter(close).select("algorithm", F.col("leader").alias("bits_a"), F.col("bits").alias("bits_b")).distinct(), "leader-links")
-    # values of different algorithms never share a link, so a node is the pair of both
-    node = lambda bits: F.struct("algorithm", F.col(bits).alias("bits"))
-    roots = components(first.select(node("bits_a").alias("a"), node("bits_b").alias("b")))
-    roots = written(roots.select("node.algorithm", "node.bits", F.col("root.bits").alias("root")), "leader-roots")
+    first = materialize(entries.filter("bits <> leader").filter(close).select("algorithm", F.col("leader").alias("bits_a"), F.col("bits").alias("bits_b")).distinct())
+    # values with one label are linked to it, or are it
+    roots = first.groupBy("algorithm", F.col("bits_b").alias("bits")).agg(F.min("bits_a").alias("root"))
     open_keys = entries.filter("n > 2").join(roots, ["algorithm", "bits"], "left").select(*by, "salts", "bits", F.coalesce("root", "bits").alias("root"))
-    open_keys = written(open_keys, "rooted-entries")
     mixed = open_keys.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*by)
     rest = written(open_keys.join(mixed, by), "open-entries")
     left = rest.withColumn("salt", F.pmod(F.xxhash64("bits"), F.col("salts")).cast("int")).select(*by, "salt", F.col("bits").alias("bits_a"), F.col("root").alias("root_a"))
@@ -204,7 +201,7 @@ def cluster(fingerprints: DataFrame, item: str = "item", threshold: int = 8, blo
     """
     # lowest item per distinct fingerprint stands for all its copies
     heads = materialize(fingerprints.groupBy("algorithm", "bits").agg(F.min(item).alias("head")))
-    pairs = written(spanning_links(heads, threshold, blocks), "cluster-links")
+    pairs = spanning_links(heads, threshold, blocks)
     a = heads.select("algorithm", F.col("bits").alias("bits_a"), F.col("head").alias("a"))
     b = heads.select("algorithm", F.col("bits").alias("bits_b"), F.col("head").alias("b"))
     edges = pairs.join(a, ["algorithm", "bits_a"]).join(b, ["algorithm", "bits_b"]).select("a", "b")
