@@ -8,6 +8,8 @@ from postsignal.catalog import base as b
 from postsignal.operators import bayes as B
 from postsignal.operators import diversity as DV
 from postsignal.operators import evaluation as E
+from postsignal.operators import learning as L
+from postsignal.operators import ordered as O
 from postsignal.operators import retention as RT
 from postsignal.operators.samples import uniform
 from postsignal.operators.similarity import term_counts, word_terms
@@ -78,7 +80,26 @@ def lifecycle_plan(spark, sf):
     return RT.lifecycle_plan(objects, NOW, LIFECYCLE)
 
 
+def source_posteriors(spark, sf):
+    """Reliability of sources from quality labels, older documents counting less."""
+    docs = A.table(spark, sf, "documents").select("doc_id", "source").join(A.table(spark, sf, "labels"), "doc_id")
+    found = L.beta_posteriors(docs, "source", F.col("quality"), F.col("doc_id") % 365, 90.0)
+    return found.select("source", "n", *[F.round(c, 6).alias(c) for c in ("alpha", "beta", "mean", "low", "high")])
+
+
+def metric_deltas(spark, sf):
+    """Change of the value from one event of a kind to the next."""
+    rows = A.table(spark, sf, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    found = O.with_previous(rows, ["at", "value"], ["event_type"], ["at", "event_id"])
+    hours = (F.col("at") - F.col("previous_at")) / 3.6e9
+    return found.select(
+        "event_id", F.round(F.col("value") - F.col("previous_value"), 6).alias("delta"), F.round(hours, 6).alias("hours"),
+    )
+
+
 QUERIES = {
+    "source_posteriors": source_posteriors,
+    "metric_deltas": metric_deltas,
     "bayes_quality": bayes_quality,
     "bayes_calibration": bayes_calibration,
     "bayes_reliability": bayes_reliability,
@@ -114,6 +135,12 @@ def _round(i):
 
 
 SQL = {
+    "source_posteriors": """with s as (select source, count(*) as n, 2 + sum(pow(0.5::double, (doc_id % 365) / 90.0::double) * quality) as alpha, 2 + sum(pow(0.5::double, (doc_id % 365) / 90.0::double) * (1 - quality)) as beta
+          from documents join labels using (doc_id) where quality is not null group by source),
+        m as (select *, alpha / (alpha + beta) as mean, 1.645::double * sqrt(alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) as spread from s)
+        select source, n, round(alpha, 6) as alpha, round(beta, 6) as beta, round(mean, 6) as mean, round(greatest(0.0::double, mean - spread), 6) as low, round(least(1.0::double, mean + spread), 6) as high from m""",
+    "metric_deltas": """select event_id, round(value - lag(value) over w, 6) as delta, round((epoch_us(ts) - lag(epoch_us(ts)) over w) / 3.6e9::double, 6) as hours
+        from events window w as (partition by event_type order by epoch_us(ts), event_id)""",
     "bayes_quality": f"with {_BAYES} select * from scored",
     "bayes_calibration": f"""with {_BAYES}, cells as (select lang, least(floor(probability * 10), 9) as bin, count(*) as n, avg(probability) as mp, avg(quality) as my, sum((probability - quality) ** 2) as sq,
         sum(-quality * ln(greatest(1e-15::double, least(1 - 1e-15::double, probability))) - (1 - quality) * ln(1 - greatest(1e-15::double, least(1 - 1e-15::double, probability)))) as ll from tested group by all)

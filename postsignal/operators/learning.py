@@ -254,3 +254,21 @@ def _flags(policy: ThrottlePolicy):
         return pd.DataFrame({"_id": rows["_id"].to_numpy(), "admitted": admitted})
 
     return run
+
+
+def beta_posteriors(
+    outcomes: DataFrame, source: str, good: Column, age: Column, half_life: float, prior: tuple[float, float] = (2.0, 2.0), z: float = 1.645
+) -> DataFrame:
+    """(source, n, alpha, beta, mean, low, high): reliability of each source as a beta distribution with decay.
+
+    An outcome (``good``, 0 to 1) counts 0.5 ** (age / half_life); ages below zero count as zero, rows with a
+    null are left out. ``low`` and ``high`` are ``z`` standard deviations around the mean, within 0 and 1. Sums
+    are combined on the map side, so a source with most outcomes sends one row per task.
+    """
+    known = outcomes.select(F.col(source), good.cast("double").alias("_y"), F.pow(F.lit(0.5), F.greatest(age, F.lit(0)) / half_life).alias("_w")).dropna(subset=["_y", "_w"])
+    sums = known.groupBy(source).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_w") * F.col("_y")).alias("_g"), F.sum(F.col("_w") * (1 - F.col("_y"))).alias("_b"))
+    shaped = sums.select(source, "n", (prior[0] + F.col("_g")).alias("alpha"), (prior[1] + F.col("_b")).alias("beta"))
+    total = F.col("alpha") + F.col("beta")
+    mean = F.col("alpha") / total
+    spread = z * F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
+    return shaped.select("*", mean.alias("mean"), F.greatest(F.lit(0.0), mean - spread).alias("low"), F.least(F.lit(1.0), mean + spread).alias("high"))

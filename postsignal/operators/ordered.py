@@ -8,6 +8,7 @@ cluster, do the per-chunk work in parallel and then combine one small row per (k
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,3 +132,21 @@ def fold_clamped(
     f = F.col("_f")
     result = F.least(f["hi"], F.greatest(f["lo"], f["a"] * start + f["b"]))
     return per_key.select(key, result.alias(out), "steps")
+
+
+def with_previous(df: DataFrame, values: Sequence[str], keys: Sequence[str], order: Sequence[str], prefix: str = "previous_") -> DataFrame:
+    """Add the ``values`` of the row before each row of its keys; null for the first one and for null keys.
+
+    (keys, order) must be a total order. A row finds the one before in its own chunk, or in the last row of the
+    nearest earlier chunk of its keys, so a long series is many tasks.
+    """
+    chunked = materialize(range_chunks(df, keys, order, rows=df.count()))
+    held = F.struct(*values)
+    inside = Window.partitionBy(*keys, "chunk").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = chunked.groupBy(*keys, "chunk").agg(F.max_by(held, F.struct(*order)).alias("_end")).select(*keys, "chunk", F.last("_end").over(earlier).alias("_far"))
+    local = chunked.withColumn("_near", F.lag(held).over(inside)).join(ends, [*keys, "chunk"], "left")
+    before = F.when(F.col("_near").isNotNull(), F.col("_near")).otherwise(F.col("_far"))
+    named = [F.col(k).isNotNull() for k in keys]
+    kept = F.when(reduce(Column.__and__, named), before) if named else before
+    return local.withColumn("_before", kept).select(*df.columns, *[F.col("_before")[v].alias(prefix + v) for v in values])

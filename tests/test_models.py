@@ -119,3 +119,33 @@ def test_lifecycle_budgets(spark, disk):
                 want[i] = "disk_watermark"
                 total -= size
     assert got == want
+
+
+def test_previous_rows_across_chunks(spark):
+    from postsignal.operators.ordered import with_previous
+
+    rnd = random.Random(6)
+    rows = [(i, "hot" if i % 20 else rnd.choice(["a", None]), rnd.randrange(400), rnd.choice([None, i])) for i in range(2000)]
+    got = {r.i: (r.previous_i, r.previous_v) for r in with_previous(spark.createDataFrame(rows, "i int, k string, at int, v int").repartition(5), ["i", "v"], ["k"], ["at", "i"]).collect()}
+    last = {}
+    for i, k, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        assert got[i] == (last.get(k, (None, None)) if k is not None else (None, None))
+        last[k] = (i, v)
+    assert len(got) == 2000
+
+
+def test_beta_posteriors(spark):
+    from postsignal.operators.learning import beta_posteriors
+
+    rows = [("a", 1.0, 0.0), ("a", 0.0, 10.0), ("a", None, 1.0), ("b", 1.0, -5.0), ("b", 0.5, 20.0), ("c", None, None)]
+    got = {r.s: r for r in beta_posteriors(spark.createDataFrame(rows, "s string, y double, age double"), "s", F.col("y"), F.col("age"), 10.0).collect()}
+    assert (got["a"].n, got["a"].alpha, got["a"].beta) == (2, 3.0, 2.5) and (got["b"].alpha, got["b"].beta) == (3.125, 2.125) and "c" not in got
+    assert got["a"].mean == pytest.approx(3 / 5.5) and got["a"].low == pytest.approx(3 / 5.5 - 1.645 * math.sqrt(3 * 2.5 / (5.5**2 * 6.5)))
+
+
+def test_fused_ranks(spark):
+    from postsignal.operators.retrieval import fused_ranks
+
+    lists = [spark.createDataFrame(r, "query int, doc int, rank int") for r in ([(1, 5, 1), (1, 6, 2), (2, 5, 1)], [(1, 6, 1), (1, 7, 2)])]
+    got = [tuple(r)[:2] + (r["rank"],) for r in fused_ranks(lists, 2).orderBy("query", "rank").collect()]
+    assert got == [(1, 6, 1), (1, 5, 2), (2, 5, 1)]
