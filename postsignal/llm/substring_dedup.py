@@ -6,16 +6,21 @@ of its minimizer, the smallest hash among the 12-word phrases inside it. Equal w
 minimizers, wherever they are, so a document is parsed against every reference block that can hold
 one of its windows, and against no other: the index is keyed by the minimizer.
 
-1. *Index and whole blocks.* Documents send one row per block (about one for every twenty words):
-   minimizer, hash of the block's words, id, place. The smallest id of equal blocks is their
-   reference. A block of another document with an equal reference block is a factor as a whole; the
-   parse takes it at once. A text that a third of all rows repeat is one reference per block.
-2. *Factor boundaries.* Where a phrase begins or ends its repetition, blocks with the same minimizer
+1. *Index.* Documents send one row per block (about one for every twenty words): minimizer, hash of
+   the block's words, id, place. Equal blocks are one reference block, at a place in the document
+   with the smallest id. A text that a third of all rows repeat is one reference per block.
+2. *Matches.* A block of another document that equals a reference block matches as a whole, with
+   that place.
+3. *Factor boundaries.* Where a passage begins or ends its repetition, blocks with the same minimizer
    differ, and a factor ends inside a block. These places only are checked window by window: the
-   first document of each such block sends its windows, the smallest id of each window answers, and
-   runs of answered windows extend the factors across the boundary.
-3. *Spans.* Factors of at least 50 words that touch or overlap are joined, and the words they cover
-   are removed.
+   first document of each such block sends its windows, the smallest id of each window answers with
+   its place.
+4. *Parse.* Each document is read from left to right. A factor starts at the first matching word that
+   is not yet read and goes on, over blocks and windows, as long as the next match lies in the same
+   reference, right behind the last one. Where it does not, the factor is as long as the index can make
+   it, and the next one starts. Words without a match are literals.
+5. *Spans.* A factor has at least 50 words, as one window has. Factors that touch or overlap are joined
+   to spans, and the words they cover are removed.
 
 Blocks are compared by their minimizer and a second 64-bit hash, windows by their minimizer and
 another one: 128 independent bits, so a wrong match among 10^12 windows has a chance below 10^-14.
@@ -200,17 +205,20 @@ def _windows(batches):
                 )
 
 
-def factors(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, start, size): runs of windows that occur in a document with a smaller id.
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, start, size, reference, place): runs of windows and where the index holds them.
 
-    ``docs`` has doc_id, text_key and text. Runs of one text may touch, not overlap.
+    ``docs`` has doc_id, text_key and text. A run of ``size`` windows from word ``start`` on equals that
+    from word ``place`` on in the document ``reference``, whose id is smaller. Runs of one text may touch,
+    not overlap. If a reference holds the same words several times, any of the places is named.
     """
     index = stored(docs.mapInArrow(_index, "anchor long, content long, doc_id long, text_key long, start long, size int"), "blocks")
     key = ["anchor", "content"]
-    references = stored(index.groupBy(*key).agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("last")), "references")
+    references = stored(index.groupBy(*key).agg(F.min("doc_id").alias("reference"), F.min_by("start", "doc_id").alias("place"), F.max("doc_id").alias("last")), "references")
     # whole blocks: equal to a block of a smaller id
-    shared = references.filter("reference < last").select(*key, "reference")
-    whole = index.join(shared, key).filter("doc_id > reference").select("doc_id", "text_key", "start", "size")
+    shared = references.filter("reference < last").select(*key, "reference", "place")
+    run = ["doc_id", "text_key", "start", "size", "reference", "place"]
+    whole = index.join(shared, key).filter("doc_id > reference").select(*run)
     # factor boundaries: other blocks under the same minimizer
     several = stored(references.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "boundary-anchors")
     boundary = stored(references.join(several, "anchor").select(*key, "reference"), "boundary-blocks")
@@ -219,15 +227,34 @@ def factors(docs: DataFrame) -> DataFrame:
     sent = docs.join(places, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "places")
     windows = stored(sent.mapInArrow(_windows, "anchor long, window long, doc_id long, text_key long, start long"), "boundary-windows")
     answers = stored(
-        windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("last")).filter("reference < last"),
+        windows.groupBy("anchor", "window")
+        .agg(F.min("doc_id").alias("reference"), F.min_by("start", "doc_id").alias("place"), F.max("doc_id").alias("last"))
+        .filter("reference < last"),
         "window-references",
     )
-    single = windows.join(answers, ["anchor", "window"]).filter("doc_id > reference").select("doc_id", "text_key", "start", F.lit(1).alias("size"))
+    single = windows.join(answers, ["anchor", "window"]).filter("doc_id > reference").withColumn("size", F.lit(1)).select(*run)
     return whole.unionByName(single)
 
 
+def parse(starts, sizes, references, places):
+    """Factors of a text from its matches: arrays (start, stop, reference, place), from left to right.
+
+    Neighbouring windows of a text share all their words but one, so matches that lie side by side in the
+    text and in one reference are one factor.
+    """
+    import numpy as np
+
+    order = np.argsort(starts)
+    starts, sizes, references, places = (x[order] for x in (starts, sizes, references, places))
+    ends = starts + sizes
+    goes_on = (starts[1:] == ends[:-1]) & (references[1:] == references[:-1]) & (places[1:] - places[:-1] == sizes[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    last = np.append(first[1:], len(starts)) - 1
+    return starts[first], ends[last] + WINDOW - 1, references[first], places[first]
+
+
 def _cut(batches):
-    """Texts and runs of windows to kept words and spans."""
+    """Texts and matches to factors, spans and kept words."""
     import numpy as np
     import pyarrow as pa
 
@@ -237,19 +264,20 @@ def _cut(batches):
         rows = []
         for doc, text, runs in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2)):
             words = text.split()
-            spans = []
+            spans, factors = [], []
             if runs.is_valid and len(runs.values):
-                starts, sizes = (runs.values.field(i).to_numpy().astype(np.int64) for i in range(2))
+                found = parse(*(runs.values.field(i).to_numpy().astype(np.int64) for i in range(4)))
+                factors = [dict(zip(("start", "stop", "reference", "place"), f)) for f in zip(*(x.tolist() for x in found))]
                 edges = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edges, starts, 1)
-                np.add.at(edges, starts + sizes + WINDOW - 1, -1)
+                np.add.at(edges, found[0], 1)
+                np.add.at(edges, found[1], -1)
                 covered = np.cumsum(edges[:-1]) > 0
                 turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                 spans = [{"start": int(a), "stop": int(b)} for a, b in turns]
                 kept = list(compress(words, (~covered).tolist()))
             else:
                 kept = words
-            rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode(), spans))
+            rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode(), spans, factors))
             if sum(len(r[3]) for r in rows[-1:]) > 1 << 22 or len(rows) >= 2000:
                 yield _rows(rows)
                 rows = []
@@ -260,15 +288,19 @@ def _rows(rows):
     import pyarrow as pa
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
-    columns = list(zip(*rows)) or [()] * 5
+    factor = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "stop", "reference", "place")]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, factor)
+    columns = list(zip(*rows)) or [()] * 6
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "n_words", "n_removed", "kept", "spans"]
+        [pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "n_words", "n_removed", "kept", "spans", "factors"]
     )
 
 
 def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (text), spans (word ranges cut).
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept (text), spans (word ranges cut), factors.
+
+    A factor names the words from ``start`` to before ``stop`` and the document and word of that document
+    (``reference``, ``place``) from which on the same words stand. Factors of a text may overlap by less than a window.
 
     A word goes when a window of 50 consecutive words that covers it also starts in a document with a
     smaller id. Words are what ASCII white space separates. Null texts have no words; documents of
@@ -278,8 +310,11 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str
     columns of ``docs`` are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    found = factors(rows).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
+    # a set, as repeated rows send equal matches
+    found = matches(rows).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size", "reference", "place")).alias("runs"))
     joined = rows.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(
-        _cut, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, stop: long>>"
+        _cut,
+        "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, stop: long>>, "
+        "factors array<struct<start: long, stop: long, reference: long, place: long>>",
     )
