@@ -175,7 +175,7 @@ def throttle(
     narrow = events.select(
         F.col(key).cast("string").alias("_key"), F.col(at_us).alias("_us"), F.col(event_id).alias("_id")
     )
-    chunked = materialize(range_chunks(narrow, ["_key"], ["_us", "_id"]))
+    chunked = materialize(range_chunks(narrow, ["_key"], ["_us", "_id"], rows=events.count()))
     ends = chunked.groupBy("_key", "chunk").agg(F.max("_us").alias("_end"))
     # one row per key and chunk: at most one per shuffle partition and key
     starts = ends.withColumn(

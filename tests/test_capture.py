@@ -128,20 +128,40 @@ def test_first_captures_ignore_input_order(spark):
     assert results[0] == results[1]
 
 
+KEYED = "post_id string, captured_at int, platform string, platform_post_id string, idempotency_key string"
+
+
+def read_row_by_row(rows):
+    keys, ids, kept = set(), set(), []
+    for post_id, _, _, pid, key in rows:
+        if (key is not None and key in keys) or (pid and pid in ids):
+            continue
+        keys.add(key)
+        ids.add(pid)
+        kept.append(post_id)
+    return kept
+
+
 def test_greedy_dedup_equals_reading_row_by_row(spark):
     for seed in range(4):
         rnd = random.Random(seed)
-        rows = [(f"{i:03}", i, "x", rnd.choice(["", *"abcdefgh"]), f"k{rnd.randrange(12)}") for i in range(50)]
-        keys, ids, want = set(), set(), []
-        for post_id, _, _, pid, key in rows:
-            if key in keys or (pid and pid in ids):
-                continue
-            keys.add(key)
-            ids.add(pid)
-            want.append(post_id)
-        df = spark.createDataFrame(rows, "post_id string, captured_at int, platform string, platform_post_id string, idempotency_key string")
-        got = sorted(r["post_id"] for r in DD.first_captures_by_either_key(df.repartition(5)).collect())
-        assert got == want
+        rows = [(f"{i:03}", i, "x", rnd.choice(["", None, *"abcdefgh"]), rnd.choice([None, *(f"k{j}" for j in range(12))])) for i in range(50)]
+        got = sorted(r["post_id"] for r in DD.first_captures_by_either_key(spark.createDataFrame(rows, KEYED).repartition(5)).collect())
+        assert got == read_row_by_row(rows)
+
+
+def test_chains_of_both_keys_take_few_rounds(spark, monkeypatch):
+    calls = []
+    firsts = DD._firsts
+    monkeypatch.setattr(DD, "_firsts", lambda rows, key: calls.append(key) or firsts(rows, key))
+    # each row shares a key with the one before and the other key with the one after; two chains grow from
+    # one row, and the last one runs into rows that a hot key holds
+    rows = [(f"{i:03}", i, "x", f"b{i // 2}", f"a{(i + 1) // 2}") for i in range(150)]
+    rows += [(f"{i:03}", i, "x", f"a{(i - 149) // 2}", f"b{(i - 150) // 2}") for i in range(150, 200)]
+    rows += [(f"{i:03}", i, "x", "b74", f"c{i}") for i in range(200, 240)]
+    got = sorted(r["post_id"] for r in DD.first_captures_by_either_key(spark.createDataFrame(rows, KEYED).repartition(5)).collect())
+    assert got == read_row_by_row(rows)
+    assert len(calls) <= 2 * 4
 
 
 PAGE = """<html lang="en"><head><title>Harbour</title></head><body><p>outside
