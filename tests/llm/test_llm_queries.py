@@ -3,7 +3,10 @@
 import hashlib
 import os
 import sys
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 import public_tokenizers
@@ -11,12 +14,17 @@ import public_tokenizers
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import corpus_pipeline  # noqa: E402
 from oracle import compare, duck  # noqa: E402
+from test_chosen_path import brute_components  # noqa: E402
 from test_exact_dedup import brute as exact_brute  # noqa: E402
+from test_hash_tree import place  # noqa: E402
 from test_mixing import brute as mix_brute  # noqa: E402
 from test_jaccard_dedup import shingles  # noqa: E402
-from test_simhash_dedup import components  # noqa: E402
+from test_simhash_dedup import components, print_of  # noqa: E402
 from test_substring_dedup import brute as cut_brute  # noqa: E402
 
+from tokenizers import Tokenizer  # noqa: E402
+
+from postsignal.llm import hash_tree  # noqa: E402
 from postsignal.llm import queries as Q  # noqa: E402
 from postsignal.llm import quality  # noqa: E402
 
@@ -60,6 +68,82 @@ def test_queries_on_awkward_rows(spark, messy, messy_dir):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def rows_of(spark, name, *columns):
+    return Counter(map(tuple, Q.QUERIES[name](spark, SF_DIR).select(*columns).collect()))
+
+
+def test_op2_equals_brute_force(spark, documents):
+    prints = {i: print_of(t) for i, t in documents}
+    root = components(set(prints.values()), lambda x, y: (x ^ y).bit_count() <= 4)
+    least = {}
+    for i, p in prints.items():
+        least[root[p]] = min(i, least.get(root[p], i))
+    want = Counter((i, f"{p:016x}", least[root[p]]) for i, p in prints.items())
+    assert rows_of(spark, "op2_simhash_dedup", "doc_id", "fingerprint", "component_id") == want
+
+
+def test_op3_equals_brute_force(spark, documents):
+    want = Counter((i, n, m, hashlib.sha256(k.encode()).hexdigest()) for i, n, m, k in cut_brute(documents))
+    assert rows_of(spark, "op3_substring_dedup", "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_op4_equals_brute_force(spark, documents):
+    root = hash_tree.tree([1.0] * 16)
+    grown = hash_tree.grown(root)
+    raw = [(str(i), i, t.encode()) for i, t in documents]
+    want = Counter((i, len(b) + 1, zlib.crc32(b), "key", place(k, root), place(k, grown)) for k, i, b in raw)
+    assert rows_of(spark, "op4_hash_tree", "doc_id", "size", "text_crc32", "law", "shard", "grown_shard") == want
+    slots = rows_of(spark, "op4_hash_tree", "shard", "slot")
+    counts = Counter(place(k, root) for k, _, _ in raw)
+    assert slots == Counter((s, i) for s, n in counts.items() for i in range(n))
+
+
+def test_op7_ranks_held_out_documents(spark):
+    folder = "/root/testdata/sf0.01"  # the smallest tables have 60 pairs to rank and few rows to learn from: 0.70 there
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = Q.QUERIES["op7_quality"](spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    judged = [(r.score, good[r.doc_id]) for r in rows if r.held_out and good.get(r.doc_id) is not None]
+    pairs = [(a > b) + (a == b) / 2 for a, x in judged for b, y in judged if x > y]
+    assert sum(pairs) / len(pairs) > 0.9
+
+
+def test_op8_equals_the_library(spark, documents):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    counts = [(i, len(t.encode()), len(library.encode(t, add_special_tokens=False))) for i, t in documents]
+    assert rows_of(spark, "op8_token_counts", "doc_id", "n_bytes", "n_tokens", "over_limit") == Counter((*c, c[2] > 2048) for c in counts)
+
+
+def test_op9_finds_what_brute_force_finds(spark):
+    table = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").filter("embedding is not null").collect()
+    table = [(r.vec_id, v) for r in table for v in [np.array([np.nan if x is None else x for x in r.embedding], np.float64)] if np.isfinite(v).all() and v.any()]
+    ids, vectors = np.array([i for i, _ in table]), np.array([v for _, v in table])
+    norms = np.linalg.norm(vectors, axis=1)
+    got = {}
+    for r in Q.QUERIES["op9_hash_forest"](spark, SF_DIR).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        near = dict(zip(ids.tolist(), (vectors @ vectors[q] / (norms * norms[q])).tolist()))
+        del near[int(ids[q])]
+        best = sorted(near, key=lambda i: (-near[i], i))[:5]
+        answer = got.pop(int(ids[q]))
+        assert len(answer) == len(best) and np.allclose([s for _, s in answer], [near[i] for i, _ in answer], atol=1e-12)
+        hits, total = hits + len({i for i, _ in answer} & set(best)), total + len(best)
+    assert not got and hits >= 0.9 * total
+
+
+def test_op13_equals_brute_force(spark, documents):
+    want = Counter((i, n, c, i == c) for i, n, c in brute_components(documents, 3, 85))
+    assert rows_of(spark, "op13_chosen_path", "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def stages_by_hand(spark, folder):
     """The pipeline's rows (id, text, source) after each of its first four stages."""
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
