@@ -47,6 +47,24 @@ def test_search_equals_full_ranking(spark):
         assert [got[i][j + 1][1] for j in range(5)] == [pytest.approx(w[1], abs=1e-8) for w in want]
 
 
+def test_an_index_for_queries_holds_their_terms_alone(spark):
+    rnd = random.Random(8)
+    docs = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 300}" for _ in range(rnd.randrange(0, 40))) for _ in range(150)] + ["", "w1 w2", "w1 w2"]
+    queries = ["w1 w2 w3", "w5 w9 nowhere", "", docs[7]]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
+    index = S.build_index(d, queries=q)
+    asked = {t for x in queries for t in (x.split() + [f"{a} {b}" for a, b in zip(x.split(), x.split()[1:])])}
+    assert {r.term for r in index.impacts.postings.select("term").distinct().collect()} == asked & {t for x in docs for t in (x.split() + [f"{a} {b}" for a, b in zip(x.split(), x.split()[1:])])}
+    got = {}
+    for r in S.search(index, q, top_k=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["doc_id"], r["similarity"])
+    for i, query in enumerate(queries):
+        want = tfidf(docs, query, 5)
+        assert [got[i][j + 1][0] for j in range(5)] == [w[0] for w in want]
+        assert [got[i][j + 1][1] for j in range(5)] == [pytest.approx(w[1], abs=1e-8) for w in want]
+
+
 def test_style_examples_come_back_whole(spark):
     ex = spark.createDataFrame([(1, "gol maç", "t1"), (2, "hava", "t2")], "example_id int, text string, tone_tags string")
     q = spark.createDataFrame([(9, "gol")], "query_id int, text string")
