@@ -30,7 +30,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity from 0.8): the smallest id."""
+    """One document of each group of near copies: the smallest id.
+
+    SimHash values at most four bits apart and an index for looser copies give the pairs; exact sets of five-word
+    shingles confirm those of similarity from 0.8.
+    """
     return one_of_similar(docs).select(*docs.columns)
 
 

@@ -1,6 +1,11 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, over positional fingerprints.
+"""Near-duplicates by the Jaccard similarity of word shingles, over SimHash and positional fingerprints.
 
-A fingerprint has ``POSITIONS`` bytes; each is the top byte of a mix of the smallest value that one of as
+Two indexes give candidates. The first is that of ``simhash_dedup``: byte positions of the SimHash of a text's
+distinct shingles, tallied, up to four bits apart. Such pairs are nearly equal (similarity from about 0.96). A
+SimHash of 64 bits is blind to most of what lies between that and 0.8, so a second index of positional minima adds
+the rest. What links is decided by the exact sets alone, whichever index has brought a pair.
+
+A fingerprint of the second index has ``POSITIONS`` bytes; each is the top byte of a mix of the smallest value that one of as
 many permutations gives the shingles of a text. Two texts of similarity s share about that share of the
 bytes. The inverted index has one posting list for every ``TOGETHER`` neighbouring positions and their
 bytes. Pairs that meet in a list are tallied, pairs that share fewer bytes than five standard deviations
@@ -18,6 +23,7 @@ from pyspark.sql import functions as F
 
 from postsignal.llm import set_links
 from postsignal.llm.common import rows_of, stored
+from postsignal.llm.simhash_dedup import near_links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -37,6 +43,26 @@ def positional(hashes, a, b) -> bytes:
     return (set_links.minima(hashes, a, b) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
+def simhash(hashes) -> bytes:
+    """Eight bytes: the bits that more than half of the hashes have set."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
+
+
+def simhash_pairs(heads: DataFrame) -> DataFrame:
+    """(x, y): nodes whose SimHash values link, by a spanning forest of the values; equal ones with their smallest node."""
+    prints = heads.select("node", F.conv(F.hex("simhash"), 16, -10).cast("long").alias("bits"))
+    first = stored(prints.groupBy("bits").agg(F.min("node").alias("x")), "simhash-values")
+    links = stored(near_links(first.select("bits")).withColumnsRenamed({"x": "of_x", "y": "of_y"}), "simhash-links")
+    near = links.join(first.withColumnRenamed("bits", "of_x"), "of_x").join(first.withColumnsRenamed({"bits": "of_y", "x": "y"}), "of_y")
+    equal = prints.join(first, "bits").filter("node <> x").select("x", F.col("node").alias("y"))
+    return equal.union(near.select("x", "y"))
+
+
 def posting_lists(heads: DataFrame) -> DataFrame:
     """Written (key, node, n, leader): the lists that hold several nodes, with their length and smallest node."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i + 1, TOGETHER)) for i in range(0, POSITIONS, TOGETHER)])
@@ -54,7 +80,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     0.8; lower ones miss more pairs.
     """
     a, b = set_links.permutations(POSITIONS)
-    rows, heads = set_links.numbered(docs, words, {"sketch": "binary"}, lambda h: [positional(h, a, b)], doc_id, text)
+    rows, heads = set_links.numbered(docs, words, {"sketch": "binary", "simhash": "binary"}, lambda h: [positional(h, a, b), simhash(h)], doc_id, text)
     entries, fewest, percent = posting_lists(heads), least_shared(similarity), 100 * similarity - 1e-7
 
     def alike(p, q):
@@ -65,7 +91,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def sets(wanted):
         return set_links.sets_of(docs, heads, wanted, words, doc_id, text)
 
-    tried = set_links.leader_pairs(entries, heads, alike, percent)
+    near = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    tried = stored(simhash_pairs(heads).union(set_links.leader_pairs(entries, heads, alike, percent)).select(*near).distinct(), "tried-pairs")
     links = set_links.verified(tried, sets(set_links.nodes_in(tried)), percent)
     roots = set_links.rooted(heads, links)
     more = set_links.cross_links(entries.filter("n > 2"), heads, roots, sets, alike, percent)

@@ -41,6 +41,24 @@ def test_the_stage_drops_near_copies_of_one_or_two_words(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(root.values()))
 
 
+def test_simhash_alone_links_what_is_four_bits_apart(spark, monkeypatch):
+    """Without the index of minima, the stage's links are those of SimHash that the exact sets confirm."""
+    rnd, rows = random.Random(12), []
+    for k in range(40):
+        words = [f"w{rnd.randrange(50_000)}" for _ in range(600)]
+        copy = list(words)
+        copy[rnd.randrange(600)] = f"v{k}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    monkeypatch.setattr(set_links, "leader_pairs", lambda entries, nodes, *a: nodes.selectExpr("node x", "node y").limit(0))
+    monkeypatch.setattr(set_links, "cross_links", lambda entries, nodes, *a: nodes.selectExpr("node x", "node y").limit(0))
+    got = {r.doc_id: r.root for r in J.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bits = {i: int.from_bytes(J.simhash(set_links.shingle_hashes(set_links.words_of(t.encode()), 5)), "big") for i, t in rows}
+    texts = dict(rows)
+    root = components(texts, lambda x, y: (bits[x] ^ bits[y]).bit_count() <= 4 and alike(texts[x], texts[y]))
+    assert len(set(root.values())) <= 50
+    assert len(set(zip(got.values(), (root[i] for i in got)))) == len(set(root.values())) == len(set(got.values()))
+
+
 @pytest.mark.parametrize("chunk", [3, 512])
 def test_groups_equal_brute_force(spark, messy, monkeypatch, chunk):
     monkeypatch.setattr(set_links, "CHUNK", chunk)
