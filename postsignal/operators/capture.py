@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,20 +47,19 @@ def _scrub(value: object) -> object:
     return [_scrub(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf(T.StringType())
-def redact_json(payload: pd.Series) -> pd.Series:
-    """Replace the values of sensitive keys at any depth of a JSON text (sorted, compact)."""
+@F.udf(T.StringType(), useArrow=False)
+def redact_json(payload: str | None) -> str | None:
+    """Replace the values of sensitive keys at any depth of a JSON text (sorted, compact).
 
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        try:
-            clean = _scrub(json.loads(text))
-        except ValueError:
-            return None
-        return json.dumps(clean, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-
-    return payload.map(one)
+    Rows go to Python a hundred at a time, so a worker holds few payloads, however long or many they are.
+    """
+    if payload is None:
+        return None
+    try:
+        clean = _scrub(json.loads(payload))
+    except ValueError:
+        return None
+    return json.dumps(clean, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
 def redacted_payload(payload: Column) -> Column:

@@ -69,6 +69,13 @@ def test_redaction_at_any_depth(spark):
     assert [r["j"] for r in bad.collect()] == [None, None]
 
 
+def test_redaction_holds_few_payloads_in_python(spark):
+    """Payloads come row by row, not as a column of ten thousand: a plain function gets text, never a series."""
+    assert CP.redact_json.func('{"b": 1, "Auth-Token": "x"}') == '{"Auth-Token":"[redacted]","b":1}' and CP.redact_json.func("{") is None
+    rows = spark.range(300).select(F.concat(F.lit('{"csrf": 1, "n": '), F.col("id").cast("string"), F.lit("}")).alias("p"))
+    assert {r.j for r in rows.select(CP.redact_json("p").alias("j")).collect()} == {f'{{"csrf":"[redacted]","n":{i}}}' for i in range(300)}
+
+
 def test_only_suspect_payloads_are_rewritten(spark):
     rows = [('{"a" : 1}',), ('{"Set-Cookie": "x", "b": 2}',), ('{"co\\u006fkie": "x"}',), ("token but no json",), ("plain",), (None,)]
     out = spark.createDataFrame(rows, "payload string").coalesce(1).select(CP.redacted_payload(F.col("payload")).alias("j"))
