@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from postsignal.operators.fingerprints import components
 from postsignal.operators.ordered import range_chunks
-from postsignal.operators.rows import exploded
+from postsignal.operators.rows import exploded, join_keyed
 from postsignal.runtime import materialize
 
 
@@ -55,8 +55,8 @@ def with_sessions(spans: DataFrame, gap: int, keys: Sequence[str] = ("key",), ti
 
 def session_links(placed: DataFrame, node: str = "item") -> DataFrame:
     """(a, b): every node of a session with its smallest node."""
-    heads = materialize(placed.groupBy("key", "session").agg(F.min(node).alias("b")))
-    return placed.select("key", "session", F.col(node).alias("a")).join(heads, ["key", "session"]).select("a", "b").filter("a <> b")
+    heads = materialize(placed.groupBy("key", "session").agg(F.min(node).alias("b"), F.count(F.lit(1)).alias("n")))
+    return join_keyed(placed.select("key", "session", F.col(node).alias("a")), heads, ["key", "session"]).select("a", "b").filter("a <> b")
 
 
 def event_clusters(posts: DataFrame, item: str, keys: Column, at: Column, gap: int) -> DataFrame:
@@ -74,13 +74,15 @@ def cluster_facts(members: DataFrame, source: str, at: str, hour: int = 3600) ->
 
     ``velocity`` is posts per hour over the span, at least an hour; ``peak`` the most posts of a clock hour;
     ``acceleration`` the posts of the second half of the span less those of the first, over all. Everything
-    is counted in combinable sums, first by (cluster, source, clock hour), so a huge cluster is many rows.
+    is counted in combinable sums, first by (cluster, source, clock hour), so a huge cluster is many rows, and
+    the posts of a huge cluster get its span where they are.
     """
-    span = members.groupBy("cluster_id").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+    members = materialize(members.select("cluster_id", source, at))
+    span = members.groupBy("cluster_id").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count(F.lit(1)).alias("n"))
     span = materialize(span)
     late = (F.col(at) * 2 > F.col("first_at") + F.col("last_at")).cast("long")
     early = (F.col(at) * 2 < F.col("first_at") + F.col("last_at")).cast("long")
-    cells = members.join(span, "cluster_id").groupBy("cluster_id", source, F.floor(F.col(at) / hour).alias("_hour")).agg(
+    cells = join_keyed(members, span, ["cluster_id"]).groupBy("cluster_id", source, F.floor(F.col(at) / hour).alias("_hour")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(late - early).alias("turn"), F.first("first_at").alias("first_at"), F.first("last_at").alias("last_at")
     )
     cells = materialize(cells)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsignal.functions.ids import hamming
-from postsignal.operators.rows import exploded
+from postsignal.operators.rows import exploded, join_keyed
 from postsignal.runtime import materialize, written
 
 BITS = 64
@@ -142,9 +142,9 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         else:
             near = both.filter("v < u")
             keep = F.lit(True)
-        # written, so that the edges of a root with very many can be split in the join
-        least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        linked = near.filter(keep).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # counted, so that the edges of a root with very many stay spread in the join
+        least = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        linked = join_keyed(near.filter(keep), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             linked = linked.union(least.select("u", F.col("m").alias("v")))
         return linked.filter("u <> v").distinct()
@@ -156,7 +156,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     current = materialize(edges.select(F.col(left).alias("u"), F.col(right).alias("v")).filter("u <> v").distinct())
     state = fingerprint(current)
     while state[0]:
-        current = materialize(star(star(current, large=True), large=False))
+        # each step reads its edges several times: both are written
+        current = materialize(star(materialize(star(current, large=True)), large=False))
         after = fingerprint(current)
         if after == state:
             break

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from postsignal.operators import event_clusters as EC
+from postsignal.operators import fingerprints as FP
 from postsignal.operators import ordered
+from postsignal.operators import rows as RW
 from postsignal.streaming import clusters as SC
 
 SCHEMA = "item long, keys array<string>, at long, source string"
@@ -88,3 +90,42 @@ def test_stream_equals_batch(spark, tmp_path, order):
     got = SC.read_clusters(spark, folder)
     assert {r.item: r.cluster_id for r in got.collect()} == brute(rows, gap)
     assert got.count() == len(rows)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_rows_of_a_hot_key_stay_spread(spark, how):
+    """A join by key alone would put the 4,000 rows of the hot key into one task."""
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 7).alias("k")).repartition(8).localCheckpoint()
+    facts = rows.filter("k <> 5").groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).localCheckpoint()
+    got = RW.join_keyed(rows, facts, ["k"], how=how, hot=1000)
+    largest = max(got.groupBy(F.spark_partition_id()).count().collect(), key=lambda r: r["count"])["count"]
+    assert largest < 1500
+    want = rows.join(facts.drop("n"), ["k"], how)
+    assert sorted(map(str, got.select("id", "k", "least").collect())) == sorted(map(str, want.select("id", "k", "least").collect()))
+
+
+def test_huge_clusters_take_the_spread_join(spark, monkeypatch, tmp_path):
+    """Links, components, facts and the stream's names, with every key of more than three rows as a hot one."""
+    gap, rows, hot = 90, random_rows(3), []
+    plain = RW.join_keyed
+
+    def low(*args, **kwargs):
+        hot.append(args[1].filter("n > 3").count())
+        return plain(*args, **kwargs, hot=3)
+
+    for module in (EC, FP, SC):
+        monkeypatch.setattr(module, "join_keyed", low)
+    posts = spark.createDataFrame(rows, SCHEMA)
+    found = EC.event_clusters(posts, "item", F.col("keys"), F.col("at"), gap)
+    assert {r.item: r.cluster_id for r in found.collect()} == brute(rows, gap)
+    facts = EC.cluster_facts(found.join(posts, "item"), "source", "at")
+    times = {}
+    for item, root in brute(rows, gap).items():
+        times.setdefault(root, []).append(rows[item][2])
+    want = {root: (len(at), min((t for t in at if t is not None), default=None)) for root, at in times.items()}
+    assert {r.cluster_id: (r.posts, r.first_at) for r in facts.collect()} == want
+    folder = str(tmp_path / "state")
+    for batch in range(3):
+        SC.store_posts(spark.createDataFrame(rows[batch::3], SCHEMA), batch, folder, "item", F.col("keys"), F.col("at"), gap, ("source",))
+    assert {r.item: r.cluster_id for r in SC.read_clusters(spark, folder).collect()} == brute(rows, gap)
+    assert max(hot) > 0
