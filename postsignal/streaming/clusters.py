@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postsignal.operators.event_clusters import keyed_posts, session_links, with_sessions
 from postsignal.operators.fingerprints import components
+from postsignal.operators.rows import join_keyed
 from postsignal.runtime import materialize
 from postsignal.sources.sinks import read_table, write_batch
 from postsignal.streaming.capture import KEY_BUCKETS
@@ -69,4 +70,6 @@ def read_clusters(spark: SparkSession, folder: str) -> DataFrame:
     members = read_table(spark, folder, "cluster_members")
     merges = read_table(spark, folder, "cluster_merges")
     roots = components(merges.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cluster_id")
-    return members.drop("batch_id").join(roots, "cluster_id", "left").withColumn("cluster_id", F.coalesce("root", "cluster_id")).drop("root")
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    names = materialize(roots.join(sizes, "cluster_id"))
+    return join_keyed(members.drop("batch_id"), names, ["cluster_id"], how="left").withColumn("cluster_id", F.coalesce("root", "cluster_id")).drop("root")
