@@ -11,8 +11,9 @@ from postsignal.operators import evaluation as E
 from postsignal.operators import learning as L
 from postsignal.operators import ordered as O
 from postsignal.operators import retention as RT
+from postsignal.operators.rows import exploded
 from postsignal.operators.samples import uniform
-from postsignal.operators.similarity import term_counts, word_terms
+from postsignal.operators.similarity import word_terms
 from postsignal.policies import DataClass, LifecyclePolicy
 from postsignal.runtime import written
 from postsignal.sources import adapters as A
@@ -24,20 +25,32 @@ def _held_out(doc_id="doc_id"):
     return uniform(F.col(doc_id), 11) < HELD
 
 
-def bayes_quality(spark, sf):
-    """Probability of quality 1 for every document, from the words of the labelled ones."""
-    docs = A.text_table(spark, sf, "documents").select("doc_id", "text")
-    counts = written(term_counts(docs, "doc_id", "text", word_terms).withColumnRenamed("doc_id", "doc"), "word-counts")
+def _words(docs, *keep):
+    """Every word of ``docs`` (doc, text) as a row; the sums of the classifier need no counts by document."""
+    return exploded(docs, word_terms(F.col("text")), "term", "doc", *keep).withColumn("tf", F.lit(1).cast("long"))
+
+
+def _quality(spark, sf, only=None):
+    """Probability of quality 1, from the words of the labelled documents; of all documents, or those in ``only`` (doc)."""
+    docs = A.text_table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
     labels = A.table(spark, sf, "labels").filter(~_held_out()).select(F.col("doc_id").alias("doc"), F.col("quality").alias("label"))
-    found = B.posteriors(B.fit(counts, labels), counts, docs.select(F.col("doc_id").alias("doc"))).filter("label = 1")
+    model = B.fit(_words(docs.filter(~_held_out("doc")).join(labels, "doc"), "label"), labels)
+    scored = docs if only is None else docs.join(only, "doc", "left_semi")
+    found = B.posteriors(model, _words(scored), scored.select("doc")).filter("label = 1")
     p = F.round("probability", 6)
     return found.select(F.col("doc").alias("doc_id"), p.alias("probability"), (p >= 0.5).cast("long").alias("predicted"), _held_out("doc").alias("held_out"))
 
 
+def bayes_quality(spark, sf):
+    """Probability of quality 1 for every document, from the words of the labelled ones."""
+    return _quality(spark, sf)
+
+
 def _tested(spark, sf):
-    labels = A.table(spark, sf, "labels").select("doc_id", "quality")
+    """The labelled documents that the classifier has not learned from; only these are scored."""
+    labels = A.table(spark, sf, "labels").select("doc_id", "quality").filter(_held_out())
     langs = A.table(spark, sf, "documents").select("doc_id", "lang")
-    return bayes_quality(spark, sf).filter("held_out").join(labels, "doc_id").join(langs, "doc_id")
+    return _quality(spark, sf, labels.select(F.col("doc_id").alias("doc"))).join(labels, "doc_id").join(langs, "doc_id")
 
 
 def bayes_calibration(spark, sf):

@@ -35,6 +35,23 @@ def test_bayes_equals_the_formula(spark):
             assert got[d, x] == pytest.approx(math.exp(logs[x] - max(logs.values())) / total)
 
 
+@pytest.mark.parametrize("sent", [300_000, 3, 1])
+def test_bayes_takes_occurrences_that_bring_their_label(spark, monkeypatch, sent):
+    """A row for each occurrence gives what counted terms give, however many terms are sent to the tasks."""
+    rnd = random.Random(4)
+    texts = {i: rnd.choices(["the", "the", f"w{rnd.randrange(9)}", f"x{i % 2}"], k=rnd.randrange(1, 9)) for i in range(40)}
+    label = {i: i % 2 for i in range(30)}
+    counted = spark.createDataFrame([(d, t, n) for d, c in texts.items() for t, n in Counter(c).items()], "doc int, term string, tf long")
+    single = spark.createDataFrame([(d, t, 1, label.get(d)) for d, c in texts.items() for t in c], "doc int, term string, tf long, label int")
+    labels, docs = spark.createDataFrame(list(label.items()), "doc int, label int"), spark.createDataFrame([(d,) for d in texts], "doc int")
+    want = {(r.doc, r.label): r.probability for r in B.posteriors(B.fit(counted, labels), counted, docs).collect()}
+    monkeypatch.setattr(B, "SENT_TERMS", sent)
+    got = {(r.doc, r.label): r.probability for r in B.posteriors(B.fit(single, labels), single.drop("label"), docs).collect()}
+    assert got == pytest.approx(want) and len(got) == 80
+    none = B.fit(counted, labels.limit(0))
+    assert B.posteriors(none, counted, docs).count() == 0
+
+
 def test_ranking_metrics_with_ties_and_a_hot_query(spark):
     rnd = random.Random(2)
     rows = [("hot", i, float(rnd.randrange(5)), rnd.choice([0, 0, 0, 1, 2])) for i in range(900)]
