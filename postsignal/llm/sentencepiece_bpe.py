@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Sequence
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ class Vocabulary:
         plain = [i for i in range(size) if i not in special and not processor.is_byte(i)]
         self.ids = {processor.id_to_piece(i): i for i in plain}
         self.scores = {piece: processor.get_score(i) for piece, i in self.ids.items()}
-        self.found_in, self.together = None, {}
+        self.found_in, self.together, self.shorter = None, {}, {}
         longer = [p for p in self.ids if len(p) > 1]
         # neighbouring characters that some piece holds together
         self.inside = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
@@ -81,13 +82,17 @@ class Vocabulary:
         return parts
 
     def matches(self):
-        """Finds the pieces of two characters or more that come back when merged anew."""
+        """Finds the pieces of two characters or more that come back when merged anew.
+
+        Also notes for each of them the next shorter one that it starts with, its first character if there is none.
+        """
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            if len(piece) > 1 and len(self.merged(piece)) == 1:
-                automaton.add_word(piece, piece)
+        whole = {piece for piece in self.ids if len(piece) > 1 and len(self.merged(piece)) == 1}
+        for piece in whole:
+            automaton.add_word(piece, (len(piece) - 1, piece))
+            self.shorter[piece] = next((piece[:i] for i in range(len(piece) - 1, 1, -1) if piece[:i] in whole), piece[0])
         automaton.make_automaton()
         return automaton.iter
 
@@ -100,61 +105,53 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """The encoding of a part, by backtracking."""
-        n, starts, together = len(text), {}, self.together
+        n, together, shorter = len(text), self.together.get, self.shorter.get
         self.found_in = self.found_in or self.matches()
-        for end, piece in self.found_in(text):
-            # ends rise, so the longest piece of a start is the last of its list
-            starts.setdefault(end + 1 - len(piece), []).append(piece)
+        # ends rise, so the longest piece of a start is the last one; all others there are what it starts with
+        longest = {end - before: piece for end, (before, piece) in self.found_in(text)}.get
         failed = bytearray(n + 1)
-        taken, tried = [], []
+        taken = []
         at, last = 0, None
-        options = starts.get(0, ())
-        turn = len(options) - 1
         while at < n:
-            while turn >= -1:  # -1: the single character, the last resort
-                piece = options[turn] if turn >= 0 else text[at]
-                end = at + len(piece)
-                if not failed[end]:
-                    if last is None:
-                        break
-                    known = together.get((last, piece))
-                    if known is None:
-                        known = self.fits(last, piece)
-                    if known:
-                        break
-                turn -= 1
-            if turn >= -1:
-                taken.append(piece)
-                tried.append(turn)
-                at, last = end, piece
-                options = starts.get(at, ())
-                turn = len(options) - 1
-            else:
+            piece = longest(at) or text[at]
+            while True:
+                while piece is not None:
+                    end = at + len(piece)
+                    if not failed[end]:
+                        if last is None:
+                            break
+                        known = together((last, piece))
+                        if known is None:
+                            known = self.fits(last, piece)
+                        if known:
+                            break
+                    piece = shorter(piece)  # after the single character, the last resort, none
+                if piece is not None:
+                    break
                 failed[at] = 1
-                at -= len(taken.pop())
-                turn = tried.pop() - 1
+                piece = taken.pop()
+                at -= len(piece)
                 last = taken[-1] if taken else None
-                options = starts.get(at, ())
+                piece = shorter(piece)
+            taken.append(piece)
+            at, last = end, piece
         return taken
 
     def packed(self, text: str) -> bytes:
         """Ids of a part as 32-bit integers."""
-        ids = []
-        for piece in self.pieces(text):
-            known = self.ids.get(piece)
-            ids += [known] if known is not None else [self.bytes_at + b for b in piece.encode()]
+        pieces = self.pieces(text)
+        ids = [*map(self.ids.get, pieces)]
+        if None in ids:
+            ids = [i for piece, known in zip(pieces, ids) for i in ([known] if known is not None else [self.bytes_at + b for b in piece.encode()])]
         return array("i", ids).tobytes()
 
     def joined(self, text: str) -> bytes:
         """Ids of a word, cut where no piece reaches across."""
-        inside, parts, at = self.inside, [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in inside:
-                parts.append(text[at:i])
-                at = i
-        if not at:
+        inside = self.inside
+        if inside.issuperset(map(add, text, text[1:])):
             return self.packed(text)
-        return b"".join(map(self.bare.__getitem__, [*parts, text[at:]]))
+        cuts = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inside]
+        return b"".join([self.bare[text[a:b]] for a, b in zip([0, *cuts], [*cuts, None])])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit integers, without an end id."""

@@ -72,3 +72,14 @@ def test_rows(spark, messy, none, library):
     assert B.decode_ids(B.encode_texts(none, PATH), PATH).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in B.decode_ids(nulls, PATH).collect()} == {1: None, 2: ""}
+
+
+def test_shorter_pieces_are_what_the_longest_one_starts_with(words):
+    """From the longest piece at a place down to the character, nothing that comes back when merged anew is left out."""
+    words.pieces("▁xthex")
+    for piece in [p for p in words.ids if len(p) > 1 and words.merged(p) == [p]][::40]:
+        chain = [piece]
+        while (last := words.shorter.get(chain[-1])) is not None:
+            chain.append(last)
+        starts = [piece[:n] for n in range(len(piece), 0, -1)]
+        assert chain == [p for p in starts if len(p) == 1 or (p in words.ids and words.merged(p) == [p])]
