@@ -200,6 +200,8 @@ def cluster(fingerprints: DataFrame, item: str = "item", threshold: int = 8, blo
     ``fingerprints`` holds (item, algorithm, bits). Items with equal fingerprints are joined
     through the fingerprint itself.
     """
+    # read for the heads and again for the result: texts are fingerprinted once
+    fingerprints = written(fingerprints.select(item, "algorithm", "bits"), "fingerprints")
     # lowest item per distinct fingerprint stands for all its copies
     heads = materialize(fingerprints.groupBy("algorithm", "bits").agg(F.min(item).alias("head")))
     pairs = spanning_links(heads, threshold, blocks)

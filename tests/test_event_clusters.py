@@ -129,3 +129,16 @@ def test_huge_clusters_take_the_spread_join(spark, monkeypatch, tmp_path):
         SC.store_posts(spark.createDataFrame(rows[batch::3], SCHEMA), batch, folder, "item", F.col("keys"), F.col("at"), gap, ("source",))
     assert {r.item: r.cluster_id for r in SC.read_clusters(spark, folder).collect()} == brute(rows, gap)
     assert max(hot) > 0
+
+
+def test_texts_are_fingerprinted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def costly(item):
+        seen.add(1)
+        return item // 2
+
+    rows = spark.range(100).select(F.col("id").alias("item"), F.lit("a").alias("algorithm"), F.udf(costly, "long")("id").alias("bits"))
+    got = FP.cluster(rows, threshold=0, blocks=2)
+    assert {r.item: r.cluster_id for r in got.collect()} == {i: i // 2 * 2 for i in range(100)}
+    assert seen.value == 100
