@@ -11,7 +11,7 @@ from postsignal.operators import event_clusters as EC
 from postsignal.operators import graph_features as G
 from postsignal.operators import rolling as R
 from postsignal.operators import samples as SM
-from postsignal.runtime import scratch_folder
+from postsignal.runtime import scratch_folder, written
 from postsignal.sources import adapters as A
 from postsignal.streaming import clusters as SC
 
@@ -111,7 +111,7 @@ def _edges(spark, sf):
 
 def walk_ranks(spark, sf):
     """Random walks with restart from some users, and from some numbers."""
-    edges = _edges(spark, sf)
+    edges = written(_edges(spark, sf), "edges")
     users = edges.select(F.col("src").alias("node")).distinct().filter("node like 'u%0'").select(F.lit("users").alias("walk"), "node", F.lit(1.0).alias("weight"))
     numbers = edges.select(F.col("dst").alias("node")).distinct().filter("node like 'k_'").select(F.lit("numbers").alias("walk"), "node", F.lit(1.0).alias("weight"))
     ranks = G.personalized_pagerank(edges, users.unionByName(numbers), damping=0.5, tolerance=1e-9)

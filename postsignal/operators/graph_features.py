@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 
 from postsignal.runtime import written
 
+#: Walks whose flows are columns of one table.
+WALKS = 8
+
+#: Edges of a node in one row of the transitions.
+EDGES = 1024
+
 
 def decayed_edges(
     links: DataFrame, src: Column, dst: Column, kind: Column, age: Column, half_life: float, kind_weights: Mapping[str, float] | None = None
@@ -57,6 +63,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
+def _numbered_walks(given: DataFrame) -> tuple[DataFrame, int]:
+    """(walk, block, slot) of every walk, ``WALKS`` of them to a block, and the number of walks."""
+    walks = written(given.select("walk").distinct(), "walks")
+    n = walks.count()
+    # numbers run on within a partition; only beyond a hundred thousand names are there several
+    numbers = walks.repartition(1 + n // 100_000).select("walk", F.monotonically_increasing_id().alias("_n"))
+    return written(numbers.select("walk", F.floor(F.col("_n") / WALKS).alias("block"), (F.col("_n") % WALKS).cast("int").alias("slot")), "numbered-walks"), n
+
+
+def _transitions(moves: DataFrame, nodes: DataFrame, damping: float) -> DataFrame:
+    """(src, dsts, shares): the edges of a node by number, at most about ``EDGES`` of them in a row."""
+    known = moves.join(nodes.select(F.col("node").alias("src"), F.col("id").alias("_s")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("_d")), "dst")
+    known = written(known.select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "weight"), "numbered-moves")
+    out = known.groupBy("src").agg(F.sum("weight").alias("out"), F.ceil(F.count(F.lit(1)) / EDGES).alias("parts"))
+    share = F.struct("dst", (damping * F.col("weight") / F.col("out")).alias("share"))
+    rows = known.join(out, "src").groupBy("src", F.pmod(F.xxhash64("dst"), F.col("parts")).alias("part")).agg(F.collect_list(share).alias("to"))
+    return written(rows.select("src", F.col("to.dst").alias("dsts"), F.col("to.share").alias("shares")), "transitions")
+
+
 def personalized_pagerank(
     edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 200, steps: int = 6
 ) -> DataFrame:
@@ -68,34 +93,47 @@ def personalized_pagerank(
     it always returns. Ranks of a walk sum to one; nodes it cannot reach have no row.
 
     Both returns lead to the seeds alike, so the ranks are in proportion to the visits of a walk that is
-    never sent back: the sum over all lengths of the damped flow. Flow moves along the edges and a loop at
-    each node keeps what has passed, so a step is one join and one sum. Every ``steps`` steps the table is
-    written; it ends when what still moves can change no walk by more than ``tolerance`` of its sum, or after
-    ``rounds`` steps. Only that share reaches the driver.
+    never sent back: the sum over all lengths of the damped flow. A step adds the seeds to the flow along the
+    edges, so it is one join and one sum. Nodes are numbers, the edges of a node are a few rows of arrays and
+    the flows of ``WALKS`` walks are columns: a step joins and sorts a row for each node, and makes a row for each edge, not
+    for each edge and walk. Every ``steps`` steps the table is written; it ends when what still moves can change no walk
+    by more than ``tolerance`` of its sum, or after ``rounds`` steps. Only that share reaches the driver.
     """
-    moves = edges.filter("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    moves = written(moves, "moves")
+    moves = written(edges.filter("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "moves")
     given = written(seeds.filter("weight > 0").groupBy("walk", "node").agg(F.sum("weight").alias("weight")), "seeds")
+    ends = moves.select(F.col("src").alias("node"), F.lit(True).alias("leaves")).union(moves.select("dst", F.lit(False))).union(given.select("node", F.lit(False)))
+    nodes = ends.groupBy("node").agg(F.max("leaves").alias("leaves")).filter("node is not null")
+    nodes = written(nodes.select("node", "leaves", F.monotonically_increasing_id().alias("id")), "nodes")
+    transitions = _transitions(moves, nodes, damping)
+    numbers, n = _numbered_walks(given)
+    flows = [f"f{i}" for i in range(max(1, min(n, WALKS)))]
+    keys = ["block", "id"] if n > WALKS else ["id"]
     whole = given.groupBy("walk").agg(F.sum("weight").alias("whole"))
-    nodes = moves.select(F.col("src").alias("node")).union(moves.select("dst")).union(given.select("node")).distinct()
-    out = moves.groupBy("src").agg(F.sum("weight").alias("out"))
-    shares = moves.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("out")).alias("share"), F.lit(False).alias("keeps"))
-    loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("keeps"))
-    moves = written(shares.union(loops), "transitions")
-    visits = given.join(whole, "walk").select("walk", "node", (F.col("weight") / F.col("whole")).alias("flow"), F.lit(0.0).alias("passed"))
+    start = given.join(whole, "walk").join(numbers, "walk").join(nodes, "node").withColumn("_w", F.col("weight") / F.col("whole"))
+    home = written(start.groupBy(*keys).agg(*[F.sum(F.when(F.col("slot") == i, F.col("_w")).otherwise(0.0)).alias(f) for i, f in enumerate(flows)]), "home")
 
     def step(visits: DataFrame) -> DataFrame:
-        met = visits.withColumnRenamed("node", "src").join(moves, "src")
-        return met.groupBy("walk", F.col("dst").alias("node")).agg(
-            F.sum(F.col("flow") * F.col("share")).alias("flow"), F.sum(F.when(F.col("keeps"), F.col("flow") + F.col("passed")).otherwise(0.0)).alias("passed")
-        )
+        met = visits.withColumnRenamed("id", "src").join(transitions, "src").select(*keys[:-1], *flows, "shares", F.posexplode("dsts").alias("_i", "id"))
+        moved = met.select(*keys, *[(F.col(f) * F.get("shares", F.col("_i"))).alias(f) for f in flows])
+        return moved.unionByName(home).groupBy(*keys).agg(*[F.sum(f).alias(f) for f in flows])
+
+    def moving(visits: DataFrame) -> float | None:
+        """The largest share of a walk that would flow in the next step: what leaves its nodes, less what came from others."""
+        stays = F.when(F.col("leaves"), 1.0 - damping).otherwise(1.0)
+        sums = visits.join(nodes, "id").groupBy(*keys[:-1]).agg(*[(F.when(F.sum(f) > 0, 1.0 - F.sum(F.col(f) * stays)) / F.sum(f)).alias(f) for f in flows])
+        return sums.select(F.array_max(F.array(*flows)).alias("left")).agg(F.max("left")).first()[0]
 
+    visits = home
     for _ in range(-(-rounds // steps)):
         for _ in range(steps):
             visits = step(visits)
         visits = written(visits, "visits")
-        left = visits.groupBy("walk").agg((F.sum("flow") / F.sum("passed")).alias("left")).agg(F.max("left")).first()[0]
+        left = moving(visits)
         if left is None or 2 * left / (1 - damping) <= tolerance:
             break
-    total = visits.groupBy("walk").agg(F.sum(F.col("flow") + F.col("passed")).alias("total"))
-    return visits.join(total, "walk").select("walk", "node", ((F.col("flow") + F.col("passed")) / F.col("total")).alias("rank")).filter("rank > 0")
+    block = F.col("block") if n > WALKS else F.lit(0)
+    each = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f).alias("visits")) for i, f in enumerate(flows)])
+    ranks = visits.select("id", block.cast("long").alias("block"), F.explode(each).alias("_e")).select("id", "block", "_e.*").filter("visits > 0")
+    total = ranks.groupBy("block", "slot").agg(F.sum("visits").alias("total"))
+    named = ranks.join(total.join(numbers, ["block", "slot"]), ["block", "slot"]).join(nodes, "id")
+    return named.select("walk", "node", (F.col("visits") / F.col("total")).alias("rank")).filter("rank > 0")

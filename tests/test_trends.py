@@ -158,6 +158,25 @@ def test_pagerank_with_a_hot_node_and_dead_ends(spark):
     assert "lost" not in got["one"]
 
 
+def test_pagerank_joins_a_row_per_node_not_per_edge_and_walk(spark, monkeypatch):
+    """Twenty walks over a hub of 3,000 edges: three blocks of walks, and a step's tables are as long as the nodes."""
+    edges = [("hub", f"n{i}", 1.0 + i % 3) for i in range(3000)] + [(f"n{i}", "hub", 1.0) for i in range(0, 3000, 2)]
+    seeds = {f"w{i}": {f"n{i}": 1.0, f"n{i + 1}": 2.0} for i in range(20)}
+    kept, written = {}, G.written
+    monkeypatch.setattr(G, "written", lambda df, name: kept.setdefault(name, []).append(written(df, name)) or kept[name][-1])
+    table = spark.createDataFrame(edges, "src string, dst string, weight double")
+    given = spark.createDataFrame([(w, n, x) for w, s in seeds.items() for n, x in s.items()], "walk string, node string, weight double")
+    got = {}
+    for r in G.personalized_pagerank(table, given, damping=0.5).collect():
+        got.setdefault(r.walk, {})[r.node] = r.rank
+    for walk in ("w0", "w7", "w8", "w19"):
+        assert got[walk] == pytest.approx({n: x for n, x in pagerank(edges, seeds[walk], 0.5).items() if x > 0}, abs=1e-8)
+    assert len(got) == 20
+    # 1,501 nodes have edges, the hub some rows of them; before, a row for each of 4,500 edges and 3,001 nodes
+    assert kept["transitions"][0].count() < 1520
+    assert kept["visits"][-1].count() <= 3 * 3001
+
+
 def test_metapaths_and_degrees(spark):
     edges = [("a", "x", "likes", 1.0), ("a", "y", "likes", 2.0), ("b", "x", "likes", 1.0), ("x", "p", "in", 3.0), ("x", "q", "in", 1.0), ("y", "p", "in", 0.5), ("a", "p", "in", 9.0)]
     table = spark.createDataFrame(edges, "src string, dst string, kind string, weight double")
