@@ -26,11 +26,13 @@ def audit_rows(rows: DataFrame, action: str, entity_type: str, entity_id: str, d
 def capture_tables(posts: DataFrame) -> dict[str, DataFrame]:
     """The four tables a set of accepted, deduplicated posts is stored as.
 
-    A ``payload`` column is stored as ``raw_payload`` with the values of sensitive keys replaced.
+    A ``payload`` column is stored as ``raw_payload`` with the values of sensitive keys replaced. Posts that have
+    ``raw_payload`` and ``correlation_id`` already keep them.
     """
-    raw = F.col("payload") if "payload" in posts.columns else F.lit(None).cast("string")
-    digest = F.col("idempotency_key")
-    posts = posts.withColumn("correlation_id", correlation_id(raw, digest)).withColumn("raw_payload", redacted_payload(raw)).drop("payload")
+    if "raw_payload" not in posts.columns:
+        raw = F.col("payload") if "payload" in posts.columns else F.lit(None).cast("string")
+        digest = F.col("idempotency_key")
+        posts = posts.withColumn("correlation_id", correlation_id(raw, digest)).withColumn("raw_payload", redacted_payload(raw)).drop("payload")
     items = exploded(
         posts.withColumn("created_at", F.col("captured_at")), F.col("media"), "_m", "post_id", "created_at", position="position"
     )

@@ -80,6 +80,30 @@ def test_repeating_a_batch_changes_nothing(spark, tmp_path):
     assert {r["batch_id"] for r in posts} == {0}
 
 
+def test_a_batch_is_read_by_splits_not_from_cached_blocks(spark, tmp_path, monkeypatch):
+    """Stored tables read files, of which a task gets a split, and these hold no secrets and go with the batch."""
+    plans, staged, write = {}, [], CS.write_batch
+
+    def seen(tables, folder, batch):
+        plans.update({name: rows._jdf.queryExecution().toString() for name, rows in tables.items()})
+        for rows in tables.values():
+            staged.extend(f for f in rows.inputFiles() if f not in staged)
+        texts = [str(r) for f in staged for r in spark.read.parquet(f).collect()]
+        assert len(texts) > 5 and not any("hush" in t for t in texts)
+        write(tables, folder, batch)
+
+    monkeypatch.setattr(CS, "write_batch", seen)
+    rows = [(payload(i % 4, token="hush", url=f"https://{'bad.example' if i == 5 else 'x.com'}/a/{i}"), datetime(2024, 1, 1 + i)) for i in range(8)]
+    rows += [(payload(20, text="y" * 2_000, token="hush"), datetime(2024, 1, 1)), ('{"token": "hush"', datetime(2024, 1, 2)), (None, datetime(2024, 1, 3))]
+    out = str(tmp_path)
+    CS.store_batch(spark.createDataFrame(rows, "payload string, captured_at timestamp"), 0, out, CapturePolicy(max_payload_bytes=1_000))
+    assert set(plans) == {"captured_posts", "media_assets", "capture_inbox", "audit_log", "quarantine"}
+    assert not any("InMemoryRelation" in plan or "BatchEvalPython" in plan for plan in plans.values())
+    assert not any((tmp_path / f.removeprefix("file://")).exists() for f in staged)
+    assert SK.read_table(spark, out, "captured_posts").count() == 4
+    assert sorted(r["errors"][0] for r in SK.read_table(spark, out, "quarantine").collect()) == ["payload_too_large", "url_not_accepted", "url_not_accepted"]
+
+
 def _write_batches(spark, tmp_path, rows, schema, parts=4):
     folder = str(tmp_path / "in")
     for i in range(parts):
