@@ -164,3 +164,26 @@ def test_a_hot_phrase_makes_no_square(spark, monkeypatch):
     assert kept["met"].count() < 20 * 600
     assert all(got[1600 + i] == 80.0 for i in range(500)) and all(got[1000 + i] == 0.0 for i in range(500))
     assert got[5000] > 0 and sum(got[i] > 0 for i in range(600)) < 30
+
+
+def test_few_texts_of_an_author_need_no_row_for_a_shingle(spark, monkeypatch):
+    """Stretches of few, of many and of either number of texts give the same scores; few are met without an index."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    rows, last = [], words[:12]
+    for i in range(300):
+        last = [rnd.choice(words) if rnd.random() < 0.15 else w for w in last] + ([] if rnd.random() < 0.9 else ["more"])
+        rows.append((i, f"a{i % 3}", i, " ".join(last)))
+    df = spark.createDataFrame(rows, "post_id int, author_handle string, ordinal int, text string").repartition(5)
+    found, kept, written = {}, {}, N.written
+    for few in (0, 12, 64):
+        kept[few] = []
+        monkeypatch.setattr(N, "FEW_SETS", few)
+        monkeypatch.setattr(N, "written", lambda df, name: kept[few].append(name) or written(df, name))
+        found[few] = {r["post_id"]: r["fatigue_score"] for r in N.fatigue(df, window=50).collect()}
+    sets = [(a, at, set(zip(t.split(), t.split()[1:]))) for _, a, at, t in rows]
+    for i, a, at, _ in rows:
+        s = max([0.0, *(2 * len(x & sets[i][2]) / (len(x) + len(sets[i][2])) for other, before, x in sets if other == a and at - 50 <= before < at)])
+        assert found[64][i] == pytest.approx(80.0 if s >= 0.85 else max(0.0, (s - 0.5) * 100))
+    assert found[0] == found[12] == found[64] and sum(x > 0 for x in found[64].values()) > 30
+    assert "shingles" in kept[0] and "shingles" in kept[12] and not {"shingles", "prefixes", "met"} & {*kept[64]}
