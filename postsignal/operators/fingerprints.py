@@ -67,9 +67,11 @@ def block_keys(values: DataFrame, blocks: int, threshold: int) -> DataFrame:
         combos.append(
             F.struct(F.lit(combo).alias("combo"), F.col("bits").bitwiseAND(F.lit(mask)).alias("key"))
         )
-    return values.select("algorithm", "bits", F.explode(F.array(*combos)).alias("_k")).select(
+    keys = values.select("algorithm", "bits", F.explode(F.array(*combos)).alias("_k")).select(
         "algorithm", "bits", F.col("_k.combo").alias("combo"), F.col("_k.key").alias("key")
     )
+    # Spark takes exploded rows for no more than the values, and would broadcast all keys through the driver
+    return keys.hint("merge")
 
 
 def _equal_blocks(xor: Column, blocks: int) -> Column:
@@ -202,8 +204,8 @@ def cluster(fingerprints: DataFrame, item: str = "item", threshold: int = 8, blo
     """
     # read for the heads and again for the result: texts are fingerprinted once
     fingerprints = written(fingerprints.select(item, "algorithm", "bits"), "fingerprints")
-    # lowest item per distinct fingerprint stands for all its copies
-    heads = materialize(fingerprints.groupBy("algorithm", "bits").agg(F.min(item).alias("head")))
+    # lowest item per distinct fingerprint stands for all its copies; nearly as many as items, so they are not broadcast
+    heads = materialize(fingerprints.groupBy("algorithm", "bits").agg(F.min(item).alias("head"))).hint("merge")
     pairs = spanning_links(heads, threshold, blocks)
     a = heads.select("algorithm", F.col("bits").alias("bits_a"), F.col("head").alias("a"))
     b = heads.select("algorithm", F.col("bits").alias("bits_b"), F.col("head").alias("b"))
@@ -211,5 +213,5 @@ def cluster(fingerprints: DataFrame, item: str = "item", threshold: int = 8, blo
     roots = components(edges).withColumnRenamed("node", "head")
     labelled = heads.join(roots, "head", "left").select(
         "algorithm", "bits", F.coalesce("root", "head").alias("cluster_id")
-    )
+    ).hint("merge")
     return fingerprints.join(labelled, ["algorithm", "bits"]).select(item, "cluster_id")

@@ -118,6 +118,25 @@ def test_pairs_and_clusters_equal_comparing_all(spark, seed, blocks, hot):
     assert [got[i] for i in range(len(values))] == clusters(values, 8)
 
 
+def test_keys_and_values_are_not_broadcast(spark, monkeypatch):
+    """Spark's estimate of exploded keys is that of the values: it would collect all of them in the driver."""
+    plan, plans, keep = lambda df: df._jdf.queryExecution().executedPlan().toString(), {}, FP.written
+
+    def seen(df, name):
+        plans[name] = plan(df)
+        return keep(df, name)
+
+    monkeypatch.setattr(FP, "written", seen)
+    values = sample_values(4)
+    items = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "item long, algorithm string, bits long")
+    found = FP.cluster(items, threshold=8)
+    assert "SortMergeJoin" in plans["key-entries"] and "Broadcast" not in plans["key-entries"]
+    # the result joins the items with the label of their value
+    assert "BroadcastHashJoin [algorithm" not in plan(found)
+    got = {r["item"]: r["cluster_id"] for r in found.collect()}
+    assert [got[i] for i in range(len(values))] == clusters(values, 8)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a int, b int")
     got = {r["node"]: r["root"] for r in FP.components(edges).collect()}
