@@ -65,6 +65,22 @@ def test_an_index_for_queries_holds_their_terms_alone(spark):
         assert [got[i][j + 1][1] for j in range(5)] == [pytest.approx(w[1], abs=1e-8) for w in want]
 
 
+def test_texts_are_searched_for_words_once_and_documents_counted_once(spark):
+    rows = [(1, "gol maç gol maç"), (1, "maç hakem"), (2, "gol"), (3, None), (4, ""), (5, "a gol")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    dealt = S._dealt(docs, "doc_id", "text", 2)
+    held, counts = S._part_terms(dealt), S._part_counts(dealt)
+    assert plan(held).count("regexp_extract_all") == plan(counts).count("regexp_extract_all") == 1
+    got = Counter()
+    for r in held.collect():
+        got[r["term"]] += r["n"]
+    # pairs do not reach from one row of a document into the next
+    assert got == {"gol": 3, "maç": 1, "hakem": 1, "gol maç": 1, "maç gol": 1, "maç hakem": 1}
+    want = {(1, "gol"): 2, (1, "maç"): 3, (1, "hakem"): 1, (1, "gol maç"): 2, (1, "maç gol"): 1, (1, "maç hakem"): 1, (2, "gol"): 1, (5, "gol"): 1}
+    assert {(r["doc"], r["term"]): r["tf"] for r in counts.collect()} == want
+
+
 def test_style_examples_come_back_whole(spark):
     ex = spark.createDataFrame([(1, "gol maç", "t1"), (2, "hava", "t2")], "example_id int, text string, tone_tags string")
     q = spark.createDataFrame([(9, "gol")], "query_id int, text string")
