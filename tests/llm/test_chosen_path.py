@@ -132,3 +132,19 @@ def test_sketch_passes_what_it_must():
 
 def test_empty_table(spark, none):
     assert C.similar_sets(none).count() == 0 and C.one_of_each(none).count() == 0
+
+
+def test_a_pair_of_several_groups_is_linked_in_one(spark):
+    """Three nodes in groups 7 and 9, two of them alike, and a pair that only group 9 holds."""
+    alike, apart = np.arange(40, dtype=np.uint64).tobytes(), np.arange(90, 130, dtype=np.uint64).tobytes()
+    sets = {1: alike, 2: alike, 3: apart, 4: apart}
+    rows = [
+        (key, 0, 0, False, node, node, b"\0", sets[node], keys)
+        for key, nodes in ((7, (1, 2, 3)), (9, (1, 2, 3, 4)))
+        for node, keys in ((n, [7, 9] if n < 4 else [9]) for n in nodes)
+    ]
+    kinds = "key long, i int, j int, right boolean, node long, root long, sketch binary, set binary, keys array<long>"
+    every = lambda p, q: (p == q).all(axis=-1)
+    links = set_links._forests(spark.createDataFrame(rows, kinds), every, 85).collect()
+    # in both groups, before: (1, 2) twice
+    assert sorted((r["x"], r["y"]) for r in links) == [(1, 2), (3, 4)]
